@@ -154,32 +154,28 @@ def sent(chunk: int, keys: np.ndarray, parts: int, load: np.ndarray | None = Non
 REPLY = "chunk int, part int, phase int, bits binary"
 
 
-def reply_bits(mode: str, phase: int):
-    """For each part: a bit for each key sent: `repeated` (two chunks or more sent it) or `earlier` (a chunk of lower number sent it)."""
+def reply_bits(**phases: int):
+    """For each part: a bit for each key sent, by phase: repeated=phase (two chunks or more sent it), earlier=phase (a chunk of lower number sent it)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         keys = [unpack(b.as_py()) for b in table["keys"]]
-        sizes = np.array([len(k) for k in keys])
+        e = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         s = flat[order]
         same = s[1:] == s[:-1]
-        hit = np.zeros(len(s), bool)
-        hit[1:] = same
-        if mode == "repeated":
-            hit[:-1] |= same
-        bits = np.zeros(len(s), bool)
-        bits[order] = hit
-        e = np.concatenate(([0], np.cumsum(sizes)))
-        return pa.table(
-            {
-                "chunk": table["chunk"],
-                "part": table["part"],
-                "phase": pa.array(np.full(len(sizes), phase, np.int32)),
-                "bits": pa.array([np.packbits(bits[e[i] : e[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary()),
-            }
-        )
+        out = []
+        for mode, phase in phases.items():
+            hit = np.zeros(len(s), bool)
+            hit[1:] = same
+            if mode == "repeated":
+                hit[:-1] |= same
+            bits = np.zeros(len(s), bool)
+            bits[order] = hit
+            packed = [np.packbits(bits[a:b]).tobytes() for a, b in zip(e[:-1], e[1:])]
+            out.append(pa.table({"chunk": table["chunk"], "part": table["part"], "phase": pa.array(np.full(len(keys), phase, np.int32)), "bits": pa.array(packed, pa.binary())}))
+        return pa.concat_tables(out)
 
     return run
 

@@ -75,7 +75,7 @@ class Block:
 
 
 def _name_bits(table: pa.Table) -> pa.Table:
-    out = reply_bits("repeated", 0)(table)
+    out = reply_bits(repeated=0)(table)
     return out.append_column("source", pa.array([b""] * out.num_rows, pa.binary()))
 
 
