@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, langid, mixing, quality, relative_lz
+from . import binpack, bpe, difference_cover, langid, mixing, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +43,10 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
+def op6_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.join(documents(spark, sf_dir), 4, 85)
+
+
 def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), F.coalesce(crc_of_id(4) != 2, F.lit(True)))
 
@@ -52,7 +56,7 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op7_hyperdimensional, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op10_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
