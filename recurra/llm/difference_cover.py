@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, SENT, TABLE, Rolling, chunk_count, read_bits, reply_bits, sent, text_buffer
+from .common import REPLY, SENT, TABLE, Rolling, U, chunk_count, read_bits, reply_bits, sent, text_buffer
 from .relative_lz import covered
 
 #: A perfect difference set modulo 133: every difference occurs among these.
@@ -61,9 +61,10 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Names:
     """Sorted distinct names of spans, and which span has which."""
 
-    def __init__(self, rolling: Rolling, at: np.ndarray, length: int):
+    def __init__(self, rolling: Rolling, at: np.ndarray, length: int, bits: int = 64):
+        """bits: of each fingerprint that are compared; fewer will do where a chance repeat is harmless."""
         self.at = at
-        self.keys, head, self.of, n = np.unique(rolling.of(at, at + length), return_index=True, return_inverse=True, return_counts=True)
+        self.keys, head, self.of, n = np.unique(rolling.of(at, at + length) >> U(64 - bits) << U(64 - bits), return_index=True, return_inverse=True, return_counts=True)
         self.many = n > 1
         self.again = np.ones(len(at), bool)  # a span before it in this chunk has its name
         self.again[head] = False
@@ -122,7 +123,7 @@ def _left(table: pa.Table, replies: pa.Table, window: int, parts: int) -> pa.Tab
     """The regions of a chunk whose windows hold a name that occurs twice."""
     buf, offsets = text_buffer(table["text"])
     name = window - PERIOD + 1
-    names = Names(Rolling(TABLE[buf]), samples(offsets, name), name)
+    names = Names(Rolling(TABLE[buf]), samples(offsets, name), name, 48)
     named = np.zeros(len(buf) + PERIOD + 1, np.int32)
     named[names.repeated(replies, 0, parts) + 1] = 1
     named = np.cumsum(named, dtype=np.int32)
@@ -151,7 +152,7 @@ def _finished(docs: DataFrame, window: int, chunk_bytes: int, finish, schema: st
     def first(table: pa.Table) -> pa.Table:
         table = ordered(table)
         buf, offsets = text_buffer(table["text"])
-        return sent(table["chunk"][0].as_py(), Names(Rolling(TABLE[buf]), samples(offsets, name), name).keys, parts)
+        return sent(table["chunk"][0].as_py(), Names(Rolling(TABLE[buf]), samples(offsets, name), name, 48).keys, parts)
 
     def left(table: pa.Table, replies: pa.Table) -> pa.Table:
         return _left(ordered(table), replies, window, parts)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, langid, mixing, quality, relative_lz, signature_tree
+from . import binpack, bpe, difference_cover, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,12 +51,16 @@ def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), F.coalesce(crc_of_id(4) != 2, F.lit(True)))
 
 
+def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare(documents(spark, sf_dir))
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover.dedup(documents(spark, sf_dir), 200, digests=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op9_multiset_hash, op10_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,7 @@ from .graph import components
 
 HOT = 200_000  # at most so many frequent shingles are known as such to all tasks; the rest count as rare
 BITS, FANOUT = 4096, 8
+NAMED = U(0xFFFFFFFFFFFF0000)  # of a shingle's hash what brings sets together; a chance meeting costs a comparison
 
 
 def shingle_sets(texts, words: int) -> list[np.ndarray]:
@@ -207,7 +208,7 @@ BLOBS = "part int, tokens binary, keys binary, sizes binary"
 
 def _blobs(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
     order = np.argsort(tokens)
-    tokens, keys, sizes = tokens[order], keys[order], sizes[order]
+    tokens, keys, sizes = tokens[order] & NAMED, keys[order], sizes[order]
     e = part_edges(tokens, parts)
     own = np.flatnonzero(np.diff(e))
     cut = lambda f: pa.array([f(slice(e[i], e[i + 1])) for i in own], pa.binary())
@@ -271,10 +272,11 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096,
     def as_sets(batches):
         for b in _slices(batches):
             sets = shingle_sets(b.column(3), words)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([pack(s) for s in sets], pa.binary())], ["key", "component", "rep", "blocks", "tokens"])
+            own = pa.array([set_key(s) == k for s, k in zip(sets, b.column(0).to_pylist())], pa.bool_())  # another row may have the same doc_id
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([pack(s) for s in sets], pa.binary())], ["key", "component", "rep", "blocks", "tokens"]).filter(own)
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = group.join(texts, F.col("rep") == F.col("doc_id")).select("key", "component", "rep", "text", "blocks").dropDuplicates(["key", "component"])
+    chosen = group.join(texts, F.col("rep") == F.col("doc_id")).select("key", "component", "rep", "text", "blocks")
     sets = chosen.mapInArrow(as_sets, f"key long, component long, rep {kind}, blocks int, tokens binary")
     tasks = sets.withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
