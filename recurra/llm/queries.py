@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
+from . import binpack, bpe, difference_cover, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,6 +51,10 @@ def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), F.coalesce(crc_of_id(4) != 2, F.lit(True)))
 
 
+def op8_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.scored(documents(spark, sf_dir), crc_of_id(7) != 2)
+
+
 def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare(documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op9_multiset_hash, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
