@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,14 +141,14 @@ def _left(table: pa.Table, replies: pa.Table, window: int, parts: int) -> pa.Tab
     return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "owner": as_bytes(owner, "<i4"), "start": as_bytes(a - offsets[owner], "<i8"), "size": as_bytes(b - a, "<i8"), "data": pa.array([data], pa.binary())})
 
 
-def _finished(docs: DataFrame, window: int, chunk_bytes: int, finish, schema: str) -> DataFrame:
-    """finish(documents, owner, start, stop): the rows of a chunk, given its maximal removed runs in bytes."""
+def _finished(docs: DataFrame, window: int, chunk_bytes: int, finish, schema: str, *carried) -> DataFrame:
+    """finish(documents, owner, start, stop): the rows of a chunk, given its maximal removed runs in bytes.  carried: columns that finish wants besides doc_id and text."""
     name = window - PERIOD + 1
     if name < 16:
         raise ValueError(f"a window has {PERIOD + 15} bytes at least")
     chunks = chunk_count(docs, chunk_bytes)
     parts = max(1, chunks // 4)
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), *carried)
 
     def first(table: pa.Table) -> pa.Table:
         table = ordered(table)
@@ -227,3 +228,19 @@ def repeats(docs: DataFrame, window: int = 200, chunk_bytes: int = 2 << 20) -> D
         return pa.table({"doc_id": table["doc_id"].take(pa.array(owner)), "start": pa.array(start), "stop": pa.array(stop)})
 
     return _finished(docs, window, chunk_bytes, finish, f"doc_id {kind}, start long, stop long")
+
+
+def without_repeats(docs: DataFrame, window: int = 200, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """docs with all their columns and rows, less the repeats in text; what is cut within a character goes whole; n_chars, where there is one, is counted again."""
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+
+    def finish(table, owner, start, stop):
+        kept = [k.decode("utf-8", "ignore") for k in _cut(table, owner, start, stop)[3]]
+        empty = pc.is_null(table["text"]).to_pylist()
+        return pa.table({"row": table["row"], "text": pa.array([None if e else k for e, k in zip(empty, kept)], pa.string())})
+
+    out = _finished(docs, window, chunk_bytes, finish, f"row {kind}, text string", row)
+    size = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
