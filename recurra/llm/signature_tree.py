@@ -2,8 +2,8 @@
 
 A document's set holds its distinct shingles.  Documents with equal sets form a class, of which one stands for all.
 Classes that share a shingle of their prefixes (any pair that is similar enough must) are brought together; shingles are
-ordered from rare to frequent, so that a passage which many documents share brings nobody together.  Each such group goes
-into a signature tree: a leaf holds one set, a node the OR of its leaves' token bitmaps and the range of their sizes.
+ordered from rare to frequent by the number of chunks of documents that hold them, so that a document with enough shingles of
+its own is left out and a passage which many share brings nobody together.  Each group so found goes into a signature tree: a leaf holds one set, a node the OR of its leaves' token bitmaps and the range of their sizes.
 A dual traversal of the tree with itself drops pairs of nodes that cannot overlap enough, or whose leaves all hang
 together already, and compares the sets of the rest exactly.  Groups above `block` sets are cut into blocks, every
 pair of which is traversed, and what they link is joined by connected components.
@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, checkpointed, lowered, mix, pack, part_edges, text_buffer, unpack, word_hashes, word_spans
+from .common import REPLY, SENT, U, Rolling, checkpointed, chunk_count, lowered, mix, pack, part_edges, sent, text_buffer, unpack, word_hashes, word_spans
 from .graph import components
 
-HOT = 200_000  # at most so many frequent shingles are known as such to all tasks; the rest count as rare
 BITS, FANOUT = 4096, 8
 NAMED = U(0xFFFFFFFFFFFF0000)  # of a shingle's hash what brings sets together; a chance meeting costs a comparison
 
@@ -135,72 +134,44 @@ def tree_links(sets: list[np.ndarray], rule: Jaccard) -> np.ndarray:
     return out
 
 
-def _slices(batches, rows: int = 300):
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set) and key (of the set) of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for b in _slices(batches):
-            sets = shingle_sets(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([len(s) for s in sets]), _signed([set_key(s) for s in sets])], ["doc_id", "n", "key"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, key long")
-
-
-def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles and the logarithm of how many sets hold each: HOT of them at most.
-
-    Each task sends what it sees in three sets or more of its own; the order need not be exact, only the same for all.
-    """
-
-    def run(batches):
-        seen: set[int] = set()
-        kept: list[np.ndarray] = []
-        held = 0
-
-        def counts():
-            keys, n = np.unique(np.concatenate(kept), return_counts=True)
-            return keys[n >= 3], n[n >= 3]
-
-        def flush():
-            k, n = counts()
-            return pa.RecordBatch.from_arrays([_signed(k.view(np.int64)), _signed(n)], ["h", "n"])
-
-        for b in _slices(batches):
-            for s in shingle_sets(b.column(0), words):
-                k = set_key(s)
-                if k not in seen:
-                    seen.add(k)
-                    kept.append(s)
-                    held += len(s)
-            if held > 2_000_000:
-                yield flush()
-                kept, held = [], 0
-                seen.clear()
-        if kept:
-            yield flush()
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
-    top = rows.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
-    keys = top["h"].to_numpy(np.int64).view(U)
-    order = np.argsort(keys)
-    return keys[order], np.log2(top["n"].to_numpy(float)).astype(np.int64)[order] if len(top) else np.zeros(0, np.int64)
-
-
-def prefix_tokens(s: np.ndarray, rule: Jaccard, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set's first tokens in the order from rare to frequent; of two linked sets these share one."""
-    k = rule.prefix(len(s))
-    if len(hot[0]):
-        at = np.minimum(np.searchsorted(hot[0], s), len(hot[0]) - 1)
-        rank = np.where(hot[0][at] == s, hot[1][at] + 1, 0)
-        s = s[np.argsort(rank, kind="stable")]
-    return s[:k]
+def _degrees(table: pa.Table) -> pa.Table:
+    """For each key sent the logarithm of the number of chunks that sent it, a byte."""
+    table = table.sort_by("chunk")
+    keys = [unpack(b.as_py()) for b in table["keys"]]
+    e = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+    _, of, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    rank = np.log2(n).astype(np.uint8)[of]
+    return pa.table({"chunk": table["chunk"], "part": table["part"], "phase": pa.array(np.zeros(len(keys), np.int32)), "bits": pa.array([rank[a:b].tobytes() for a, b in zip(e[:-1], e[1:])], pa.binary())})
+
+
+class Shingled:
+    """A chunk's sets, one for each class, and their distinct shingles."""
+
+    def __init__(self, table: pa.Table, words: int):
+        self.all = shingle_sets(table["text"], words)
+        self.keys = [set_key(s) for s in self.all]
+        ids = [(i is None, i or 0) for i in table["doc_id"].to_pylist()]
+        self.head: dict[int, int] = {}  # of each class here the row with the least doc_id
+        for row in sorted(range(len(self.keys)), key=ids.__getitem__):
+            if len(self.all[row]):
+                self.head.setdefault(self.keys[row], row)
+        sets = [self.all[i] for i in self.head.values()]
+        self.names, counts = np.unique(np.concatenate(sets) & NAMED if sets else np.zeros(0, U), return_counts=True)
+        self.many = counts > 1
+
+    def ranks(self, replies: pa.Table, parts: int) -> np.ndarray:
+        """By name: 0 for what one class alone holds, else the more the more chunks hold it."""
+        e = part_edges(self.names, parts)
+        out = np.zeros(len(self.names), np.uint8)
+        for p, b in zip(replies["part"].to_pylist(), replies["bits"]):
+            out[e[p] : e[p + 1]] = np.frombuffer(b.as_py(), np.uint8)
+        return np.where(out > 0, out, self.many)
+
+    def prefix(self, s: np.ndarray, rule: Jaccard, ranks: np.ndarray) -> np.ndarray:
+        """Of the set's first shingles, from rare to frequent, those that another class may hold: two linked sets share one."""
+        rank = ranks[np.searchsorted(self.names, s & NAMED)]
+        order = np.argsort(rank, kind="stable")[: rule.prefix(len(s))]
+        return np.sort(s[order[rank[order] > 0]])
 
 
 BLOBS = "part int, tokens binary, keys binary, sizes binary"
@@ -215,30 +186,40 @@ def _blobs(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int)
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), cut(lambda s: pack(tokens[s])), cut(lambda s: keys[s].tobytes()), cut(lambda s: sizes[s].tobytes())], ["part", "tokens", "keys", "sizes"])
 
 
-def candidate_edges(docs: DataFrame, words: int, rule: Jaccard, parts: int) -> DataFrame:
-    """u, v: keys of classes that share a prefix token, with sizes that allow a link; a spanning forest for each part."""
-    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+def classed(docs: DataFrame, words: int, rule: Jaccard, chunk_bytes: int) -> DataFrame:
+    """doc_id, n (size of the set), key (of the set) of every row; of a row for each class and chunk also prefix and tokens, packed, if a link is possible."""
+    chunks = chunk_count(docs, chunk_bytes)
+    parts = max(1, chunks // 2)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+
+    def names(table: pa.Table) -> pa.Table:
+        return sent(table["chunk"][0].as_py(), Shingled(table, words).names, parts)
+
+    def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
+        own = Shingled(table, words)
+        ranks = own.ranks(replies, parts)
+        prefix, tokens = [None] * table.num_rows, [None] * table.num_rows
+        for i in own.head.values():
+            p = own.prefix(own.all[i], rule, ranks)
+            if len(p):
+                prefix[i], tokens[i] = pack(p), pack(own.all[i])
+        return pa.table({"doc_id": table["doc_id"], "n": _signed([len(s) for s in own.all]), "key": _signed(own.keys), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+
+    by_chunk = text.groupBy("chunk")
+    replies = by_chunk.applyInArrow(names, SENT).groupBy("part").applyInArrow(_degrees, REPLY)
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(rows, f"doc_id {kind}, n long, key long, prefix binary, tokens binary")
+
+
+def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
+    """u, v: keys of classes that share a prefix shingle, with sizes that allow a link.  rows: of key and prefix."""
 
     def send(batches):
-        seen: set[int] = set()
-        kept, held = [], 0
-
-        def flush():
-            return _blobs(np.concatenate([k[0] for k in kept]), np.repeat(np.array([k[1] for k in kept], np.int64), [len(k[0]) for k in kept]), np.repeat(np.array([k[2] for k in kept], np.int32), [len(k[0]) for k in kept]), parts)
-
-        for b in _slices(batches):
-            for s in shingle_sets(b.column(0), words):
-                if not len(s) or (key := set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                t = prefix_tokens(s, rule, hot.value)
-                kept.append((t, key, len(s)))
-                held += len(t)
-            if held > 500_000:
-                yield flush()
-                kept, held = [], 0
-        if kept:
-            yield flush()
+        for b in batches:
+            tokens = [unpack(p) for p in b.column(1).to_pylist()]
+            if tokens:
+                held = [len(t) for t in tokens]
+                yield _blobs(np.concatenate(tokens), np.repeat(b.column(0).to_numpy(), held), np.repeat(b.column(2).to_numpy().astype(np.int32), held), parts)
 
     def meet(table: pa.Table) -> pa.Table:
         tokens = np.concatenate([unpack(b.as_py()) for b in table["tokens"]])
@@ -246,38 +227,29 @@ def candidate_edges(docs: DataFrame, words: int, rule: Jaccard, parts: int) -> D
         sizes = np.concatenate([np.frombuffer(b.as_py(), np.int32) for b in table["sizes"]]).astype(np.int64)
         order = np.lexsort((keys, sizes, tokens))
         t, k, n = tokens[order], keys[order], sizes[order]
-        # along a token's sets by size, neighbours too far apart part the chain
+        # along a shingle's sets by size, neighbours too far apart part the chain
         near = (t[1:] == t[:-1]) & (100 * n[:-1] >= rule.percent * n[1:]) & (k[1:] != k[:-1])
         pairs = np.unique(np.stack((np.minimum(k[1:], k[:-1]), np.maximum(k[1:], k[:-1])), axis=1)[near], axis=0)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, BLOBS)
-    return sent.groupBy("part").applyInArrow(meet, "u long, v long")
+    return rows.select("key", "prefix", "n").mapInArrow(send, BLOBS).groupBy("part").applyInArrow(meet, "u long, v long")
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, part_bytes: int = 8 << 20) -> DataFrame:
+def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
     rule = Jaccard(percent)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = checkpointed(set_rows(docs, words))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = checkpointed(classed(docs, words, rule, chunk_bytes))
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    group = components(candidate_edges(docs, words, rule, max(16, size // part_bytes))).withColumnRenamed("u", "key")
-    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    group = checkpointed(group.join(sizes, "component").join(classes, "key").select("key", "component", "blocks", "rep"))
+    some = rows.where("prefix is not null")
+    parts = max(16, (some.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) >> 22)
+    edges = components(candidate_edges(some, rule, parts)).withColumnRenamed("u", "key")
+    sizes = edges.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    group = checkpointed(edges.join(sizes, "component").join(classes, "key").select("key", "component", "blocks", "rep"))
     # Each class goes to the task of its group, or of every pair of its block with another.
     mine = F.pmod("key", F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def as_sets(batches):
-        for b in _slices(batches):
-            sets = shingle_sets(b.column(3), words)
-            own = pa.array([set_key(s) == k for s, k in zip(sets, b.column(0).to_pylist())], pa.bool_())  # another row may have the same doc_id
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([pack(s) for s in sets], pa.binary())], ["key", "component", "rep", "blocks", "tokens"]).filter(own)
-
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = group.join(texts, F.col("rep") == F.col("doc_id")).select("key", "component", "rep", "text", "blocks")
-    sets = chosen.mapInArrow(as_sets, f"key long, component long, rep {kind}, blocks int, tokens binary")
+    sets = some.select("key", "doc_id", "tokens").join(group, "key").where("doc_id <=> rep").select("key", "component", "rep", "blocks", "tokens")
     tasks = sets.withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def link(table: pa.Table) -> pa.Table:
