@@ -35,9 +35,9 @@ CHAIN = """WITH ev AS (@EV@),
 LEDGER = (
     CHAIN
     + """,
-  hist AS (SELECT key, id, epoch, x, avg(x) OVER w m, stddev_samp(x) OVER w s, count(x) OVER w n FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-  made AS (SELECT 'mean' source, key, id, epoch issued, epoch + cast(round(m * 60) AS bigint) predicted, epoch + cast(round((m - s) * 60) AS bigint) opens, epoch + cast(round((m + s) * 60) AS bigint) closes FROM hist WHERE n >= 8
-           UNION ALL SELECT 'last' source, key, id, epoch issued, epoch + cast(round(x * 60) AS bigint) predicted, cast(NULL AS bigint) opens, cast(NULL AS bigint) closes FROM hist WHERE n >= 8 AND id % 3 <> 0),
+  hist AS (SELECT key, id, epoch, prev_epoch, x, avg(x) OVER w m, stddev_samp(x) OVER w s, count(x) OVER w n FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+  made AS (SELECT 'mean' source, key, id, epoch issued, epoch + cast(floor(m * 60 + 0.123456e0) AS bigint) predicted, epoch + cast(floor((m - s) * 60 + 0.123456e0) AS bigint) opens, epoch + cast(floor((m + s) * 60 + 0.123456e0) AS bigint) closes FROM hist WHERE n >= 8
+           UNION ALL SELECT 'last' source, key, id, epoch issued, epoch + cast(epoch - prev_epoch AS bigint) predicted, cast(NULL AS bigint) opens, cast(NULL AS bigint) closes FROM hist WHERE n >= 8 AND id % 3 <> 0),
   happened AS (SELECT key, id event_id, epoch FROM singles WHERE id % 2 = 0),
   mixed AS (SELECT source, key, issued t, 1 side, id, issued, predicted, opens, closes, cast(NULL AS bigint) e FROM made
            UNION ALL SELECT s.source, h.key, h.epoch t, 0 side, h.event_id id, NULL, NULL, NULL, NULL, h.epoch e FROM happened h JOIN (SELECT DISTINCT source, key FROM made) s ON h.key = s.key),
