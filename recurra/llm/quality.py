@@ -59,7 +59,7 @@ def features(texts, step: int = 1 << 20) -> dict[str, np.ndarray]:
     """FEATURES of each whole text, by runs of documents of about `step` bytes, which keep within the processor's caches."""
     buf, offsets = text_buffer(texts)
     cuts = np.searchsorted(offsets, np.arange(0, len(buf), step), side="right") - 1 if len(buf) else np.zeros(1, int)
-    cuts = np.unique(np.append(cuts, len(offsets) - 1))
+    cuts = np.unique(np.concatenate(([0], cuts, [len(offsets) - 1])))
     runs = [_features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts[:-1], cuts[1:])]
     return {c: np.concatenate([r[c] for r in runs]) if runs else np.zeros(0, np.int64) for c in FEATURES}
 
