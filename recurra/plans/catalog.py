@@ -136,9 +136,9 @@ CATALOG: dict[str, str] = {
     "beyond_horizon": LEDGER + " SELECT source, key, count(*) n FROM matched WHERE abs(taker - predicted) > horizon GROUP BY 1, 2",
     "score_rows": LEDGER + " SELECT * FROM scored",
     "scoreboard": LEDGER
-    + """, e AS (SELECT key, count(*) events FROM happened GROUP BY key) SELECT s.source, s.key, count(*) n, round(avg(abs_err), 4) mae_min, round(@PCT@(err, 0.5), 4) median_signed_error_min, count(in_window) n_windowed,
-      cast(sum(CASE WHEN in_window THEN 1 ELSE 0 END) AS bigint) n_in_window, round(@PCT@(width, 0.5), 4) median_window_width_min, round(@PCT@((predicted - opens) / 60e0, 0.5), 4) median_window_lo_min,
-      round(@PCT@((closes - predicted) / 60e0, 0.5), 4) median_window_hi_min, round(count(*) / (max(events) * 1e0), 4) coverage FROM scored s JOIN e ON s.key = e.key GROUP BY 1, 2""",
+    + """, e AS (SELECT key, count(*) events FROM happened GROUP BY key) SELECT s.source, s.key, count(*) n, round(avg(abs_err), 6) mae_min, round(@PCT@(err, 0.5), 6) median_signed_error_min, count(in_window) n_windowed,
+      cast(sum(CASE WHEN in_window THEN 1 ELSE 0 END) AS bigint) n_in_window, round(@PCT@(width, 0.5), 6) median_window_width_min, round(@PCT@((predicted - opens) / 60e0, 0.5), 6) median_window_lo_min,
+      round(@PCT@((closes - predicted) / 60e0, 0.5), 6) median_window_hi_min, round(count(*) / (max(events) * 1e0), 6) coverage FROM scored s JOIN e ON s.key = e.key GROUP BY 1, 2""",
     "comparisons_page": LEDGER
     + " SELECT key, actual, max(CASE WHEN source = 'mean' THEN err END) mean_err, max(CASE WHEN source = 'last' THEN err END) last_err, count(*) sources FROM scored GROUP BY key, actual ORDER BY actual DESC, key LIMIT 20 OFFSET 20",
     "cap_open_per_series": LEDGER + ", r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY issued DESC, id DESC) k FROM made) SELECT source, key, id, issued FROM r WHERE k <= 12",
