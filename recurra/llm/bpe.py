@@ -58,6 +58,7 @@ class Vocabulary:
         self.longest = max(self.spans.values(), default=1)
         self.beside: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.usable = {t: i for t, i in self.ids.items() if self.whole(i)}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether [left, right] stays as it is: undo the latest merge beside the border, again and again, and see that none across it came earlier."""
@@ -85,7 +86,7 @@ class Vocabulary:
         out: dict[str, list[int]] = {}
         last: list[int] = [-1]  # by prefix length, of the branch being visited
         before = ""
-        ids, spans, longest, follow = self.ids, self.spans, self.longest, self.may_follow
+        ids, spans, longest, follow = self.usable, self.spans, self.longest, self.may_follow
         for piece in sorted(pieces):
             n = len(piece)
             shared = 0
@@ -96,13 +97,13 @@ class Vocabulary:
             for k in range(shared + 1, n):
                 for j in range(max(0, k - longest), k):
                     t = ids.get(piece[j:k])
-                    if t is not None and (j == 0 and self.whole(t) or j and follow(last[j], t) and self.whole(t)):
+                    if t is not None and (j == 0 or follow(last[j], t)):
                         last.append(t)
                         break
             tail: list[int] = []
             for j in range(max(0, n - longest), n):
                 t = ids.get(piece[j:n] + self.end)
-                if t is not None and self.whole(t) and (j == 0 or follow(last[j], t)):
+                if t is not None and (j == 0 or follow(last[j], t)):
                     tail = [t]
                     k = j
                     break
