@@ -201,14 +201,13 @@ def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     names = docs.columns
     table = [k for k, p in pattern_probabilities(feature_rows(docs).select(pattern_code().alias("pattern"))).items() if p >= threshold]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
 
-    def run(batches):
-        for b in batches:
-            f = pa.StructArray.from_arrays([pa.array(v) for v in features(b.column(1)).values()], FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), f], ["row", "q"])
+    @F.arrow_udf(f"struct<{', '.join(f'{c}:bigint' for c in FEATURES)}>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(v) for v in features(texts).values()], FEATURES)
 
-    rows = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, q struct<{', '.join(f'{c}:bigint' for c in FEATURES)}>")
+    # Only texts go to Python; undeterministic, so that the filter is not pushed below and measures twice.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), measured.asNondeterministic()(F.col("text").cast("string")).alias("q"))
     of = lambda name: F.col("q." + name)
     good = docs.sparkSession.createDataFrame([(k,) for k in table], "pattern int")
     return rows.where(~base_failed(of)).withColumn("pattern", pattern_code(of)).join(F.broadcast(good), "pattern", "left_semi").select("row.*")
