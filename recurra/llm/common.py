@@ -53,8 +53,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """Powers 0 to n modulo 2**64; a table that grows by doubling is kept."""
-    return _powers(base, 1 << max(16, int(n).bit_length()))[: n + 1]
+    """Powers 0 to n modulo 2**64: multiples of a kept table of half a MB, so that a worker holds on to no more than that."""
+    low = _powers(base, (1 << 16) - 1)
+    if n < len(low):
+        return low[: n + 1]
+    high = np.full((n >> 16) + 1, pow(base, 1 << 16, 1 << 64), U)
+    high[0] = 1
+    return np.multiply.outer(np.cumprod(high, dtype=U), low).ravel()[: n + 1]
 
 
 class Rolling:
