@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it can be printed, else the next free one from 256 on."""
@@ -33,7 +35,7 @@ def _byte_letters() -> list[str]:
 class Vocabulary:
     """A word-level BPE with an end-of-word mark."""
 
-    KEEP = 1_000_000  # words remembered in a worker; beyond that it starts anew
+    KEEP = 250_000  # words remembered in a worker; beyond that it starts anew
 
     def __init__(self, path: str):
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -223,6 +225,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, rows: int = 200) -
                 else:
                     more = [pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
                 yield pa.RecordBatch.from_arrays([b.column(0), n, *more], ["doc_id", "n_tokens", *[c.split()[0] for c in tail.split(", ")]])
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, {tail}")
 

@@ -6,6 +6,7 @@ a third of all rows hold reaches a part at most once for each chunk, and the par
 one bit (or count) for each hash it was sent, in the order sent.
 """
 
+import ctypes
 import tempfile
 from functools import lru_cache
 
@@ -201,5 +202,27 @@ def doc_columns(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarra
     return table["doc_id"], buf, offsets
 
 
-def lengths_table(**columns) -> pa.Table:
-    return pa.table(columns)
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f):
+    """f, a function of one or two tables, that gives its memory back; Spark counts its arguments."""
+
+    def one(table):
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    def two(table, other):
+        try:
+            return f(table, other)
+        finally:
+            give_back()
+
+    return one if f.__code__.co_argcount == 1 else two

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, SENT, TABLE, Rolling, U, chunk_count, read_bits, reply_bits, sent, text_buffer
+from .common import REPLY, SENT, TABLE, Rolling, U, chunk_count, read_bits, reply_bits, sent, text_buffer, tidy
 from .relative_lz import covered
 
 #: A perfect difference set modulo 133: every difference occurs among these.
@@ -176,14 +176,14 @@ def _finished(docs: DataFrame, window: int, chunk_bytes: int, finish, schema: st
         get = lambda c, t: np.frombuffer(marks[c][0].as_py(), t) if marks.num_rows else np.zeros(0, t)
         return finish(ordered(table), get("owner", "<i4"), get("start", "<i8"), get("stop", "<i8"))
 
-    answers = lambda asked, **phases: asked.groupBy("part").applyInArrow(reply_bits(**phases), REPLY)
+    answers = lambda asked, **phases: asked.groupBy("part").applyInArrow(tidy(reply_bits(**phases)), REPLY)
     by_chunk = text.groupBy("chunk")
-    names = answers(by_chunk.applyInArrow(first, SENT), repeated=0)
-    regions = by_chunk.cogroup(names.groupBy("chunk")).applyInArrow(left, LEFT)
-    long = answers(regions.groupBy("chunk").applyInArrow(second, SENT), repeated=1, earlier=2)
-    others = answers(regions.groupBy("chunk").cogroup(long.groupBy("chunk")).applyInArrow(third, SENT), repeated=3)
-    marks = regions.groupBy("chunk").cogroup(long.unionByName(others).groupBy("chunk")).applyInArrow(mark, MARKS)
-    return by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(last, schema)
+    names = answers(by_chunk.applyInArrow(tidy(first), SENT), repeated=0)
+    regions = by_chunk.cogroup(names.groupBy("chunk")).applyInArrow(tidy(left), LEFT)
+    long = answers(regions.groupBy("chunk").applyInArrow(tidy(second), SENT), repeated=1, earlier=2)
+    others = answers(regions.groupBy("chunk").cogroup(long.groupBy("chunk")).applyInArrow(tidy(third), SENT), repeated=3)
+    marks = regions.groupBy("chunk").cogroup(long.unionByName(others).groupBy("chunk")).applyInArrow(tidy(mark), MARKS)
+    return by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(tidy(last), schema)
 
 
 def _cut(table: pa.Table, owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, mix, text_buffer, U, word_hashes, word_spans
+from .common import SPACE, checkpointed, give_back, mix, text_buffer, U, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs", "n_stops", "n_distinct", "n_marked", "n_bare"]
@@ -204,7 +204,9 @@ def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     @F.arrow_udf(f"struct<{', '.join(f'{c}:bigint' for c in FEATURES)}>")
     def measured(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(v) for v in features(texts).values()], FEATURES)
+        out = pa.StructArray.from_arrays([pa.array(v) for v in features(texts).values()], FEATURES)
+        give_back()
+        return out
 
     # Only texts go to Python; undeterministic, so that the filter is not pushed below and measures twice.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), measured.asNondeterministic()(F.col("text").cast("string")).alias("q"))

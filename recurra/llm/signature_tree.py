@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, SENT, U, Rolling, checkpointed, chunk_count, lowered, mix, pack, part_edges, sent, text_buffer, unpack, word_hashes, word_spans
+from .common import REPLY, SENT, U, Rolling, checkpointed, chunk_count, lowered, mix, pack, part_edges, sent, text_buffer, tidy, unpack, word_hashes, word_spans
 from .graph import components
 
 BITS, FANOUT = 4096, 8
@@ -207,8 +207,8 @@ def classed(docs: DataFrame, words: int, rule: Jaccard, chunk_bytes: int) -> Dat
         return pa.table({"doc_id": table["doc_id"], "n": _signed([len(s) for s in own.all]), "key": _signed(own.keys), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
     by_chunk = text.groupBy("chunk")
-    replies = by_chunk.applyInArrow(names, SENT).groupBy("part").applyInArrow(_degrees, REPLY)
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(rows, f"doc_id {kind}, n long, key long, prefix binary, tokens binary")
+    replies = by_chunk.applyInArrow(tidy(names), SENT).groupBy("part").applyInArrow(tidy(_degrees), REPLY)
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(tidy(rows), f"doc_id {kind}, n long, key long, prefix binary, tokens binary")
 
 
 def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
@@ -232,7 +232,7 @@ def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
         pairs = np.unique(np.stack((np.minimum(k[1:], k[:-1]), np.maximum(k[1:], k[:-1])), axis=1)[near], axis=0)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    return rows.select("key", "prefix", "n").mapInArrow(send, BLOBS).groupBy("part").applyInArrow(meet, "u long, v long")
+    return rows.select("key", "prefix", "n").mapInArrow(send, BLOBS).groupBy("part").applyInArrow(tidy(meet), "u long, v long")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -259,7 +259,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096,
         at = pa.array(of[hit])
         return pa.table({"key": table["key"].take(pa.array(hit)), "to": table["key"].take(at), "to_rep": table["rep"].take(at), "blocks": table["blocks"].take(pa.array(hit))})
 
-    links = checkpointed(tasks.select("key", "component", "rep", "blocks", "tokens", "i", "j").groupBy("component", "i", "j").applyInArrow(link, f"key long, to long, to_rep {kind}, blocks int"))
+    links = checkpointed(tasks.select("key", "component", "rep", "blocks", "tokens", "i", "j").groupBy("component", "i", "j").applyInArrow(tidy(link), f"key long, to long, to_rep {kind}, blocks int"))
     labels = links.where("blocks = 1").select("key", F.col("to_rep").alias("least"))
     wide = links.where("blocks > 1")
     if not wide.isEmpty():
