@@ -105,6 +105,68 @@ def best_parametric(x: np.ndarray, window: int = 150) -> Dist | None:
     return fits[int(gains[1] > gains[0])][1](x)
 
 
+def series_conditional(x: np.ndarray, branch: np.ndarray, now: float, window: int = 600) -> Dist | Mixture | None:
+    """Two modes of gaps, within a series of events and between series: a lognormal of each, weighed by how often gaps that
+    began as this one does (branch: what each began with; now: this one) were long.  Of one mode, a lognormal of all.
+    """
+    ok = x > 0
+    x, branch = x[ok][-window:], branch[ok][-window:]
+    if len(x) < 80:
+        return None
+    lo, hi = np.quantile(x, [0.25, 0.75])
+    split = math.sqrt(lo * hi)
+    short, long = lognormal(x[x < split]), lognormal(x[x >= split])
+    if hi < 3.5 * lo or min((x < split).sum(), (x >= split).sum()) < 25:
+        return lognormal(x)
+    own = x[branch == now]
+    share = float(((own if len(own) >= 25 else x) >= split).mean())
+    return Mixture(short, long, min(max(share, 0.05), 0.95))
+
+
+def weibull_regression(x: np.ndarray, z: np.ndarray, ridge: float = 0.01, rounds: int = 100) -> tuple[np.ndarray, float] | None:
+    """Coefficients of ln scale (the last is the constant) and the shape of a Weibull with covariates z, standardised by the caller.
+
+    With s = ln x - z b the log-likelihood is sum(ln k + k s - exp(k s)); its ridge-penalised maximum is found by Newton steps
+    over (b, ln k), halved until the likelihood grows.
+    """
+    if len(x) < 200:
+        return None
+    y, one = np.log(x), np.column_stack((z, np.ones(len(x))))
+    p = one.shape[1]
+    weigh = ridge * np.append(np.ones(p - 1), 0.0) * len(x)
+
+    def value(t):
+        k = math.exp(min(max(t[-1], -6.0), 6.0))
+        s = np.clip(k * (y - one @ t[:-1]), -60, 60)
+        return float((math.log(k) + s - np.exp(s)).sum() - 0.5 * (weigh * t[:-1] ** 2).sum())
+
+    t = np.append(np.zeros(p), math.log(1.2 / max(float(y.std()), 1e-3)))
+    t[p - 1] = float(y.mean()) + 0.5 * float(y.std())
+    best = value(t)
+    for _ in range(rounds):
+        k = math.exp(t[-1])
+        u = np.clip(k * (y - one @ t[:-1]), -60, 60)
+        e = np.exp(u)
+        grad = np.append(k * (one.T @ (e - 1)) - weigh * t[:-1], (1 + u - u * e).sum())
+        hess = np.zeros((p + 1, p + 1))
+        hess[:p, :p] = k * k * (one.T * e) @ one + np.diag(weigh)
+        hess[:p, p] = hess[p, :p] = -k * (one.T @ (e - 1 + u * e))
+        hess[p, p] = (u * e + u * u * e - u).sum()
+        try:
+            step = np.linalg.solve(hess + 1e-9 * np.eye(p + 1), grad)
+        except np.linalg.LinAlgError:
+            return None
+        scale, moved = 1.0, False
+        while scale > 1e-6:
+            if (new := value(t + scale * step)) > best:
+                t, gain, best, moved = t + scale * step, new - best, new, True
+                break
+            scale /= 2
+        if not moved or gain < 1e-9 * abs(best):
+            break
+    return (t[:-1], math.exp(t[-1])) if np.isfinite(t).all() else None
+
+
 def last_changepoint(x: np.ndarray, least: int = 40, penalty: float = 8.0, back: int = 600) -> int:
     """Start of the newest stretch with a mean of its own: the split that lowers the squares most, if by enough; else 0."""
     n = len(x)
