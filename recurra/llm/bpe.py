@@ -57,10 +57,20 @@ class Vocabulary:
             self.parts.setdefault(z, (rank, x, y))
         self.letters = _byte_letters()
         self.spans = {i: len(t.removesuffix(self.end) if t.endswith(self.end) else t) for t, i in self.ids.items()}
-        self.longest = max(self.spans.values(), default=1)
         self.beside: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
         self.usable = {t: i for t, i in self.ids.items() if self.whole(i)}
+        # how far back a token that ends in three given letters may begin: no other is looked up
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for t in self.usable:
+            final = self.end and t.endswith(self.end)
+            t = t.removesuffix(self.end) if final else t
+            reach = self.final if final else self.inner
+            if len(t) > reach.get(t[-3:], 2):
+                reach[t[-3:]] = len(t)
+        if not self.end:
+            self.final = self.inner
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether [left, right] stays as it is: undo the latest merge beside the border, again and again, and see that none across it came earlier."""
@@ -88,7 +98,7 @@ class Vocabulary:
         out: dict[str, list[int]] = {}
         last: list[int] = [-1]  # by prefix length, of the branch being visited
         before = ""
-        ids, spans, longest, follow = self.usable, self.spans, self.longest, self.may_follow
+        ids, spans, inner, final, follow = self.usable, self.spans, self.inner.get, self.final.get, self.may_follow
         for piece in sorted(pieces):
             n = len(piece)
             shared = 0
@@ -97,13 +107,13 @@ class Vocabulary:
                 shared += 1
             del last[shared + 1 :]
             for k in range(shared + 1, n):
-                for j in range(max(0, k - longest), k):
+                for j in range(max(0, k - inner(piece[max(0, k - 3) : k], 2)), k):
                     t = ids.get(piece[j:k])
                     if t is not None and (j == 0 or follow(last[j], t)):
                         last.append(t)
                         break
             tail: list[int] = []
-            for j in range(max(0, n - longest), n):
+            for j in range(max(0, n - final(piece[max(0, n - 3) : n], 2)), n):
                 t = ids.get(piece[j:n] + self.end)
                 if t is not None and (j == 0 or follow(last[j], t)):
                     tail = [t]
