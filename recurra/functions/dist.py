@@ -215,6 +215,14 @@ def crps(dist, y: float, points: int = 512) -> float:
     return float(((f[1:] + f[:-1]) / 2 * np.diff(t)).sum()) if np.isfinite(f).all() else float("nan")
 
 
+def crps_sample(x: np.ndarray, w: np.ndarray, y: float) -> float:
+    """Continuous ranked probability score of weighted samples: E|X - y| less half of E|X - X'|, exactly."""
+    order = np.argsort(x)
+    x, w = x[order], w[order] / w.sum()
+    c = np.cumsum(w)
+    return float((w * np.abs(x - y)).sum() - (c[:-1] * (1 - c[:-1]) * np.diff(x)).sum())
+
+
 def weighted_quantile(x: np.ndarray, w: np.ndarray, q: float) -> float:
     order = np.argsort(x)
     c = np.cumsum(w[order])

@@ -149,6 +149,13 @@ CATALOG: dict[str, str] = {
     + """, w AS (SELECT m, v, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM rms
       WINDOW f AS (ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (ORDER BY m RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING))
       SELECT m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE n_next = 3 AND n_base >= 10 AND least_next >= 1.2e0 * base""",
+    "regional_veto": """WITH ev AS (@EV@), st AS (SELECT key station, cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v FROM ev WHERE key IN ('view', 'click') GROUP BY 1, 2),
+      fires AS (SELECT DISTINCT cast(floor(epoch / 3600e0) AS bigint) * 60 m FROM ev),
+      u AS (SELECT station, m, v, 0 fire FROM st UNION ALL SELECT 'view', m, cast(NULL AS double), 1 FROM fires UNION ALL SELECT 'click', m, cast(NULL AS double), 1 FROM fires),
+      w AS (SELECT station, m, fire, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN 180 PRECEDING AND 11 PRECEDING) base, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) now FROM u),
+      s AS (SELECT m, max(CASE WHEN station = 'view' THEN now / greatest(base, 1e0) END) first_shift, max(CASE WHEN station = 'click' THEN now / greatest(base, 1e0) END) next_shift FROM w WHERE fire = 1 AND base IS NOT NULL AND now IS NOT NULL GROUP BY m)
+      SELECT f.m, CASE WHEN first_shift IS NOT NULL THEN 'view' WHEN next_shift IS NOT NULL THEN 'click' END station, round(coalesce(first_shift, next_shift), 6) shift, coalesce(coalesce(first_shift, next_shift) >= 3, false) vetoed
+      FROM fires f LEFT JOIN s ON f.m = s.m""",
     "season_gate": "WITH ev AS (@EV@) SELECT id, CASE WHEN month(lts) * 100 + day(lts) >= 1215 OR month(lts) * 100 + day(lts) <= 321 THEN 'suspended' WHEN month(lts) BETWEEN 5 AND 9 AND hour(lts) BETWEEN 8 AND 16 THEN 'paused' ELSE 'watching' END mode FROM ev",
     "feed_parse": """WITH ev AS (@EV@), f AS (SELECT id, key, CASE WHEN id % 3 = 0 THEN cast(epoch AS string) WHEN id % 3 = 1 THEN '' ELSE 'soon' END raw, cast(id % 4 AS string) nth, user_id FROM ev)
       SELECT id, key, try_cast(nullif(raw, '') AS bigint) predicted, CASE WHEN nth IN ('', '1') THEN 'next' ELSE concat('(interval x', nth, ')') END detail, CASE WHEN user_id % 5 = 0 THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM f WHERE nth <> '2'""",
