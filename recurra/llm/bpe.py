@@ -35,9 +35,9 @@ def _byte_letters() -> list[str]:
 class Vocabulary:
     """A word-level BPE with an end-of-word mark."""
 
-    KEEP = 1_000_000  # words remembered in a worker; beyond that it starts anew
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = 1_000_000):
+        """remember: words kept in a worker; beyond that it starts anew."""
+        self.keep = remember
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -88,7 +88,7 @@ class Vocabulary:
                 limit, x = rx, self.parts[x][2]
             else:
                 limit, y = ry + 1, self.parts[y][1]
-        if len(self.beside) > 4 * self.KEEP:
+        if len(self.beside) > 4 * self.keep:
             self.beside.clear()
         self.beside[left, right] = ok
         return ok
@@ -155,7 +155,7 @@ class Vocabulary:
         return ["".join(map(self.letters.__getitem__, m.encode())) for m in self.pattern.findall(word)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.KEEP:
+        if len(self.known) + len(words) > self.keep:
             self.known.clear()
         cut = {w: self.pieces(w) for w in words}
         ids = self.encode_pieces({p for ps in cut.values() for p in ps})
@@ -187,7 +187,7 @@ class Vocabulary:
             else:
                 out[k] = _joined(got)
         if new:
-            seen = {w: self.known[w] for k in late for w in words[k] if w in self.known} if len(self.known) + len(new) > self.KEEP else {}
+            seen = {w: self.known[w] for k in late for w in words[k] if w in self.known} if len(self.known) + len(new) > self.keep else {}
             self.learn(new)
             self.known.update(seen)
             for content, i in self.special.items():
@@ -211,20 +211,21 @@ def _joined(got: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, remember: int = 1_000_000) -> Vocabulary:
+    return Vocabulary(path, remember)
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False, rows: int = 200) -> DataFrame:
+def encode(docs: DataFrame, path: str, digests: bool = False, rows: int = 200, remember: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens and either ids and the decoded text, or (digests) their SHA-256, of every whole text.
 
-    path: the vocabulary's file, there on every executor.
+    path: the vocabulary's file, there on every executor.  remember: words whose encodings a worker keeps, which costs memory and
+    saves time but changes no result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(path, remember)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
