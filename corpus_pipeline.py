@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, in the order of the mix."""
-    return bpe.encode(docs, tokenizer_path(), digests=True)
+    return bpe.encode(docs, tokenizer_path(), digests=True, remember=250_000)
 
 
 STAGES = [("quality rules", keep_good), ("n-gram Jaccard join", keep_one_of_group), ("suffix-array dedup", cut_repeats), ("mixing", mix), ("BPE", encode)]
