@@ -24,6 +24,7 @@ CLASSES, WIDTH, HIDDEN, WINDOW = 32, 32, 16, 32
 VOCAB = CLASSES * WIDTH  # words the network knows; then the end, then all others, each a class of its own
 END, OTHER, START = VOCAB, VOCAB + 1, VOCAB + 2
 LN10 = np.log(10.0)
+TINY = 1e-30  # keeps the logarithm of a share that rounds to 0 finite
 PRIOR = 20_000  # tokens for which the parameters before a round count, so that a few texts move them little
 
 
@@ -44,6 +45,11 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _softmax(x):
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    return x / x.sum(axis=-1, keepdims=True)
+
+
 class Network:
     """Parameters in one vector `p`, so that copies are averaged by name of place only."""
 
@@ -70,16 +76,19 @@ class Network:
         return net
 
     def states(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each of tokens (time, documents), and what backpropagation needs."""
-        out, cache = np.empty((len(tokens), *h.shape), np.float32), []
+        """States after each of tokens (time, documents), and what backpropagation needs: update and reset gates, the state that was reset, and candidates."""
+        out = np.empty((len(tokens), *h.shape), np.float32)
+        cache = [np.empty_like(out) for _ in range(4)] if keep else None
+        given = self.X[tokens]
         for t in range(len(tokens)):
-            x = self.X[tokens[t]]
+            x = given[t]
             g = _sigmoid(x[:, : 2 * HIDDEN] + h @ self.R)
             z, r = g[:, :HIDDEN], g[:, HIDDEN:]
             rh = r * h
             n = np.tanh(x[:, 2 * HIDDEN :] + rh @ self.N)
             if keep:
-                cache.append((h, z, r, rh, n))
+                for held, now in zip(cache, (z, r, rh, n)):
+                    held[t] = now
             h = h + z * (n - h)
             out[t] = h
         return out, cache
@@ -99,43 +108,52 @@ class Network:
     def gradient(self, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of the mean loss over a window (time, documents), the state after it, and the loss."""
         g = Network(np.zeros(len(self.p), np.float32))
-        out, cache = self.states(inputs, h, True)
+        out, (z, r, rh, n) = self.states(inputs, h, True)
         steps, docs = inputs.shape
         live = np.flatnonzero(mask.ravel())
-        flat, y = out.reshape(-1, HIDDEN)[live], target.ravel()[live]
+        y = target.ravel()[live]
         k = np.where(y < VOCAB, y // WIDTH, y - VOCAB + CLASSES)
-        q = np.exp(logs := _log_softmax(flat @ self.C + self.c))
-        loss = -logs[np.arange(len(k)), k].sum()
-        q[np.arange(len(k)), k] -= 1
+        order = np.argsort(k, kind="stable")  # rows of a class side by side
+        live, y, k = live[order], y[order], k[order]
+        flat, own = out.reshape(-1, HIDDEN)[live], np.arange(len(k))
+        q = _softmax(flat @ self.C + self.c)
+        loss = -np.log(q[own, k] + TINY).sum()
+        q[own, k] -= 1
         g.C[:], g.c[:] = flat.T @ q, q.sum(axis=0)
         back = q @ self.C.T
-        order = np.argsort(k, kind="stable")
-        e = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        e = np.searchsorted(k, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[e[c] : e[c + 1]]
-            if len(at):
-                q = np.exp(logs := _log_softmax(flat[at] @ self.W[c] + self.w[c]))
-                own = y[at] - c * WIDTH
-                loss -= logs[np.arange(len(at)), own].sum()
-                q[np.arange(len(at)), own] -= 1
-                g.W[c], g.w[c] = flat[at].T @ q, q.sum(axis=0)
-                back[at] += q @ self.W[c].T
+            a, b = e[c], e[c + 1]
+            if b > a:
+                q = _softmax(flat[a:b] @ self.W[c] + self.w[c])
+                at = own[: b - a], y[a:b] - c * WIDTH
+                loss -= np.log(q[at] + TINY).sum()
+                q[at] -= 1
+                g.W[c], g.w[c] = flat[a:b].T @ q, q.sum(axis=0)
+                back[a:b] += q @ self.W[c].T
         dout = np.zeros((steps * docs, HIDDEN), np.float32)
         dout[live] = back
         dout = dout.reshape(steps, docs, HIDDEN)
+        was = np.concatenate((h[None], out[:-1]))
+        stay = 1 - z
+        to_n, to_z, to_r = z * (1 - n * n), (n - was) * z * stay, was * r * (1 - r)
+        moved = np.empty((steps, docs, 3 * HIDDEN), np.float32)  # gradients of what a token's row of X adds
+        back_n, back_r = self.N.T.copy(), self.R.T.copy()
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            was, z, r, rh, n = cache[t]
-            d = dh + dout[t]
-            dn = d * z * (1 - n * n)
-            dz = d * (n - was) * z * (1 - z)
-            drh = dn @ self.N.T
-            dr = drh * was * r * (1 - r)
-            gates = np.concatenate((dz, dr), axis=1)
-            g.N += rh.T @ dn
-            g.R += was.T @ gates
-            np.add.at(g.X, inputs[t], np.concatenate((gates, dn), axis=1))
-            dh = d * (1 - z) + drh * r + gates @ self.R.T
+            d, m = dh + dout[t], moved[t]
+            m[:, 2 * HIDDEN :] = dn = d * to_n[t]
+            drh = dn @ back_n
+            m[:, :HIDDEN] = d * to_z[t]
+            m[:, HIDDEN : 2 * HIDDEN] = drh * to_r[t]
+            dh = d * stay[t] + drh * r[t] + m[:, : 2 * HIDDEN] @ back_r
+        flat = moved.reshape(-1, 3 * HIDDEN)
+        g.N[:] = rh.reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
+        g.R[:] = was.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
+        order = np.argsort(inputs.ravel(), kind="stable")
+        x = inputs.ravel()[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        g.X[x[first]] = np.add.reduceat(flat[order], first, axis=0)
         return g.p / max(1, len(live)), out[-1], float(loss)
 
 
@@ -261,10 +279,10 @@ def train(docs: DataFrame, wanted: Column, net: Network, vocabulary, rounds: int
     return net
 
 
-def scored(docs: DataFrame, wanted: Column, share: float = 0.1, rounds: int = 2, chunk_bytes: int = 4 << 20) -> DataFrame:
+def scored(docs: DataFrame, wanted: Column, rounds: int = 2, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    wanted: the training rows, all of which are counted.  share: of them by a hash of doc_id and text, that the network itself trains on.
+    wanted: the training rows, all of which are counted and all of which the network trains on in each round.
     """
     chunks = chunk_count(docs, chunk_bytes)
     parts = max(1, chunks // 2)
@@ -295,8 +313,7 @@ def scored(docs: DataFrame, wanted: Column, share: float = 0.1, rounds: int = 2,
     frequent[: len(top)] = sums[top]
     others = total - ends - int(frequent.sum())
     net = Network.begun(frequent, ends, others)
-    chosen = F.coalesce(wanted, F.lit(True)) & (F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1000)) < int(share * 1000))
-    net = train(docs, chosen, net, vocabulary, rounds) if ends else net
+    net = train(docs, F.coalesce(wanted, F.lit(True)), net, vocabulary, rounds) if ends else net
     given = docs.sparkSession.sparkContext.broadcast((net.p, vocabulary))
     kinds = distinct - len(top) - (ends > 0)  # distinct words beyond the vocabulary
 

@@ -167,6 +167,15 @@ def test_gru(docs, none, rows):
     assert gru.scored(none, F.lit(True)).count() == 0
 
 
+def test_gru_trains_on_all_training_rows(docs, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    given, train = [], gru.train
+    monkeypatch.setattr(gru, "train", lambda d, wanted, *a: given.extend(r.doc_id for r in d.where(wanted).collect()) or train(d, wanted, *a))
+    gru.scored(docs, F.col("doc_id") % 3 != 1).count()
+    assert sorted(given) == sorted(r[0] for r in rows if r[0] % 3 != 1)
+
+
 def test_gru_gradient():
     rng = np.random.default_rng(1)
     net = gru.Network.begun(rng.integers(1, 50, gru.VOCAB), 5, 100)
