@@ -1,7 +1,7 @@
-"""Fitted models and renewal forecasts: each (series, decision) is fitted apart from the gaps strictly before it.
+"""Fitted models and renewal forecasts: each gap of a series (each decision) is fitted apart from the gaps strictly before it.
 
-Decisions are every `step`-th gap of a series; a decision gathers its own bounded history (the last HISTORY gaps), so work spreads
-over decisions rather than series.
+Every gap after the first WARM of its series is a decision.  Series are cut into pieces, and each piece gets the HISTORY gaps before
+it, so work spreads over pieces rather than series and no task holds a whole one.
 """
 
 import numpy as np
@@ -14,52 +14,54 @@ from recurra.functions import dist
 from .intervals import gaps
 
 HISTORY = 2000
+WARM = 60
 MODELS = {"lognormal": lambda x: dist.lognormal(x[-100:]), "weibull": lambda x: dist.weibull(x[-100:]), "best_parametric": dist.best_parametric, "adaptive_lognormal": dist.adaptive_lognormal, "tail_mixture": dist.widened}
 
 
-def decisions(iv: DataFrame, step: int = 25) -> DataFrame:
-    """key, id, x and past: the gaps before every step-th one, oldest first."""
+def decided(iv: DataFrame, answer, fields: str, piece: int = 250) -> DataFrame:
+    """The rows that answer(key, id, x, past) gives for every decision; past: the last HISTORY gaps before it, oldest first."""
     w = Window.partitionBy("key").orderBy("epoch", "id")
-    rows = iv.withColumn("rn", F.row_number().over(w)).withColumn("block", F.floor(F.col("rn") / HISTORY))
-    due = rows.where((F.col("rn") % step == 0) & (F.col("rn") > 60)).select("key", F.col("rn").alias("at"), "id", "x", F.explode(F.array("block", F.col("block") - 1)).alias("block"))
-    past = rows.select("key", "block", "rn", F.col("x").alias("px"))
-    near = (F.col("rn") < F.col("at")) & (F.col("rn") >= F.col("at") - HISTORY)
-    got = due.join(past, ["key", "block"]).where(near).groupBy("key", "id", "x").agg(F.array_sort(F.collect_list(F.struct("rn", "px"))).alias("p"))
-    return got.select("key", "id", "x", F.col("p.px").alias("past"))
+    rows = iv.withColumn("rn", F.row_number().over(w)).select("key", "id", "x", "rn", F.explode(F.sequence(F.floor(F.col("rn") / piece), F.floor((F.col("rn") + HISTORY) / piece))).alias("piece"))
+    names = [f.split()[0] for f in fields.split(", ")]
 
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rn")
+        x, out = p["x"].to_numpy(float), []
+        for at in np.flatnonzero((p["rn"] // piece == p["piece"]) & (p["rn"] > WARM)):
+            out += answer(p["key"].iloc[at], int(p["id"].iloc[at]), float(x[at]), x[max(0, at - HISTORY) : at])
+        return pd.DataFrame(out, columns=names)
 
-def predictions(iv: DataFrame, step: int = 25) -> DataFrame:
+    tasks = 4 * iv.sparkSession.sparkContext.defaultParallelism  # given, as the rows are few and the work on each is much
+    return rows.repartition(tasks, "key", "piece").groupBy("key", "piece").applyInPandas(run, fields)
+
+
+def predictions(iv: DataFrame) -> DataFrame:
     """model, key, id, x, median, the 50 and 90 % intervals, crps and pit of every decision; models that cannot be fitted give no row."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for key, i, x, past in zip(f["key"], f["id"], f["x"], f["past"]):
-                past = np.asarray(past, float)
-                for name, fit in MODELS.items():
-                    if (d := fit(past)) is not None:
-                        q = d.ppf(np.array([0.05, 0.25, 0.5, 0.75, 0.95]))
-                        out.append((name, key, i, x, *map(float, q), dist.crps(d, x), float(d.cdf(x))))
-            yield pd.DataFrame(out, columns=["model", "key", "id", "x", "lo90", "lo50", "median", "hi50", "hi90", "crps", "pit"])
+    def answer(key, i, x, past):
+        out = []
+        for name, fit in MODELS.items():
+            if (d := fit(past)) is not None:
+                q = d.ppf(np.array([0.05, 0.25, 0.5, 0.75, 0.95]))
+                out.append((name, key, i, x, *map(float, q), dist.crps(d, x), float(d.cdf(x))))
+        return out
 
-    return decisions(iv, step).mapInPandas(run, "model string, key string, id long, x double, lo90 double, lo50 double, median double, hi50 double, hi90 double, crps double, pit double")
+    return decided(iv, answer, "model string, key string, id long, x double, lo90 double, lo50 double, median double, hi50 double, hi90 double, crps double, pit double")
 
 
-def renewals(iv: DataFrame, ages=(0.5, 1.5, 3.0), p_seen: float = 0.9, step: int = 200) -> DataFrame:
+def renewals(iv: DataFrame, ages=(0.5, 1.5, 3.0), p_seen: float = 0.9) -> DataFrame:
     """Next-event forecasts after silences of some multiples of the median: expected misses, chance of none, and quantiles."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for key, i, past in zip(f["key"], f["id"], f["past"]):
-                d = dist.widened(np.asarray(past, float))
-                for a in ages if d is not None else ():
-                    age = a * float(d.ppf(0.5))
-                    s, w, missed, none = dist.renewal(d, age, p_seen, seed=int(i))
-                    out.append((key, i, a, missed, none, *(dist.weighted_quantile(s, w, q) - age for q in (0.05, 0.5, 0.95))))
-            yield pd.DataFrame(out, columns=["key", "id", "ages", "missed", "p_current", "lo90", "median", "hi90"])
+    def answer(key, i, x, past):
+        out = []
+        d = dist.widened(past)
+        for a in ages if d is not None else ():
+            age = a * float(d.ppf(0.5))
+            s, w, missed, none = dist.renewal(d, age, p_seen, seed=i)
+            out.append((key, i, a, missed, none, *(dist.weighted_quantile(s, w, q) - age for q in (0.05, 0.5, 0.95))))
+        return out
 
-    return decisions(iv, step).mapInPandas(run, "key string, id long, ages double, missed double, p_current double, lo90 double, median double, hi90 double")
+    return decided(iv, answer, "key string, id long, ages double, missed double, p_current double, lo90 double, median double, hi90 double")
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def crps_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pit_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(_gaps(spark, sf_dir), 50)
+    p = predictions(_gaps(spark, sf_dir))
     levels = p.select("model", "pit", F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: k / 100)).alias("level"))
     return levels.groupBy("model", "level").agg(F.avg((F.col("pit") <= F.col("level")).cast("double")).alias("share"))
 

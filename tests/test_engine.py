@@ -64,3 +64,20 @@ def test_renewal_limits():
 
 def test_forecasts_have_rows(spark):
     assert forecasts.crps_by_model(spark, "/root/testdata/sf0.01").where("crps > 0 and cover90 between 0.5 and 1").count() > 0
+
+
+def test_every_gap_is_forecast(spark):
+    rng = np.random.default_rng(2)
+    sizes = {"a": 150, "b": 2600, "c": 61, "d": 60}
+    rows = [(k, 10_000 * j + i, 60 * (i // 2), float(rng.lognormal(4, 0.3)), False) for j, (k, n) in enumerate(sizes.items()) for i in range(n)]
+    iv = spark.createDataFrame(rows, "key string, id long, epoch long, x double, regime boolean").repartition(3)
+    got = {(r.key, r.id): (r.x, r.n, r.s) for r in forecasts.decided(iv, lambda key, i, x, past: [(key, i, x, len(past), float(past.sum()))], "key string, id long, x double, n long, s double").collect()}
+    want = {}
+    for k, n in sizes.items():
+        x = [r[3] for r in rows if r[0] == k]
+        ids = [r[1] for r in rows if r[0] == k]
+        want |= {(k, ids[i]): (x[i], len(p := x[max(0, i - 2000) : i]), pytest.approx(sum(p))) for i in range(60, n)}
+    assert got == want
+    few = iv.where("key = 'a'")
+    assert forecasts.predictions(few).where("model = 'lognormal'").count() == 90
+    assert forecasts.renewals(few).count() == 3 * 90
