@@ -1,63 +1,98 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions only.
 
-Each source's documents are cut into blocks.  Weights are whole numbers a of Q slots that add up to
-Q, the hyperperiod.  Block k (from 1) of a source may run from slot floor((k - 1) * Q / a) and must run
-before slot ceil(k * Q / a); in each slot the released block with the earliest deadline runs, ties by
-source.  At any slot each source has then had less than one block more or less than its weight asks
-for.  All windows repeat after Q slots, so one hyperperiod, of bounded size, is scheduled and every
-block's slot follows from it.  Slots of sources that have run out are closed up, so the rest go on in
-proportion; every row is kept.
+Each source's documents are cut into blocks.  A source of weight w gets the share w / W of all slots, W the sum of the weights,
+which are whole numbers.  Block k (from 1) of a source may run from slot floor((k - 1) * W / w) and must run before slot
+ceil(k * W / w); in each slot the released block with the earliest deadline runs, ties by source.  At any slot each source has
+then had less than one block more or less than its weight asks for, however many slots there are.  Slots of sources that have
+run out are closed up, so the rest go on in proportion; every row is kept.  Sources of weight 0 follow after all others.
 
 Null sources count as one source; rows that repeat are separate rows of their blocks; an empty
-table gives an empty result.  There may be at most `slots` sources.
+table gives an empty result.
 """
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
-def shares(sizes: DataFrame, slots: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row: an array `s` of structs (source, b blocks, a slots of the hyperperiod), by source, nulls first.
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the ratios of the weights: exact for simple fractions such as 1/3, else to a billionth."""
+    parts = {k: Fraction(v).limit_denominator(1_000_000) for k, v in weights.items()}
+    common = math.lcm(*(p.denominator for p in parts.values()))
+    if common > 1_000_000_000 or any(abs(float(p) - weights[k]) > 1e-12 for k, p in parts.items()):
+        return {k: round(v * 1_000_000_000) for k, v in weights.items()}
+    return {k: int(p * common) for k, p in parts.items()}
+
+
+def shares(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row: an array `s` of structs (source, b blocks, r rows, w weight), by source, nulls first, and the weights' sum `total`.
 
-    sizes: source, rows, b.  Without weights a source counts by the square root of its rows, so that small sources
-    are seen more often than they are large.  Each source gets one slot and the rest by largest remainder.
+    sizes: source, rows, b.  Without weights a source counts by the square root of its rows (to a thousandth), so that small
+    sources are seen more often than they are large.
     """
     weight = F.floor(F.sqrt(F.col("rows") * 1_000_000))
     if weights is not None:
-        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(int(round(v * 1_000_000))))]
-        weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit(""))), F.lit(0))
-    arr = sizes.select(F.struct("source", "b", F.col("rows").alias("r"), weight.cast("long").alias("w")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    arr = arr.where(F.size("x") > 0).withColumn("total", F.expr("greatest(aggregate(x, 0L, (t, e) -> t + e.w), 1L)")).withColumn("free", F.lit(slots) - F.size("x"))
-    arr = arr.withColumn("free", F.when(F.col("free") < 0, F.raise_error(F.lit("more sources than slots"))).otherwise(F.col("free")))
-    arr = arr.withColumn("x", F.expr("transform(x, (e, i) -> named_struct('source', e.source, 'b', e.b, 'r', e.r, 'i', i, 'whole', (free * e.w) div total, 'rest', (free * e.w) % total))"))
-    arr = arr.withColumn("left", F.expr("free - aggregate(x, 0L, (t, e) -> t + e.whole)"))
-    arr = arr.withColumn("ranked", F.expr("transform(array_sort(transform(x, e -> named_struct('rest', -e.rest, 'i', e.i))), e -> e.i)"))
-    return arr.select(F.expr("transform(x, (e, i) -> named_struct('source', e.source, 'b', e.b, 'r', e.r, 'a', cast(1 + e.whole + if(array_position(ranked, i) <= left, 1, 0) as int)))").alias("s"))
-
-
-def hyperperiod(s: str, slots: int) -> Column:
-    """EDF over one hyperperiod: for each slot the index in `s` of the source that runs there.
-
-    State: blocks done by each source and the slots filled.  A source's next block k = done + 1 is released at slot t if
-    done * slots < (t + 1) * a; its deadline is ceil(k * slots / a).  Of the released the least (deadline, index) runs.
+        pairs = [x for k, v in whole(weights).items() for x in (F.lit(k), F.lit(v).cast("long"))]
+        weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit(""))), F.lit(0)) if pairs else F.lit(0)
+    arr = sizes.select(F.struct("source", "b", F.col("rows").alias("r"), weight.cast("long").alias("w")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("s"))
+    return arr.where(F.size("s") > 0).withColumn("total", F.expr("aggregate(s, 0L, (t, e) -> t + e.w)"))
+
+
+def schedule(block_rows: int, step: int) -> Column:
+    """EDF from slot 0 until at most one source with a weight has blocks left: a struct of done (by source), turn, first and out.
+
+    State: blocks done by each source (those of sources that have run out go on as empty slots), and blocks and rows that ran.
+    A source's next block k = done + 1 is released at slot t if done * total < (t + 1) * w; its deadline is ceil(k * total / w).
+    Of the released the least (deadline, index) runs.  out: arrays of what ran in `step` slots each, so that none grows long
+    while it is added to.  `till`: how many slots.
     """
     pick = (
-        f"array_min(transform(filter(sequence(0, size({s}) - 1), i -> state.done[i] < {s}[i].a and state.done[i] * {slots}L < (t + 1L) * {s}[i].a), "
-        f"i -> named_struct('d', ((state.done[i] + 1L) * {slots} + {s}[i].a - 1) div {s}[i].a, 'i', i))).i"
+        "array_min(transform(filter(sequence(0, size(s) - 1), i -> state.done[i] * total < (t + 1L) * s[i].w), "
+        "i -> named_struct('d', ((state.done[i] + 1L) * total + s[i].w - 1L) div s[i].w, 'i', i))).i"
     )
-    return F.expr(
-        f"aggregate(sequence(0L, {slots - 1}L), named_struct('done', array_repeat(0, size({s})), 'ran', cast(array() as array<int>)), "
-        f"(state, t) -> transform(array({pick}), k -> named_struct('done', transform(state.done, (n, j) -> if(j = k, n + 1, n)), 'ran', concat(state.ran, array(cast(k as int)))))[0], "
-        f"state -> state.ran)"
+    ran = "state.done[k] < s[k].b"
+    rows = f"least({block_rows}L, s[k].r - state.done[k] * {block_rows}L)"
+    new = (
+        "named_struct('done', transform(state.done, (n, j) -> if(j = k, n + 1L, n)), "
+        f"'turn', state.turn + if({ran}, 1L, 0L), 'first', state.first + if({ran}, {rows}, 0L), "
+        f"'out', if({ran}, concat(state.out, array(named_struct('i', k, 'block', state.done[k], 'slot', t, 'turn', state.turn, 'first', state.first))), state.out))"
     )
+    out = "array<struct<i: int, block: bigint, slot: bigint, turn: bigint, first: bigint>>"
+    begun = lambda done, turn, first: f"named_struct('done', {done}, 'turn', {turn}, 'first', {first}, 'out', cast(array() as {out}))"
+    inner = f"aggregate(sequence(c * {step}L, least((c + 1L) * {step}L, till) - 1L), {begun('all.done', 'all.turn', 'all.first')}, (state, t) -> transform(array({pick}), k -> {new})[0])"
+    joined = f"transform(array({inner}), e -> named_struct('done', e.done, 'turn', e.turn, 'first', e.first, 'out', concat(all.out, array(e.out))))[0]"
+    whole_begun = f"named_struct('done', array_repeat(0L, size(s)), 'turn', 0L, 'first', 0L, 'out', cast(array() as array<{out}>))"
+    return F.expr(f"aggregate(if(till > 0, sequence(0L, (till - 1L) div {step}L), cast(array() as array<bigint>)), {whole_begun}, (all, c) -> {joined})")
+
+
+def planned(sizes: DataFrame, block_rows: int, step: int, weights: dict[str, float] | None) -> DataFrame:
+    """source, block, w, total, slot, turn and first (the rows that run before it) of every block; no slot where w is 0."""
+    plan = checkpointed(shares(sizes, weights))
+    ends = "array_sort(transform(filter(s, e -> e.w > 0), e -> (e.b * total + e.w - 1L) div e.w), (x, y) -> if(x > y, -1, if(x < y, 1, 0)))"
+    plan = plan.withColumn("till", F.expr(f"coalesce(try_element_at({ends}, 2), 0L)"))
+    plan = checkpointed(plan.withColumn("e", schedule(block_rows, step)))  # one row, used many times
+    early = plan.select("s", "total", F.explode(F.flatten("e.out")).alias("x")).select("s", "total", F.col("x.*"))
+    # What is left: one source with a weight, then those without, source by source.
+    left = "transform(s, (e, i) -> named_struct('i', i, 'w', e.w, 'from', least(e.done, e.b), 'b', e.b, 'r', e.r))".replace("e.done", "done[i]")
+    left = plan.select("s", "total", F.col("e.done").alias("done"), F.col("e.turn").alias("n"), F.col("e.first").alias("m")).withColumn("l", F.expr(f"array_sort(filter({left}, e -> e.from < e.b), (x, y) -> if(x.w > 0, -1, if(y.w > 0, 1, x.i - y.i)))"))
+    left = left.select("s", "total", "n", "m", "l", F.posexplode("l").alias("p", "x"))
+    before = lambda part: f"aggregate(slice(l, 1, p), 0L, (t, e) -> t + {part})"
+    left = left.select("s", "total", F.col("x.i").alias("i"), F.col("x.from").alias("from"), F.expr(f"n + {before('e.b - e.from')}").alias("n"), F.expr(f"m + {before(f'e.r - e.from * {block_rows}L')}").alias("m"), F.expr("explode(sequence(x.from, x.b - 1L))").alias("block"))
+    slot = "if(s[i].w > 0, ((block + 1L) * total + s[i].w - 1L) div nullif(s[i].w, 0L) - 1L, null)"
+    left = left.select("s", "total", "i", "block", F.expr(slot).alias("slot"), F.expr("n + block - from").alias("turn"), F.expr(f"m + (block - from) * {block_rows}L").alias("first"))
+    both = early.unionByName(left)
+    return both.select(F.expr("s[i].source").alias("_s"), F.col("block").alias("_b"), F.expr("nullif(s[i].w, 0L)").alias("w"), "total", "slot", "turn", "first")
 
 
 def mix_sources(docs: DataFrame, block_rows: int = 64, slots: int = 1000, weights: dict[str, float] | None = None) -> DataFrame:
     """docs with `_mix`: a struct of block (from 0), release, deadline, slot, turn (blocks that run before it) and position (its row in the mix, gapless from 0).
 
-    Blocks take a source's rows in the order of md5(doc_id), a fixed shuffle.
+    Blocks take a source's rows in the order of md5(doc_id), a fixed shuffle.  slots: how many are scheduled at a stretch; no
+    matter to the result.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.withColumn("_k", key).withColumn("_c", F.substring("_k", 1, 2))
@@ -65,39 +100,20 @@ def mix_sources(docs: DataFrame, block_rows: int = 64, slots: int = 1000, weight
     before = F.sum("n").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows a source
     offsets = counts.select(F.col("source").alias("_s"), F.col("_c").alias("_oc"), F.coalesce(before, F.lit(0)).alias("_before"))
     sizes = counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("b", F.ceil(F.col("rows") / block_rows).cast("long"))
-    plan = checkpointed(checkpointed(shares(sizes, slots, weights)).withColumn("ran", hyperperiod("s", slots)))  # one row, used many times
-    # One row a slot: the source that runs there, its how-manieth slot it is, and the slots' array to count what ran before.
-    slot = plan.select("s", F.posexplode("ran").alias("t", "i"), "ran").select(
-        F.expr("s[i].source").alias("_s"),
-        F.expr("s[i].a").alias("a"),
-        F.col("t").cast("long").alias("t"),
-        F.expr("size(filter(slice(ran, 1, t + 1), x -> x = i))").alias("j"),
-        # source by source: blocks, slots a hyperperiod, and slots in this one before t
-        F.expr("transform(s, (e, q) -> named_struct('b', e.b, 'r', e.r, 'a', e.a, 'u', if(t = 0, 0, size(filter(slice(ran, 1, greatest(t, 1)), x -> x = q)))))").alias("all"),
-        F.expr("cast(s[i].b as bigint)").alias("b"),
-    )
     number = F.row_number().over(Window.partitionBy("source", "_c").orderBy("_k", "doc_id", "_c")) - 1
     numbered = rows.withColumn("_n", number).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_oc")), "left")
     numbered = numbered.withColumn("_n", (F.col("_n") + F.col("_before")).cast("long")).drop("_s", "_oc", "_before", "_k", "_c")
     numbered = numbered.withColumn("_block", F.expr(f"_n div {block_rows}"))
-    # blocks, not rows, meet the slots
-    per = slot.select(F.col("_s"), "a").distinct()
-    blocks = sizes.select(F.col("source").alias("_s"), F.explode(F.expr("sequence(0L, b - 1)")).alias("_block"), "b")
-    blocks = blocks.alias("l").join(F.broadcast(per.alias("p")), F.expr("l._s <=> p._s")).select("l._s", "_block", "a", F.expr("_block div a").alias("cycle"), F.expr("cast(_block % a + 1 as int)").alias("j"))
-    slot = slot.select(F.col("_s").alias("_ss"), F.col("j").alias("_jj"), "t", "all")
-    blocks = blocks.join(F.broadcast(slot), F.expr("_s <=> _ss and j = _jj"))
-    turn = F.expr("aggregate(all, 0L, (n, e) -> n + least(e.b, cycle * e.a + e.u))")
-    first = F.expr(f"aggregate(all, 0L, (n, e) -> n + least(e.r, (cycle * e.a + e.u) * {block_rows}))")
-    blocks = blocks.select(
+    blocks = planned(sizes, block_rows, slots, weights).select(
         "_s",
-        F.col("_block").alias("_b"),
+        "_b",
         F.struct(
-            F.col("_block").alias("block"),
-            F.expr(f"(_block * {slots}) div a").alias("release"),
-            F.expr(f"((_block + 1) * {slots} + a - 1) div a").alias("deadline"),
-            (F.col("cycle") * slots + F.col("t")).alias("slot"),
-            turn.alias("turn"),
-            first.alias("first"),
+            F.col("_b").alias("block"),
+            F.expr("(_b * total) div w").alias("release"),
+            F.expr("((_b + 1L) * total + w - 1L) div w").alias("deadline"),
+            "slot",
+            "turn",
+            "first",
         ).alias("_m"),
     )
     joined = numbered.join(blocks, F.expr("source <=> _s and _block = _b"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -66,6 +67,27 @@ def test_mixing(docs, none, rows):
     assert mixing.mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 1 / 3, "b": 2 / 3, "c": 0.0}, {"a": 1.0}])
+def test_mixing_keeps_exact_weights(spark, weights):
+    from fractions import Fraction
+
+    n = {"a": 1500, "b": 2600, "c": 40} | ({f"d{i}": 3 for i in range(30)} if weights is None else {})
+    d = spark.createDataFrame([(f"{s}{i}", s) for s, k in n.items() for i in range(k)], "doc_id string, source string")
+    got = [r["_mix"].asDict() | {"source": r["source"]} for r in mixing.mix_sources(d, block_rows=1, slots=20, weights=weights).collect()]
+    assert sorted(g["position"] for g in got) == sorted(g["turn"] for g in got) == list(range(sum(n.values())))
+    w = {s: Fraction(math.isqrt(k * 1_000_000)) if weights is None else Fraction(weights.get(s, 0)).limit_denominator(10) for s, k in n.items()}
+    total = sum(w.values())
+    for g in got:
+        k, share = g["block"], w[g["source"]] / total
+        if share:
+            assert (g["release"], g["deadline"]) == (math.floor(k / share), math.ceil((k + 1) / share)) and g["release"] <= g["slot"] < g["deadline"]
+        else:
+            assert g["slot"] is None and g["turn"] >= sum(k for s, k in n.items() if w[s])
+    slots = [g["slot"] for g in got if g["slot"] is not None]
+    assert len(set(slots)) == len(slots)
+    assert [g["slot"] for g in sorted(got, key=lambda g: g["turn"]) if g["slot"] is not None] == sorted(slots)
+
+
 def brute_quality(t):
     t = t or ""
     w = t.encode().split()
