@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, BPE.
 
 Each stage works on all rows its predecessor kept.  All stages but the last return the columns of documents.  Null texts fail
-the quality rules; rows that repeat are near-duplicates of each other only by doc_id; an empty table gives an empty result.
+the quality rules; of rows that repeat, with or without ids, one stays as of other near-duplicates; an empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession

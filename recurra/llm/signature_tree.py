@@ -16,7 +16,7 @@ repeat are one class; an empty table gives an empty result; other columns are no
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import REPLY, SENT, U, Rolling, checkpointed, chunk_count, lowered, mix, pack, part_edges, sent, text_buffer, tidy, unpack, word_hashes, word_spans
@@ -186,12 +186,17 @@ def _blobs(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int)
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), cut(lambda s: pack(tokens[s])), cut(lambda s: keys[s].tobytes()), cut(lambda s: sizes[s].tobytes())], ["part", "tokens", "keys", "sizes"])
 
 
+def row_hash() -> Column:
+    """Of doc_id and text, nulls told apart."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.col("text").cast("string"))
+
+
 def classed(docs: DataFrame, words: int, rule: Jaccard, chunk_bytes: int) -> DataFrame:
-    """doc_id, n (size of the set), key (of the set) of every row; of a row for each class and chunk also prefix and tokens, packed, if a link is possible."""
+    """doc_id, row (hash of doc_id and text), n (size of the set), key (of the set) of every row; of a row for each class and chunk also prefix and tokens, packed, if a link is possible."""
     chunks = chunk_count(docs, chunk_bytes)
     parts = max(1, chunks // 2)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_hash().alias("row"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def names(table: pa.Table) -> pa.Table:
         return sent(table["chunk"][0].as_py(), Shingled(table, words).names, parts)
@@ -204,11 +209,11 @@ def classed(docs: DataFrame, words: int, rule: Jaccard, chunk_bytes: int) -> Dat
             p = own.prefix(own.all[i], rule, ranks)
             if len(p):
                 prefix[i], tokens[i] = pack(p), pack(own.all[i])
-        return pa.table({"doc_id": table["doc_id"], "n": _signed([len(s) for s in own.all]), "key": _signed(own.keys), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "row": table["row"], "n": _signed([len(s) for s in own.all]), "key": _signed(own.keys), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
     by_chunk = text.groupBy("chunk")
     replies = by_chunk.applyInArrow(tidy(names), SENT).groupBy("part").applyInArrow(tidy(_degrees), REPLY)
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(tidy(rows), f"doc_id {kind}, n long, key long, prefix binary, tokens binary")
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(tidy(rows), f"doc_id {kind}, row long, n long, key long, prefix binary, tokens binary")
 
 
 def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
@@ -235,8 +240,8 @@ def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
     return rows.select("key", "prefix", "n").mapInArrow(send, BLOBS).groupBy("part").applyInArrow(tidy(meet), "u long, v long")
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
+def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes: int) -> DataFrame:
+    """The rows of classed, each with component_id (the least doc_id of its component) and component (the key of one of its classes); both null if n is 0."""
     rule = Jaccard(percent)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = checkpointed(classed(docs, words, rule, chunk_bytes))
@@ -260,17 +265,33 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096,
         return pa.table({"key": table["key"].take(pa.array(hit)), "to": table["key"].take(at), "to_rep": table["rep"].take(at), "blocks": table["blocks"].take(pa.array(hit))})
 
     links = checkpointed(tasks.select("key", "component", "rep", "blocks", "tokens", "i", "j").groupBy("component", "i", "j").applyInArrow(tidy(link), f"key long, to long, to_rep {kind}, blocks int"))
-    labels = links.where("blocks = 1").select("key", F.col("to_rep").alias("least"))
+    labels = links.where("blocks = 1").select("key", F.col("to_rep").alias("least"), F.col("to").alias("component"))
     wide = links.where("blocks > 1")
     if not wide.isEmpty():
         joined = components(wide.select(F.col("key").alias("u"), F.col("to").alias("v"))).join(group.select(F.col("key").alias("u"), "rep"), "u")
         least = joined.groupBy("component").agg(F.min("rep").alias("least"))
-        labels = labels.unionByName(joined.join(least, "component").select(F.col("u").alias("key"), "least"))
-    named = classes.join(labels, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        labels = labels.unionByName(joined.join(least, "component").select(F.col("u").alias("key"), "least", "component"))
+    # without a label the class is a component of its own; where all ids of one are null, so is component_id
+    named = classes.join(labels, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "key").alias("component"))
+    return rows.join(named, "key", "left")
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates, that of the least doc_id, with all its columns; rows with a null doc_id stay."""
-    gone = join(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
+    rows = grouped(docs, words, percent, block, chunk_bytes)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """One row of each group of near-duplicates, that of the least doc_id (nulls last), with all its columns; rows without words stay."""
+    rows = grouped(docs, words, percent, block, chunk_bytes).where("n > 0")
+    ids = rows.groupBy("component", "row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    turn = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
+    apart = checkpointed(ids.withColumn("turn", turn).where("turn > 1 or copies > 1").select(F.col("row").alias("_row"), "turn"))
+    marked = docs.withColumn("_row", row_hash())
+    kept = marked.join(apart.select("_row"), "_row", "left_anti")
+    repeated = apart.where("turn = 1").select("_row")
+    if not repeated.isEmpty():  # rows that agree in doc_id and text: one of them
+        copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+        kept = kept.unionByName(marked.join(repeated, "_row", "left_semi").withColumn("_copy", copy).where("_copy = 1").drop("_copy"))
+    return kept.select(*docs.columns)

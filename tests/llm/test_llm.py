@@ -165,6 +165,17 @@ def test_signature_tree(docs, none, rows, block):
     assert signature_tree.join(none).count() == 0
 
 
+def test_keep_one_leaves_one_of_each_group(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    one, two, three, four = map(say, range(4))
+    near = one + " end"
+    rows = [(5, one), (5, one), (3, near), (None, one), (7, two), (7, two), (7, two), (None, three), (None, three), (9, four), (9, say(9)), (None, say(8)), (11, " "), (11, " ")]
+    d = spark.createDataFrame([(i, t, None, "s", len(t), 1, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = signature_tree.keep_one(d)
+    want = [(3, near), (7, two), (None, three), (9, four), (9, say(9)), (None, say(8)), (11, " "), (11, " ")]
+    assert got.columns == d.columns and collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+
+
 def test_langid(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     from pyspark.sql import functions as F
