@@ -3,10 +3,15 @@
 A *chunk* is a set of documents that one task handles as a whole.  Chunks exchange sorted 64-bit
 hashes by way of *parts* (ranges of the hash space): a chunk sends each hash once, so a hash that
 a third of all rows hold reaches a part at most once for each chunk, and the part answers with
-one bit (or count) for each hash it was sent, in the order sent.
+one bit (or count) for each hash it was sent, in the order sent.  A chunk sends no row for a part that has none of its
+hashes, so there are never more rows than hashes: the exchange grows with the input.
+
+A task holds a chunk's texts and some arrays of 8 bytes for each byte of them.  A text is not divided: one far above a chunk's
+size needs about 40 times its own size in one worker.
 """
 
 import ctypes
+import hashlib
 import tempfile
 from functools import lru_cache
 
@@ -15,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,11 +33,14 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recurra"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="recurra"))
     return df.checkpoint()
 
 
@@ -113,8 +122,16 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return table[buf]
 
 
+#: Bytes up to which a polynomial modulo 2**64 tells spans apart; from 1,024 symbols on there are patterns on which it fails for certain.
+SHORT = 128
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(TABLE[buf]).of(starts, ends) + (ends - starts).astype(U)
+    """Of spans such as words and lines; long ones by a cryptographic hash."""
+    out = Rolling(TABLE[buf]).of(starts, ends) + (ends - starts).astype(U)
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int, least: int = 64) -> int:
@@ -134,25 +151,25 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=U)
 
 
-def part_edges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part begins in sorted keys, with the end last."""
-    edges = np.array([-(-(k << 64) // parts) for k in range(1, parts)], U)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def part_runs(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted keys fall into, and where each begins, with the end last; the work is that of the keys, however many parts there are."""
+    part = ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return part[head], np.append(head, len(keys))
 
 
 SENT = "part int, chunk int, keys binary, load binary"
 
 
 def sent(chunk: int, keys: np.ndarray, parts: int, load: np.ndarray | None = None) -> pa.Table:
-    """Rows of SENT for sorted unique keys; load: a number for each."""
-    e = part_edges(keys, parts)
-    own = np.flatnonzero(np.diff(e))
+    """Rows of SENT for sorted unique keys, none for a part without keys; load: a number or a record for each key."""
+    own, e = part_runs(keys, parts)
     return pa.table(
         {
             "part": pa.array(own.astype(np.int32)),
             "chunk": pa.array(np.full(len(own), chunk, np.int32)),
-            "keys": pa.array([pack(keys[e[i] : e[i + 1]]) for i in own], pa.binary()),
-            "load": pa.array([b"" if load is None else load[e[i] : e[i + 1]].astype("<i4").tobytes() for i in own], pa.binary()),
+            "keys": pa.array([pack(keys[a:b]) for a, b in zip(e[:-1], e[1:])], pa.binary()),
+            "load": pa.array([b"" if load is None else load[a:b].tobytes() for a, b in zip(e[:-1], e[1:])], pa.binary()),
         }
     )
 
@@ -186,20 +203,32 @@ def reply_bits(**phases: int):
     return run
 
 
+def answers(replies: pa.Table, phase: int, keys: np.ndarray, parts: int, column: str = "bits"):
+    """(from, to, answer) of each part that replied, for sorted unique keys, as the same keys were sent."""
+    own, e = part_runs(keys, parts)
+    for p, ph, b in zip(replies["part"].to_pylist(), replies["phase"].to_pylist(), replies[column]):
+        if ph == phase:
+            i = int(np.searchsorted(own, p))
+            yield int(e[i]), int(e[i + 1]), b.as_py()
+
+
 def read_bits(replies: pa.Table, phase: int, keys: np.ndarray, parts: int) -> np.ndarray:
-    """The answers for sorted unique keys, as the same keys were sent."""
-    e = part_edges(keys, parts)
+    """The bits answered for sorted unique keys."""
     out = np.zeros(len(keys), bool)
-    for p, ph, b in zip(replies["part"].to_pylist(), replies["phase"].to_pylist(), replies["bits"]):
-        if ph == phase:
-            n = e[p + 1] - e[p]
-            out[e[p] : e[p + 1]] = np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n).astype(bool)
+    for a, b, bits in answers(replies, phase, keys, parts):
+        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return out
 
 
-def doc_columns(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
-    buf, offsets = text_buffer(table["text"])
-    return table["doc_id"], buf, offsets
+def with_order(docs: DataFrame) -> DataFrame:
+    """docs with `order`: the rank of doc_id, a whole number itself, or else its place among the distinct ones; null: the least."""
+    kind = docs.schema["doc_id"].dataType
+    least = F.lit(-(1 << 63)).cast("long")
+    if isinstance(kind, IntegralType):
+        return docs.withColumn("order", F.coalesce(F.col("doc_id").cast("long"), least))
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    ranks = checkpointed(ids.withColumn("order", F.monotonically_increasing_id()))
+    return docs.join(ranks, F.col("doc_id") == F.col("id"), "left").drop("id").withColumn("order", F.coalesce("order", least))
 
 
 def give_back() -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import REPLY, SENT, U, Rolling, checkpointed, chunk_count, lowered, mix, pack, part_edges, sent, text_buffer, tidy, unpack, word_hashes, word_spans
+from .common import REPLY, SENT, U, Rolling, answers, checkpointed, chunk_count, lowered, mix, pack, part_runs, sent, text_buffer, tidy, unpack, word_hashes, word_spans
 from .graph import components
 
 BITS, FANOUT = 4096, 8
@@ -161,10 +161,9 @@ class Shingled:
 
     def ranks(self, replies: pa.Table, parts: int) -> np.ndarray:
         """By name: 0 for what one class alone holds, else the more the more chunks hold it."""
-        e = part_edges(self.names, parts)
         out = np.zeros(len(self.names), np.uint8)
-        for p, b in zip(replies["part"].to_pylist(), replies["bits"]):
-            out[e[p] : e[p + 1]] = np.frombuffer(b.as_py(), np.uint8)
+        for a, b, found in answers(replies, 0, self.names, parts):
+            out[a:b] = np.frombuffer(found, np.uint8)
         return np.where(out > 0, out, self.many)
 
     def prefix(self, s: np.ndarray, rule: Jaccard, ranks: np.ndarray) -> np.ndarray:
@@ -180,9 +179,8 @@ BLOBS = "part int, tokens binary, keys binary, sizes binary"
 def _blobs(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
     order = np.argsort(tokens)
     tokens, keys, sizes = tokens[order] & NAMED, keys[order], sizes[order]
-    e = part_edges(tokens, parts)
-    own = np.flatnonzero(np.diff(e))
-    cut = lambda f: pa.array([f(slice(e[i], e[i + 1])) for i in own], pa.binary())
+    own, e = part_runs(tokens, parts)
+    cut = lambda f: pa.array([f(slice(a, b)) for a, b in zip(e[:-1], e[1:])], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), cut(lambda s: pack(tokens[s])), cut(lambda s: keys[s].tobytes()), cut(lambda s: sizes[s].tobytes())], ["part", "tokens", "keys", "sizes"])
 
 
