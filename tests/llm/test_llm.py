@@ -209,12 +209,28 @@ def test_gru_trains_on_all_training_rows(docs, rows, monkeypatch):
     assert sorted(given) == sorted(r[0] for r in rows if r[0] % 3 != 1)
 
 
+def test_gru_scores_do_not_depend_on_partitions(docs):
+    from pyspark.sql import functions as F
+
+    one, many = ({(r.doc_id, r.n_tokens): r.score for r in gru.scored(docs.repartition(n), F.col("doc_id") % 3 != 1, chunk_bytes=4000).collect()} for n in (1, 8))
+    assert one == many
+
+
+def test_gru_gains_on_held_out_texts(spark):
+    from recurra.llm.queries import crc_of_id
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = gru.scored(d, crc_of_id(7) != 2, rounds=3).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert got.s > 0.99 * got.b
+
+
 def test_gru_gradient():
     rng = np.random.default_rng(1)
-    net = gru.Network.begun(rng.integers(1, 50, gru.VOCAB), 5, 100)
+    classes, width = 6, 5
+    net = gru.Network.begun(rng.integers(1, 50, classes * width), 5, 100, classes, width)
     net.p[:] += rng.normal(0, 0.1, len(net.p)).astype(np.float32)
-    x, y = rng.integers(0, gru.VOCAB, (4, 3)), rng.integers(0, gru.VOCAB + 2, (4, 3))
-    run = lambda p: gru.Network(p).gradient(x, y, np.ones((4, 3), bool), np.zeros((3, gru.HIDDEN), np.float32))
+    x, y = rng.integers(0, net.vocab, (4, 3)), rng.integers(0, net.vocab + 2, (4, 3))
+    run = lambda p: gru.Network(p, classes, width).gradient(x, y, np.ones((4, 3), bool), np.zeros((3, gru.HIDDEN), np.float32))
     g = run(net.p)[0]
     for i in np.argsort(-np.abs(g))[[0, 20, 200]]:
         a, b = net.p.copy(), net.p.copy()
