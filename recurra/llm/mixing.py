@@ -6,8 +6,9 @@ ceil(k * W / w); in each slot the released block with the earliest deadline runs
 then had less than one block more or less than its weight asks for, however many slots there are.  Slots of sources that have
 run out are closed up, so the rest go on in proportion; every row is kept.  Sources of weight 0 follow after all others.
 
-Null sources count as one source; rows that repeat are separate rows of their blocks; an empty
-table gives an empty result.
+Null sources count as one source, and null doc_ids as empty ones; rows that repeat are separate rows of their blocks; an empty
+table gives an empty result; other columns pass through, whatever their names, but for one called _mix, which is replaced.  A very long
+text is carried whole: a block is a number of rows.
 """
 
 import math
@@ -94,16 +95,17 @@ def mix_sources(docs: DataFrame, block_rows: int = 64, slots: int = 1000, weight
     Blocks take a source's rows in the order of md5(doc_id), a fixed shuffle.  slots: how many are scheduled at a stretch; no
     matter to the result.
     """
+    # Rows are carried in one column, so that theirs and ours cannot clash.
+    names = [c for c in docs.columns if c != "_mix"]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_k", key).withColumn("_c", F.substring("_k", 1, 2))
-    counts = docs.select("source", F.substring(key, 1, 2).alias("_c")).groupBy("source", "_c").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows a source
-    offsets = counts.select(F.col("source").alias("_s"), F.col("_c").alias("_oc"), F.coalesce(before, F.lit(0)).alias("_before"))
-    sizes = counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("b", F.ceil(F.col("rows") / block_rows).cast("long"))
-    number = F.row_number().over(Window.partitionBy("source", "_c").orderBy("_k", "doc_id", "_c")) - 1
-    numbered = rows.withColumn("_n", number).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_oc")), "left")
-    numbered = numbered.withColumn("_n", (F.col("_n") + F.col("_before")).cast("long")).drop("_s", "_oc", "_before", "_k", "_c")
-    numbered = numbered.withColumn("_block", F.expr(f"_n div {block_rows}"))
+    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("of"), "doc_id", key.alias("k")).withColumn("c", F.substring("k", 1, 3))
+    counts = docs.select(F.col("source").alias("of"), F.substring(key, 1, 3).alias("c")).groupBy("of", "c").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))  # at most 4096 rows a source
+    offsets = counts.select("of", "c", F.coalesce(before, F.lit(0)).alias("before"))
+    sizes = counts.groupBy("of").agg(F.sum("n").alias("rows")).withColumn("b", F.ceil(F.col("rows") / block_rows).cast("long")).withColumnRenamed("of", "source")
+    number = F.row_number().over(Window.partitionBy("of", "c").orderBy("k", "doc_id")) - 1
+    numbered = ours.withColumn("n", number).join(offsets.select(F.col("of").alias("s"), F.col("c").alias("oc"), "before"), F.expr("of <=> s and c = oc"), "left")
+    numbered = numbered.select("row", "of", (F.col("n") + F.col("before")).cast("long").alias("n")).withColumn("b", F.expr(f"n div {block_rows}"))
     blocks = planned(sizes, block_rows, slots, weights).select(
         "_s",
         "_b",
@@ -116,12 +118,13 @@ def mix_sources(docs: DataFrame, block_rows: int = 64, slots: int = 1000, weight
             "first",
         ).alias("_m"),
     )
-    joined = numbered.join(blocks, F.expr("source <=> _s and _block = _b"))
+    joined = numbered.join(blocks, F.expr("of <=> _s and b = _b"))
     fields = [F.col("_m." + c).alias(c) for c in ("block", "release", "deadline", "slot", "turn")]
-    return joined.withColumn("_mix", F.struct(*fields, F.expr(f"_m.first + _n % {block_rows}").alias("position"))).drop("_n", "_block", "_b", "_s", "_m")
+    return joined.select(*[F.col(f"row.`{c}`") for c in names], F.struct(*fields, F.expr(f"_m.first + n % {block_rows}").alias("position")).alias("_mix"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in the order of the mix: sorted files, read in the order of their names."""
-    mixed = mix_sources(docs, **options)
-    return mixed.repartitionByRange(F.col("_mix.position")).sortWithinPartitions("_mix.position").drop("_mix")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    mixed = mix_sources(whole, **options).select("row", F.col("_mix.position").alias("position"))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
