@@ -16,13 +16,13 @@ repeat are one class; an empty table gives an empty result; other columns are no
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import REPLY, SENT, U, Rolling, answers, checkpointed, chunk_count, lowered, mix, pack, part_runs, sent, text_buffer, tidy, unpack, word_hashes, word_spans
 from .graph import components
 
-BITS, FANOUT = 4096, 8
+BITS, FANOUT, HOT = 4096, 8, 10_000
 NAMED = U(0xFFFFFFFFFFFF0000)  # of a shingle's hash what brings sets together; a chance meeting costs a comparison
 
 
@@ -243,7 +243,7 @@ def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes:
     rule = Jaccard(percent)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = checkpointed(classed(docs, words, rule, chunk_bytes))
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     some = rows.where("prefix is not null")
     parts = max(16, (some.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) >> 22)
     edges = components(candidate_edges(some, rule, parts)).withColumnRenamed("u", "key")
@@ -270,8 +270,18 @@ def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes:
         least = joined.groupBy("component").agg(F.min("rep").alias("least"))
         labels = labels.unionByName(joined.join(least, "component").select(F.col("u").alias("key"), "least", "component"))
     # without a label the class is a component of its own; where all ids of one are null, so is component_id
-    named = classes.join(labels, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "key").alias("component"))
-    return rows.join(named, "key", "left")
+    named = classes.join(labels, "key", "left").select("key", "copies", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "key").alias("component"))
+    return with_classes(rows, checkpointed(named))
+
+
+def with_classes(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with what named says of their key.  A class with more than 1/HOT of all copies, of which there are less than HOT, is dealt to as many tasks as it has such parts; rows without a set (n = 0) go anywhere."""
+    share = F.lit(max(1, (named.agg(F.sum("copies")).first()[0] or 0) // HOT))
+    parts = named.withColumn("parts", F.ceil(F.col("copies") / share).cast("int"))
+    hot = F.broadcast(parts.where("parts > 1").select(F.col("key").alias("hot_key"), "parts"))
+    dealt = rows.join(hot, F.expr("n > 0 and key = hot_key"), "left").withColumn("part", F.when(F.col("n") == 0, F.col("row")).otherwise(F.coalesce(F.pmod("row", "parts"), F.lit(0)))).drop("hot_key", "parts")
+    names = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts", "copies")
+    return dealt.join(names, ["key", "part"], "left").drop("part")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -284,12 +294,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 40
     """One row of each group of near-duplicates, that of the least doc_id (nulls last), with all its columns; rows without words stay."""
     rows = grouped(docs, words, percent, block, chunk_bytes).where("n > 0")
     ids = rows.groupBy("component", "row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    turn = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
-    apart = checkpointed(ids.withColumn("turn", turn).where("turn > 1 or copies > 1").select(F.col("row").alias("_row"), "turn"))
-    marked = docs.withColumn("_row", row_hash())
-    kept = marked.join(apart.select("_row"), "_row", "left_anti")
-    repeated = apart.where("turn = 1").select("_row")
-    if not repeated.isEmpty():  # rows that agree in doc_id and text: one of them
-        copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-        kept = kept.unionByName(marked.join(repeated, "_row", "left_semi").withColumn("_copy", copy).where("_copy = 1").drop("_copy"))
-    return kept.select(*docs.columns)
+    least = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), "doc_id", "row")).alias("first"))
+    apart = checkpointed(ids.join(least, "component").select("row", "copies", (F.col("row") == F.col("first.row")).alias("stays")).where("not stays or copies > 1"))
+    # Documents are carried in one column, so that their names and ours cannot clash.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_hash().alias("row"))
+    kept = marked.join(apart.select("row"), "row", "left_anti")
+    repeated = apart.where("stays").select("row")
+    if not repeated.isEmpty():  # rows that agree in doc_id and text: one of them, any where other columns differ; each task sends on one at most
+        one = marked.join(repeated, "row", "left_semi").groupBy("row").agg(F.first("whole").alias("whole"))
+        kept = kept.unionByName(one.select("whole", "row"))
+    return kept.select("whole.*")
