@@ -1,4 +1,4 @@
-"""Chunks of documents that follow the order of doc_id."""
+"""Chunks of rows that follow the order of `order`, a whole number."""
 
 import math
 
@@ -7,22 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cut_points(docs: DataFrame, chunks: int) -> list[int]:
-    """At most chunks - 1 doc_ids, ascending, that cut the rows into about equal runs: one number for each chunk."""
+def cut_points(rows: DataFrame, chunks: int) -> np.ndarray:
+    """At most chunks - 1 numbers, ascending, that cut the rows into about equal runs."""
     if chunks < 2:
-        return []
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    return sorted({int(x) for x in ids.approxQuantile("doc_id", [k / chunks for k in range(1, chunks)], 1 / (8 * chunks))})
+        return np.zeros(0, np.int64)
+    found = rows.approxQuantile("order", [k / chunks for k in range(1, chunks)], 1 / (8 * chunks))
+    least = -float(1 << 63)
+    return np.array(sorted({int(x) for x in found if x > least}), np.int64)
 
 
-def chunk_of(cuts: list[int], doc_id: Column) -> Column:
-    """How many cuts are at or below doc_id (null: 0), by a search in two steps."""
-    if not cuts:
+def chunk_of(cuts: np.ndarray, order: Column) -> Column:
+    """How many cuts are at or below order, by a search in two steps; the cuts are two literals of 8 bytes a cut, whatever their number."""
+    if not len(cuts):
         return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    lit = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda a: F.size(F.filter(a, lambda x: x <= doc_id.cast("long")))
-    top = F.greatest(below(lit([g[0] for g in groups])) - 1, F.lit(0))
-    inner = F.element_at(F.array(*[lit(g) for g in groups]), top + 1)
-    return F.when(doc_id.isNull(), 0).otherwise(top * step + below(inner)).cast("int")
+    tops = cuts[::step]
+    held = F.lit(cuts)
+    below = lambda a: F.size(F.filter(a, lambda x: x <= order))
+    top = F.greatest(below(F.lit(tops)) - 1, F.lit(0))
+    return (top * step + below(F.slice(held, top * step + 1, F.lit(step)))).cast("int")
