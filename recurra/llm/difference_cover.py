@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import REPLY, SENT, TABLE, Rolling, U, chunk_count, read_bits, reply_bits, sent, text_buffer, tidy
 from .relative_lz import covered
@@ -234,13 +235,13 @@ def without_repeats(docs: DataFrame, window: int = 200, chunk_bytes: int = 2 <<
     """docs with all their columns and rows, less the repeats in text; what is cut within a character goes whole; n_chars, where there is one, is counted again."""
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
-    kind = docs.select(row).schema["row"].dataType.simpleString()
+    schema = StructType([docs.select(row).schema["row"], StructField("text", StringType())])
 
     def finish(table, owner, start, stop):
         kept = [k.decode("utf-8", "ignore") for k in _cut(table, owner, start, stop)[3]]
         empty = pc.is_null(table["text"]).to_pylist()
         return pa.table({"row": table["row"], "text": pa.array([None if e else k for e, k in zip(empty, kept)], pa.string())})
 
-    out = _finished(docs, window, chunk_bytes, finish, f"row {kind}, text string", row)
+    out = _finished(docs, window, chunk_bytes, finish, schema, row)
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
     return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return sums.select("doc_id", vector().alias("v")).select("doc_id", "v", text_of("v").alias("fingerprint"))
 
 
-def compare(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
+def compare(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
     The edited text has its last half of code points replaced by as many of the next text's first (or all it has).

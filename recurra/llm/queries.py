@@ -67,5 +67,42 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover)}
 
 
+#: Words of whole texts, as lists.
+_WORDS = "SELECT doc_id, list_filter(regexp_split_to_array({}, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') ws FROM documents"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Windows of 20 words whose words start earlier too.
+_OP4 = f"""WITH w AS ({_WORDS.format("coalesce(text, '')")}),
+  win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) i FROM w WHERE len(ws) >= 20)),
+  dup AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) j FROM dup),
+  each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) j, unnest(ws) word FROM w),
+  kept AS (SELECT doc_id, count(*) n, string_agg(word, ' ' ORDER BY j) t FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+  SELECT w.doc_id, cast(len(ws) AS bigint) n_words, cast(len(ws) - coalesce(n, 0) AS bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+#: Sets of shingles, all pairs that share one, and the closure of the links.
+_OP6 = f"""WITH RECURSIVE w AS ({_WORDS.format(_LOWER)}),
+  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) g FROM w),
+  n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+  pairs AS (SELECT a.doc_id u, b.doc_id v, count(*) shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  links AS (SELECT u, v FROM pairs JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+  sym AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+  reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, v FROM reach r JOIN sym ON r.seen = u)
+  SELECT reach.doc_id, cast(coalesce(any_value(n), 0) AS bigint) n_shingles, min(seen) component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id"""
+
+#: Strings of 200 bytes, as hexadecimal digits, that start twice or more.
+_OP10 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM documents),
+  win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) k FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) i FROM h WHERE len(x) >= 400)),
+  dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+  edge AS (SELECT doc_id, i, lag(i) OVER w before, lead(i) OVER w after FROM dup WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  heads AS (SELECT doc_id, i a, row_number() OVER (PARTITION BY doc_id ORDER BY i) r FROM edge WHERE before IS NULL OR i - before > 200),
+  tails AS (SELECT doc_id, i + 200 b, row_number() OVER (PARTITION BY doc_id ORDER BY i) r FROM edge WHERE after IS NULL OR after - i > 200),
+  spans AS (SELECT doc_id, a, b, r, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) p FROM heads JOIN tails USING (doc_id, r)),
+  cut AS (SELECT doc_id, count(*) n, sum(b - a) gone, max(b) e, string_agg(substr(x, cast(2 * p + 1 AS bigint), cast(2 * (a - p) AS bigint)), '' ORDER BY a) kept FROM spans JOIN h USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, cast(len(x) // 2 AS bigint) n_bytes, cast(coalesce(gone, 0) AS bigint) n_removed, cast(coalesce(n, 0) AS bigint) n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, cast(2 * coalesce(e, 0) + 1 AS bigint)))) kept_sha256 FROM h LEFT JOIN cut USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose whole result it can give, written from the contracts and not from the operators."""
+    return {"op4_relative_lz": _OP4, "op6_signature_tree": _OP6, "op10_difference_cover": _OP10}
