@@ -148,7 +148,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    text = intervals.ORACLE
-    for k, v in catalog._DUCK.items():
-        text = text.replace(f"@{k}@", v)
+    text = catalog.filled(intervals.ORACLE, catalog._DUCK)
     return {"all_gap_coverage": text[: text.index("  SELECT key, id, round(x, 6) x")] + COVERAGE}

@@ -1,12 +1,16 @@
-"""Relational operators of the engine as SQL that Catalyst plans; the same text, with an engine's own names for a few functions, checks it elsewhere.
+"""Relational operators of the engine as SQL that Catalyst plans, and SQL of another form that checks it elsewhere.
 
 The point process is `ev`: one row an event with id, key, epoch (seconds), dur, minor, electronic, initial and user_id.
 Ties on time are broken by id everywhere.  "Now" is always the newest event, never the clock.
+
+Chains and as-of look-ups work in stretches of STRETCH seconds of a series: what they need of the time before or after a stretch
+is one row of a small table with a row for each stretch, so no task holds a series.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 ZONE = "America/Denver"
+STRETCH = 86400
 _SPARK = {
     "EV": f"""SELECT event_id id, trim(event_type) key, unix_seconds(cast(ts AS timestamp)) epoch, value dur, user_id,
       coalesce(try_cast(get_json_object(props, '$.k') AS int) % 10 < 3, false) minor, coalesce(try_cast(get_json_object(props, '$.k') AS int) % 4 = 0, false) electronic,
@@ -25,54 +29,25 @@ _DUCK = {
 }
 
 #: Events less than 61 s after the one before them are reports of the same; gaps carry what came before them.
-CHAIN = """WITH ev AS (@EV@),
-  near AS (SELECT *, lag(epoch) OVER (PARTITION BY key ORDER BY epoch, id) before FROM ev),
+_SPARK["CHAIN"] = f"""WITH ev AS ({_SPARK['EV']}),
+  cut AS (SELECT *, epoch div {STRETCH} b FROM ev),
+  before_cut AS (SELECT key, b, lag(top) OVER (PARTITION BY key ORDER BY b) carried FROM (SELECT key, b, max(epoch) top FROM cut GROUP BY key, b)),
+  near AS (SELECT cut.*, coalesce(lag(epoch) OVER (PARTITION BY cut.key, cut.b ORDER BY epoch, id), carried) before FROM cut JOIN before_cut c ON cut.key = c.key AND cut.b = c.b),
   singles AS (SELECT * FROM near WHERE before IS NULL OR epoch - before > 60),
-  seq AS (SELECT *, lag(epoch) OVER w prev_epoch, lag(dur) OVER w prev_dur, lag(minor) OVER w prev_minor, lag(electronic) OVER w prev_electronic, lag(initial) OVER w prev_initial
+  before_singles AS (SELECT key, b, lag(top) OVER (PARTITION BY key ORDER BY b) carried FROM (SELECT key, b, max(struct(epoch, id, dur, minor, electronic, initial, lts)) top FROM singles GROUP BY key, b)),
+  linked AS (SELECT s.*, coalesce(lag(struct(epoch, id, dur, minor, electronic, initial, lts)) OVER (PARTITION BY s.key, s.b ORDER BY epoch, id), carried) p FROM singles s JOIN before_singles c ON s.key = c.key AND s.b = c.b),
+  seq AS (SELECT *, p.epoch prev_epoch, p.dur prev_dur, p.minor prev_minor, p.electronic prev_electronic, p.initial prev_initial, p.lts prev_lts FROM linked),
+  iv AS (SELECT *, (epoch - prev_epoch) / 60e0 x FROM seq WHERE prev_epoch IS NOT NULL AND epoch > prev_epoch)"""
+_DUCK["CHAIN"] = f"""WITH ev AS ({_DUCK['EV']}),
+  singles AS (SELECT * FROM ev QUALIFY coalesce(epoch - lag(epoch) OVER (PARTITION BY key ORDER BY epoch, id) > 60, true)),
+  seq AS (SELECT *, lag(epoch) OVER w prev_epoch, lag(dur) OVER w prev_dur, lag(minor) OVER w prev_minor, lag(electronic) OVER w prev_electronic, lag(initial) OVER w prev_initial, lag(lts) OVER w prev_lts
           FROM singles WINDOW w AS (PARTITION BY key ORDER BY epoch, id)),
   iv AS (SELECT *, (epoch - prev_epoch) / 60e0 x FROM seq WHERE prev_epoch IS NOT NULL AND epoch > prev_epoch)"""
-#: Forecasts made at each event from the gaps before it, with and without a window, and what they came to.
-LEDGER = (
-    CHAIN
-    + """,
-  hist AS (SELECT key, id, epoch, prev_epoch, x, avg(x) OVER w m, stddev_samp(x) OVER w s, count(x) OVER w n FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-  made AS (SELECT 'mean' source, key, id, epoch issued, epoch + cast(floor(m * 60 + 0.123456e0) AS bigint) predicted, epoch + cast(floor((m - s) * 60 + 0.123456e0) AS bigint) opens, epoch + cast(floor((m + s) * 60 + 0.123456e0) AS bigint) closes FROM hist WHERE n >= 8
-           UNION ALL SELECT 'last' source, key, id, epoch issued, epoch + cast(epoch - prev_epoch AS bigint) predicted, cast(NULL AS bigint) opens, cast(NULL AS bigint) closes FROM hist WHERE n >= 8 AND id % 3 <> 0),
-  happened AS (SELECT key, id event_id, epoch FROM singles WHERE id % 2 = 0),
-  mixed AS (SELECT source, key, issued t, 1 side, id, issued, predicted, opens, closes, cast(NULL AS bigint) e FROM made
-           UNION ALL SELECT s.source, h.key, h.epoch t, 0 side, h.event_id id, NULL, NULL, NULL, NULL, h.epoch e FROM happened h JOIN (SELECT DISTINCT source, key FROM made) s ON h.key = s.key),
-  ahead AS (SELECT *, min(e) OVER (PARTITION BY source, key ORDER BY t DESC, side, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) taker FROM mixed),
-  waiting AS (SELECT *, row_number() OVER (PARTITION BY source, key, taker ORDER BY issued DESC, id DESC) turn, count(*) OVER (PARTITION BY source, key, taker) held FROM ahead WHERE side = 1),
-  matched AS (SELECT *, (taker - predicted) / 60e0 err, CASE WHEN opens IS NULL THEN 21600 ELSE greatest(3 * (closes - opens), 21600) END horizon FROM waiting WHERE taker IS NOT NULL AND turn = 1),
-  scored AS (SELECT source, key, taker actual, issued, predicted, opens, closes, round(err, 4) err, round(abs(err), 4) abs_err, round((taker - issued) / 60e0, 4) lead_min,
-             CASE WHEN opens IS NULL OR closes IS NULL THEN NULL ELSE taker >= opens AND taker <= closes END in_window, round((closes - opens) / 60e0, 4) width, held - 1 superseded
-             FROM matched WHERE abs(taker - predicted) <= horizon)"""
-)
+_SPARK["ZONE"] = _DUCK["ZONE"] = ZONE
+CHAIN = "@CHAIN@"
 MINUTES = """WITH raw AS (@EV@), rms AS (SELECT cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v, count(*) n FROM raw GROUP BY 1)"""
 
 
-def model(mean: str, sd: str, n: str, least: int, log: bool) -> str:
-    """50 and 90 % intervals of a normal or lognormal fit: quantiles at fixed levels need constants only."""
-    q = [("lo90", "-1.644853626951473"), ("lo50", "-0.674489750196082"), ("median", "0"), ("hi50", "0.674489750196082"), ("hi90", "1.644853626951473")]
-    each = [f"round({'exp(' if log else ''}{mean} + {z}e0 * greatest({sd}, 1e-3){')' if log else ''}, 6) {name}" for name, z in q]
-    return f"SELECT key, id, round(x, 6) x, {', '.join(each)} FROM fit WHERE {n} >= {least} AND {sd} IS NOT NULL"
-
-
-def conditional(branch: str, window: int, least: int, least_branch: int) -> str:
-    """A lognormal of the gaps that began as this one did (branch: a column of iv), of all where there are too few."""
-    w = f"PARTITION BY key ORDER BY epoch, id ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING"
-    part = lambda f, c: f"{f}(CASE WHEN {c} THEN ln(x) END) OVER w"
-    yes, no = f"{branch}", f"NOT {branch}"
-    return (
-        CHAIN
-        + f""", s AS (SELECT key, id, x, {branch} b, {part('avg', yes)} my, {part('stddev_samp', yes)} sy, {part('count', yes)} ny, {part('avg', no)} mn, {part('stddev_samp', no)} sn, {part('count', no)} nn,
-      avg(ln(x)) OVER w ma, stddev_samp(ln(x)) OVER w sa, count(*) OVER w na FROM iv WINDOW w AS ({w})),
-      fit AS (SELECT key, id, x, na, CASE WHEN b AND ny >= {least_branch} THEN my WHEN NOT b AND nn >= {least_branch} THEN mn ELSE ma END mean,
-      CASE WHEN b AND ny >= {least_branch} THEN sy WHEN NOT b AND nn >= {least_branch} THEN sn ELSE sa END sd FROM s) """
-        + model("mean", "sd", "na", least, True)
-    )
-
-
 def _windowed(window: int, log: bool) -> str:
     v = "ln(x)" if log else "x"
     w = f"PARTITION BY key ORDER BY epoch, id ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING"
@@ -105,25 +80,29 @@ CATALOG: dict[str, str] = {
       p AS (SELECT key, avg(CASE WHEN electronic THEN 1e0 ELSE 0e0 END) prior FROM iv GROUP BY key)
       SELECT h.key, season, hr, n, round(least(0.995e0, greatest(0.3e0, (n * r + 200 * prior) / (n + 200))), 6) rate FROM h JOIN p ON h.key = p.key""",
     "hourly_profile": CHAIN + ", h AS (SELECT key, cast(hour(lts) AS int) hr, count(*) n FROM iv GROUP BY 1, 2) SELECT key, hr, round(least(0.995e0, greatest(0.05e0, (1 + n) * 24 * 0.9e0 / sum(1 + n) OVER (PARTITION BY key))), 6) p FROM h",
-    "basin_activity_range": "WITH ev AS (@EV@) SELECT id, count(*) OVER (PARTITION BY key ORDER BY epoch RANGE BETWEEN 2700 PRECEDING AND CURRENT ROW) seen FROM ev",
+    "basin_activity_range": f"""WITH ev AS (@EV@), c AS (SELECT epoch, epoch div {STRETCH} b, count(*) n FROM ev GROUP BY epoch),
+      held AS (SELECT epoch, b, n, 0 halo FROM c UNION ALL SELECT epoch, b + 1, n, 1 FROM c WHERE epoch % {STRETCH} > {STRETCH} - 2700),
+      s AS (SELECT epoch, halo, sum(n) OVER (PARTITION BY b ORDER BY epoch RANGE BETWEEN 2699 PRECEDING AND CURRENT ROW) seen FROM held)
+      SELECT id, cast(seen AS bigint) seen FROM ev JOIN s ON ev.epoch = s.epoch AND halo = 0""",
     "latest_two": "WITH ev AS (@EV@), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY epoch DESC, id DESC) n FROM ev) SELECT key, id, epoch, cast(n AS bigint) n FROM r WHERE n <= 2",
-    "recent_gaps": CHAIN + ", r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY epoch DESC, id DESC) n FROM iv WHERE NOT minor) SELECT key, count(*) n, round(min(x), 6) least, round(@PCT@(x, 0.5), 6) median, round(max(x), 6) most FROM r WHERE n <= 9 GROUP BY key",
+    "recent_gaps": """WITH ev AS (@EV@), t AS (SELECT DISTINCT key, epoch FROM ev WHERE NOT minor), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY epoch DESC) n FROM t),
+      g AS (SELECT key, (lag(epoch) OVER (PARTITION BY key ORDER BY epoch DESC) - epoch) / 60e0 x FROM r WHERE n <= 9)
+      SELECT key, count(x) n, round(min(x), 6) least, round(@PCT@(x, 0.5), 6) median, round(max(x), 6) most FROM g GROUP BY key""",
     "union_latest_wins": """WITH ev AS (@EV@), u AS (SELECT id, key, epoch, dur, 0 live FROM ev UNION ALL SELECT id, key, epoch, dur + 1 dur, 1 live FROM ev WHERE id % 7 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY live DESC) n FROM u) SELECT id, key, epoch, round(dur, 6) dur, live FROM r WHERE n = 1""",
-    "asof_backward": "WITH ev AS (@EV@), " + _GRID + """, u AS (SELECT key, t, 1 side, cast(NULL AS bigint) e FROM grid UNION ALL SELECT key, epoch, 0, epoch FROM ev),
-      a AS (SELECT key, t, side, max(e) OVER (PARTITION BY key ORDER BY t, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) last_epoch FROM u) SELECT key, t, last_epoch FROM a WHERE side = 1""",
-    "asof_forward": "WITH ev AS (@EV@), " + _GRID + """, u AS (SELECT key, t, 0 side, cast(NULL AS bigint) e FROM grid UNION ALL SELECT key, epoch, 1, epoch FROM ev),
-      a AS (SELECT key, t, side, min(CASE WHEN e > t THEN e END) OVER (PARTITION BY key ORDER BY t DESC, side DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) any_next,
-      min(e) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) next_epoch FROM u) SELECT key, t, next_epoch, CASE WHEN next_epoch <= t + 1800 THEN next_epoch END within_half_hour FROM a WHERE side = 0""",
+    "asof_backward": "WITH ev AS (@EV@), " + _GRID + f""", u AS (SELECT key, t, t div {STRETCH} b, 1 side, cast(NULL AS bigint) e FROM grid UNION ALL SELECT key, epoch, epoch div {STRETCH}, 0, epoch FROM ev),
+      c AS (SELECT key, b, max(top) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) carried FROM (SELECT key, b, max(e) top FROM u GROUP BY key, b)),
+      a AS (SELECT key, t, b, side, max(e) OVER (PARTITION BY key, b ORDER BY t, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) e FROM u)
+      SELECT a.key, t, coalesce(e, carried) last_epoch FROM a JOIN c ON a.key = c.key AND a.b = c.b WHERE side = 1""",
+    "asof_forward": "WITH ev AS (@EV@), " + _GRID + f""", u AS (SELECT key, t, t div {STRETCH} b, 0 side, cast(NULL AS bigint) e FROM grid UNION ALL SELECT key, epoch, epoch div {STRETCH}, 1, epoch FROM ev),
+      c AS (SELECT key, b, min(top) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) carried FROM (SELECT key, b, min(e) top FROM u GROUP BY key, b)),
+      a AS (SELECT key, t, b, side, min(e) OVER (PARTITION BY key, b ORDER BY t DESC, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) e FROM u),
+      n AS (SELECT a.key, t, coalesce(e, carried) next_epoch FROM a JOIN c ON a.key = c.key AND a.b = c.b WHERE side = 0)
+      SELECT key, t, next_epoch, CASE WHEN next_epoch <= t + 1800 THEN next_epoch END within_half_hour FROM n""",
     "interval_semi": "WITH ev AS (@EV@), " + _GRID + """, u AS (SELECT key, t, 0 side, 0 hit FROM grid UNION ALL SELECT 'click', epoch, 1, 1 FROM ev WHERE key = 'error'),
       a AS (SELECT key, t, side, sum(hit) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 600 FOLLOWING) hits FROM u) SELECT key, t FROM a WHERE side = 0 AND hits > 0""",
     "live_signals": """WITH ev AS (@EV@), rules AS (SELECT 'error' key, 'purchase' target, 3600 lookback UNION ALL SELECT 'signup', 'view', 7200 UNION ALL SELECT 'click', 'purchase', 60),
       latest AS (SELECT key, max(epoch) newest FROM ev GROUP BY key) SELECT r.key, r.target, l.newest, n.now_epoch - l.newest age_s FROM rules r JOIN latest l ON r.key = l.key JOIN (SELECT max(epoch) now_epoch FROM ev) n ON n.now_epoch - l.newest <= r.lookback""",
-    "rolling_normal_intervals": _windowed(30, False) + model("mean", "sd", "n", 8, False),
-    "lognormal_intervals": _windowed(100, True) + model("mean", "sd", "n", 12, True),
-    "minor_conditional_intervals": conditional("coalesce(prev_minor, false)", 400, 60, 25),
-    "entry_conditional_intervals": conditional("coalesce(prev_electronic, false)", 400, 60, 25),
-    "duration_split_intervals": conditional("(coalesce(prev_dur, 0) >= 150)", 400, 24, 12),
     "common_eval_set": _TWO + " SELECT p.model, p.key, count(*) n FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2",
     "coverage_by_model": _TWO
     + """ SELECT p.model, p.key, count(*) n, round(avg(abs(x - mid)), 6) mae, round(avg(CASE WHEN x BETWEEN lo50 AND hi50 THEN 1e0 ELSE 0e0 END), 6) cover50,
@@ -131,24 +110,13 @@ CATALOG: dict[str, str] = {
     "model_rank": _TWO
     + """, m AS (SELECT p.model, p.key, avg(abs(x - mid)) mae FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2)
       SELECT a.key, a.model, cast(rank() OVER (PARTITION BY a.key ORDER BY round(a.mae, 9)) AS bigint) place, round(100 * (b.mae - a.mae) / b.mae, 3) gain_pct FROM m a JOIN m b ON a.key = b.key AND b.model = 'rolling_normal'""",
-    "prediction_match": LEDGER + " SELECT source, key, id, issued, taker actual, held - 1 superseded FROM waiting WHERE turn = 1 AND taker IS NOT NULL",
-    "still_open": LEDGER + " SELECT source, key, id, issued, predicted, CASE WHEN (SELECT max(epoch) FROM ev) - issued > 172800 THEN true ELSE false END expired FROM waiting WHERE taker IS NULL",
-    "beyond_horizon": LEDGER + " SELECT source, key, count(*) n FROM matched WHERE abs(taker - predicted) > horizon GROUP BY 1, 2",
-    "score_rows": LEDGER + " SELECT * FROM scored",
-    "scoreboard": LEDGER
-    + """, e AS (SELECT key, count(*) events FROM happened GROUP BY key) SELECT s.source, s.key, count(*) n, round(avg(abs_err), 6) mae_min, round(@PCT@(err, 0.5), 6) median_signed_error_min, count(in_window) n_windowed,
-      cast(sum(CASE WHEN in_window THEN 1 ELSE 0 END) AS bigint) n_in_window, round(@PCT@(width, 0.5), 6) median_window_width_min, round(@PCT@((predicted - opens) / 60e0, 0.5), 6) median_window_lo_min,
-      round(@PCT@((closes - predicted) / 60e0, 0.5), 6) median_window_hi_min, round(count(*) / (max(events) * 1e0), 6) coverage FROM scored s JOIN e ON s.key = e.key GROUP BY 1, 2""",
-    "comparisons_page": LEDGER
-    + " SELECT key, actual, max(CASE WHEN source = 'mean' THEN err END) mean_err, max(CASE WHEN source = 'last' THEN err END) last_err, count(*) sources FROM scored GROUP BY key, actual ORDER BY actual DESC, key LIMIT 20 OFFSET 20",
-    "cap_open_per_series": LEDGER + ", r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY issued DESC, id DESC) k FROM made) SELECT source, key, id, issued FROM r WHERE k <= 12",
     "day_counts": "WITH ev AS (@EV@) SELECT @DAY@ AS day_local, count(*) n FROM ev GROUP BY 1",
     "gap_histogram": CHAIN + ", b AS (SELECT key, least(59, cast(floor(x / 2e0) AS int)) bin FROM iv) SELECT key, bin, count(*) n FROM b GROUP BY 1, 2",
     "minute_rms": MINUTES + " SELECT m, round(v, 6) rms, n FROM rms",
-    "fire_candidates": MINUTES
-    + """, w AS (SELECT m, v, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM rms
-      WINDOW f AS (ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (ORDER BY m RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING))
-      SELECT m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE n_next = 3 AND n_base >= 10 AND least_next >= 1.2e0 * base""",
+    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2")
+    + """, w AS (SELECT station, m, v, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM rms
+      WINDOW f AS (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY station ORDER BY m RANGE BETWEEN 360 PRECEDING AND 1 PRECEDING))
+      SELECT station, m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE n_next = 3 AND n_base >= 60 AND least_next >= 1.2e0 * base""",
     "regional_veto": """WITH ev AS (@EV@), st AS (SELECT key station, cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v FROM ev WHERE key IN ('view', 'click') GROUP BY 1, 2),
       fires AS (SELECT DISTINCT cast(floor(epoch / 3600e0) AS bigint) * 60 m FROM ev),
       u AS (SELECT station, m, v, 0 fire FROM st UNION ALL SELECT 'view', m, cast(NULL AS double), 1 FROM fires UNION ALL SELECT 'click', m, cast(NULL AS double), 1 FROM fires),
@@ -161,18 +129,36 @@ CATALOG: dict[str, str] = {
       SELECT id, key, try_cast(nullif(raw, '') AS bigint) predicted, CASE WHEN nth IN ('', '1') THEN 'next' ELSE concat('(interval x', nth, ')') END detail, CASE WHEN user_id % 5 = 0 THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM f WHERE nth <> '2'""",
     "planning_flag": CHAIN
     + """, s AS (SELECT key, max(epoch) newest, @PCT@(x, 0.5) med FROM iv GROUP BY key) SELECT key, round((n.now_epoch - newest) / 60e0, 6) age_min, round(med, 6) median, CASE WHEN (n.now_epoch - newest) / 60e0 > 1.5e0 * med THEN 'planning' ELSE 'live' END mode
-      FROM s CROSS JOIN (SELECT max(epoch) now_epoch FROM ev) n""",
+      FROM s JOIN (SELECT max(epoch) now_epoch FROM ev) n ON now_epoch >= newest""",
     "changepoint_sums": CHAIN + " SELECT key, id, cast(sum(epoch - prev_epoch) OVER w AS bigint) s1, cast(sum((epoch - prev_epoch) * (epoch - prev_epoch)) OVER w AS bigint) s2 FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 }
 
 
-def text(name: str, engine: dict[str, str]) -> str:
-    out = CATALOG[name]
-    for k, v in engine.items():
-        out = out.replace(f"@{k}@", v)
+#: Where the check is written in another form than the query.
+ORACLE: dict[str, str] = {
+    "asof_backward": "WITH ev AS (@EV@), " + _GRID + " SELECT g.key, g.t, e.epoch last_epoch FROM grid g ASOF LEFT JOIN ev e ON g.key = e.key AND g.t >= e.epoch",
+    "asof_forward": "WITH ev AS (@EV@), " + _GRID + " SELECT g.key, g.t, e.epoch next_epoch, CASE WHEN e.epoch <= g.t + 1800 THEN e.epoch END within_half_hour FROM grid g ASOF LEFT JOIN ev e ON g.key = e.key AND g.t < e.epoch",
+    "interval_semi": "WITH ev AS (@EV@), " + _GRID + " SELECT key, t FROM grid g WHERE key = 'click' AND EXISTS (FROM ev e WHERE e.key = 'error' AND e.epoch > g.t AND e.epoch <= g.t + 600)",
+    "basin_activity_range": "WITH ev AS (@EV@), c AS (SELECT epoch, count(*) n FROM ev GROUP BY epoch), r AS (SELECT epoch, sum(n) OVER (ORDER BY epoch) upto FROM c), l AS (SELECT r.epoch, r.upto - coalesce(o.upto, 0) seen FROM r ASOF LEFT JOIN r o ON r.epoch - 2700 >= o.epoch) SELECT id, cast(seen AS bigint) seen FROM ev JOIN l USING (epoch)",
+    "recent_gaps": "WITH ev AS (@EV@), t AS (SELECT DISTINCT key, epoch FROM ev WHERE NOT minor QUALIFY dense_rank() OVER (PARTITION BY key ORDER BY epoch DESC) <= 9), g AS (SELECT key, (epoch - (SELECT max(o.epoch) FROM t o WHERE o.key = t.key AND o.epoch < t.epoch)) / 60e0 x FROM t) SELECT key, count(x) n, round(min(x), 6) least, round(median(x), 6) median, round(max(x), 6) most FROM g GROUP BY key",
+    "latest_two": "WITH ev AS (@EV@), l AS (SELECT key, list({'id': id, 'epoch': epoch} ORDER BY epoch DESC, id DESC)[1:2] l FROM ev GROUP BY key) SELECT key, l[i].id id, l[i].epoch epoch, i n FROM l, range(1, 3) t(i) WHERE i <= len(l)",
+    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2")
+    + """ SELECT a.station, a.m, round(min(b.v), 6) least_next, round((SELECT median(c.v) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1), 6) base FROM rms a JOIN rms b ON b.station = a.station AND b.m BETWEEN a.m AND a.m + 2
+      GROUP BY a.station, a.m HAVING count(*) = 3 AND (SELECT count(*) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1) >= 60 AND min(b.v) >= 1.2e0 * (SELECT median(c.v) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1)""",
+}
+
+
+def filled(out: str, engine: dict[str, str]) -> str:
+    """out with an engine's own words put in."""
+    for k in ("CHAIN", "EV", "PCT", "DAY", "ZONE"):
+        out = out.replace(f"@{k}@", engine[k])
     return out
 
 
+def text(name: str, engine: dict[str, str]) -> str:
+    return filled(ORACLE.get(name, CATALOG[name]) if engine is _DUCK else CATALOG[name], engine)
+
+
 def plan(name: str, spark: SparkSession, events: DataFrame) -> DataFrame:
     """An operator of the catalogue over a table of events."""
     return spark.sql(text(name, _SPARK), events=events)

@@ -8,11 +8,12 @@ import pandas as pd
 import pytest
 
 from recurra.functions import dist
-from recurra.operators import forecasts, intervals
-from recurra.plans import catalog
+from recurra.operators import forecasts, intervals, trailing
+from recurra.plans import catalog, scoring
 
 DATA = "/root/testdata/sf0.001"
-ORACLE = catalog.oracle_sql() | intervals.oracle_sql()
+QUERIES = catalog.queries() | scoring.queries() | trailing.queries() | intervals.queries()
+ORACLE = catalog.oracle_sql() | scoring.oracle_sql() | trailing.oracle_sql() | intervals.oracle_sql()
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
@@ -20,9 +21,9 @@ def rows(frame: pd.DataFrame) -> list[str]:
     return sorted(str([cell(v) for v in r]) for r in frame[sorted(frame)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["typed_events", "dedupe_gaps", "raw_intervals", "interval_stats", "asof_backward", "asof_forward", "interval_semi", "lognormal_intervals", "minor_conditional_intervals", "prediction_match", "score_rows", "scoreboard", "minute_rms", "feed_parse", "interval_labels", "second_mode"])
+@pytest.mark.parametrize("name", ["still_open", "beyond_horizon", "comparisons_page", "cap_open_per_series", "basin_activity_range", "recent_gaps", "duration_split_intervals", "sparse_labels", "typed_events", "dedupe_gaps", "raw_intervals", "interval_stats", "asof_backward", "asof_forward", "interval_semi", "lognormal_intervals", "minor_conditional_intervals", "prediction_match", "score_rows", "scoreboard", "minute_rms", "feed_parse", "interval_labels", "second_mode"])
 def test_oracle(spark, name):
-    query = (catalog.queries() | intervals.queries())[name]
+    query = QUERIES[name]
     con = duckdb.connect()
     con.sql(f"create view events as select * from read_parquet('{DATA}/events.parquet')")
     got, want = query(spark, DATA).toPandas(), con.sql(ORACLE[name]).df()
@@ -35,6 +36,22 @@ def test_pieces_do_not_change_labels(spark):
     assert rows(intervals.labels(iv, 37).toPandas()) == rows(intervals.labels(iv, 100_000).toPandas())
 
 
+def test_no_forecast_is_matched_with_the_event_it_was_made_at(spark):
+    got = scoring.queries()["score_rows"](spark, DATA).selectExpr("min(lead_min) least", "count(*) n").first()
+    assert got.n > 0 and got.least > 0
+
+
+def test_pieces_do_not_change_trailing_fits(spark):
+    iv = intervals.gaps(spark, spark.read.parquet(f"{DATA}/events.parquet"))
+    assert rows(trailing.intervals_of(iv, "minor_conditional_intervals", 37).toPandas()) == rows(trailing.intervals_of(iv, "minor_conditional_intervals").toPandas())
+
+
+def test_normal_functions():
+    x = np.linspace(-6, 6, 301)
+    assert np.allclose(dist.erfc(x), [math.erfc(v) for v in x], rtol=1e-13, atol=0)
+    assert np.allclose(dist.phi(dist.inverse_phi(np.linspace(0.001, 0.999, 99))), np.linspace(0.001, 0.999, 99), atol=1e-14)
+
+
 def test_weibull_finds_its_parameters():
     d = dist.weibull(80 * np.random.default_rng(1).weibull(3.2, 4000))
     assert abs(d.a - 3.2) < 0.15 and abs(d.b - 80) < 2

@@ -37,7 +37,7 @@ def test_series_has_two_modes():
 @pytest.fixture
 def frames(spark):
     def make(forecasts, events):
-        held = spark.createDataFrame([(s, "x", i, t, p, a, b, "") for s, i, t, p, a, b in forecasts], ledger.OPEN)
+        held = spark.createDataFrame([(s, "x", i, t, p, a, b, None, None, "") for s, i, t, p, a, b in forecasts], ledger.OPEN)
         return held, spark.createDataFrame([("x", i, t) for i, t in events], "key string, event_id long, epoch long"), spark.createDataFrame([], ledger.SCORED)
 
     return make
@@ -56,11 +56,23 @@ def test_ledger_matches_the_latest_before(frames):
 
 
 def test_ledger_horizon_expiry_and_order(frames):
+    """An event that comes long after the prediction is beyond the horizon; one that comes long before it is scored."""
     far, day = 7 * 3600, 86400
-    held, events, scored = frames([("s", "a", 0, 10 + far, None, None), ("s", "b", 20, 40, None, None), ("s", "c", 60, 70, None, None)], [(1, 10), (2, 50)])
-    still, kept, stats = ledger.applied(held, events, scored, 60 + 3 * day)
-    assert still.count() == 0 and [r["event_id"] for r in kept.collect()] == [2]
+    held, events, scored = frames([("s", "a", 0, 10, None, None), ("t", "b", 0, 10 + 2 * far, None, None), ("s", "c", far + 60, far + 70, None, None)], [(1, far + 20)])
+    still, kept, stats = ledger.applied(held, events, scored, far + 60 + 3 * day)
+    assert still.count() == 0 and [(r["source"], r["event_id"], r["signed_error_min"]) for r in kept.collect()] == [("t", 1, pytest.approx(-419.8))]
     assert {r["stat"]: r["n"] for r in stats.collect()} == {"superseded": 0, "expired": 1, "beyond_horizon": 1}
+    wide = frames([("s", "a", 0, 10, 0, far), ("u", "b", 0, 10, 0, 3600)], [(1, 10 + 3 * far)])
+    assert [r["source"] for r in ledger.applied(*wide, 4 * day)[1].collect()] == ["s"]
+
+
+def test_ledger_behind_http(spark, frames):
+    held, _, scored = frames([("s", "a", 0, 1, None, 5)], [(1, 1)])
+    page = []
+    http = ledger.Http(spark, lambda: page[-1] if page else None, page.append)
+    assert http.read("open", ledger.OPEN).count() == 0
+    http.write(open=held, scored=scored)
+    assert http.read("open", ledger.OPEN).collect() == held.collect() and http.read("scored", ledger.SCORED).count() == 0
 
 
 def test_first_seen_stays(frames):
