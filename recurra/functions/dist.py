@@ -1,9 +1,12 @@
 """Distributions and proper scores in numpy: normal, lognormal, Weibull, two-part mixtures and weighted samples."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 
+_NORMAL, FEW = NormalDist(), 32
+
 # Rational approximations of erf and erfc by W. J. Cody (1969), highest powers last but for the leading terms.
 _NEAR = ([3.20937758913846947e03, 3.77485237685302021e02, 1.13864154151050156e02, 3.16112374387056560e00, 1.85777706184603153e-1], [2.84423683343917062e03, 1.28261652607737228e03, 2.44024637934444173e02, 2.36012909523441209e01, 1.0])
 _MID = (
@@ -26,6 +29,8 @@ def _ratio(parts, x):
 def erfc(x):
     """The complementary error function of an array, to about 1e-15 relative."""
     x = np.asarray(x, float)
+    if x.size <= FEW:  # a call for each costs less than the calls for all
+        return np.array([math.erfc(v) for v in x.ravel().tolist()]).reshape(x.shape)
     a = np.abs(x)
     near = np.minimum(a, 0.46875)
     small = 1 - near * _ratio(_NEAR, near * near)
@@ -45,6 +50,8 @@ def phi(z):
 def inverse_phi(q):
     """The normal quantile: an approximation and one step of Halley's method."""
     q = np.asarray(q, float)
+    if q.size <= FEW:
+        return np.array([_NORMAL.inv_cdf(v) if 0 < v < 1 else -math.inf if v <= 0 else math.inf for v in q.ravel().tolist()]).reshape(q.shape)
     p = np.clip(np.minimum(q, 1 - q), 1e-300, 0.5)
     t = np.sqrt(-2 * np.log(np.minimum(p, 0.02425)))
     r = (np.maximum(p, 0.02425) - 0.5) ** 2
@@ -98,7 +105,7 @@ class Dist:
 
 
 class Mixture:
-    """narrow with weight 1 - w and wide with w; quantiles by bisection."""
+    """narrow with weight 1 - w and wide with w; quantiles by Newton's method within a bracket."""
 
     def __init__(self, narrow: Dist, wide: Dist, w: float = 0.15):
         self.narrow, self.wide, self.w = narrow, wide, w
@@ -116,11 +123,15 @@ class Mixture:
         q = np.asarray(q, float)
         both = np.stack((self.narrow.ppf(q), self.wide.ppf(q)))
         lo, hi = both.min(axis=0), both.max(axis=0)
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            under = self.cdf(mid) < q
-            lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
-        return (lo + hi) / 2
+        x = (lo + hi) / 2
+        for _ in range(60):  # Newton's steps, or halving where they leave the bracket
+            off = self.cdf(x) - q
+            if np.all(np.abs(off) < 1e-13):
+                break
+            lo, hi = np.where(off < 0, x, lo), np.where(off < 0, hi, x)
+            step = x - off / np.maximum(self.pdf(x), 1e-300)
+            x = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        return x
 
     def rvs(self, shape, rng):
         return np.where(rng.random(shape) < self.w, self.wide.rvs(shape, rng), self.narrow.rvs(shape, rng))

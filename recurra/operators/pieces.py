@@ -1,5 +1,7 @@
 """Series cut into pieces: numbering, and the rows before (and after) a piece that its windows reach, so that no task holds a series."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,3 +25,14 @@ def reached(number: str, size: int, back: int, ahead: int = 0) -> Column:
     """The pieces (of `size` rows) whose own rows or whose `back` rows before and `ahead` rows after hold this one."""
     n = F.col(number)
     return F.explode(F.sequence(F.greatest(F.floor((n - ahead) / size), F.lit(0)), F.floor((n + back) / size)))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder of spark.checkpoint.dir, for what is dear and used more than once; a folder of our own only where none is set and all runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="recurra"))
+    return df.checkpoint()

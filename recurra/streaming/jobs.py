@@ -4,7 +4,6 @@ Sinks are a log of batches: each micro-batch overwrites its own folder, so a bat
 same rows, and `latest` gives the newest row of each key.  State is bounded by watermarks or by the detector's look-back.
 """
 
-import os
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -17,8 +16,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    return os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recurra"), uuid.uuid4().hex)
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='recurra')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def log(stream: DataFrame, path: str, mode: str = "append", **trigger):
@@ -34,7 +36,8 @@ def log(stream: DataFrame, path: str, mode: str = "append", **trigger):
 def logged(spark: SparkSession, path: str, schema) -> DataFrame:
     """All rows of a log with their batch; schema: of the stream, so that an empty log can be read."""
     fields = schema.add("batch", "long") if "batch" not in schema.names else schema
-    os.makedirs(f"{path}/rows", exist_ok=True) if "://" not in path else None
+    rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    rows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(rows)
     return spark.read.schema(fields).parquet(f"{path}/rows")
 
 
@@ -137,12 +140,71 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(_events(spark, sf_dir).select("event_id", "event_type", "value"), folder(spark), "event_id")
 
 
+#: The detector over bins of ten minutes, for tables with few events: three bins, three hours to two days before, a fifth above.
+SPARSE_BINS = 600
+SPARSE_RULE = Detector(sustain=3, back=288, known=60, quiet=2500.0, least=100.0, ratio=1.2, rest=12)
+
+
+def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fires of each station (event type), from a stream of the bins' amplitudes."""
+    bins = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null and ts is not null")
+    bins = bins.groupBy(F.col("event_type").alias("station"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SPARSE_BINS).alias("m")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    path = folder(spark)
+    bins.write.parquet(f"{path}/bins")
+    fires = detections(spark.readStream.schema(bins.schema).parquet(f"{path}/bins"), SPARSE_RULE)
+    log(fires, f"{path}/fires").awaitTermination()
+    return logged(spark, f"{path}/fires", fires.schema).select("station", "m", F.round("least_next", 6).alias("least_next"), F.round("base", 6).alias("base"))
+
+
+def batch_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fires by windows and a fold over each station's candidates, of which each rules out those within the rest after it."""
+    r = SPARSE_RULE
+    return spark.sql(
+        f"""WITH bins AS (SELECT event_type station, unix_seconds(cast(ts AS timestamp)) div {SPARSE_BINS} m, sqrt(avg(value * value)) v FROM {{events}} WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+        w AS (SELECT station, m, min(v) OVER f low, count(*) OVER f n, percentile(v, 0.5) OVER b base, count(*) OVER b held FROM bins
+          WINDOW f AS (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND {r.sustain - 1} FOLLOWING), b AS (PARTITION BY station ORDER BY m RANGE BETWEEN {r.back} PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT station, array_sort(collect_list(struct(m, low, base))) a FROM w WHERE n = {r.sustain} AND held >= {r.known} AND base < {r.quiet} AND low >= greatest({r.least}, {r.ratio} * base) GROUP BY station),
+        k AS (SELECT station, aggregate(a, cast(array() AS array<struct<m: bigint, low: double, base: double>>), (s, e) -> if(size(s) = 0 OR e.m >= s[size(s) - 1].m + {r.rest}, concat(s, array(e)), s)) s FROM c)
+        SELECT station, x.m, round(x.low, 6) least_next, round(x.base, 6) base FROM (SELECT station, explode(s) x FROM k)""",
+        events=spark.read.parquet(f"{sf_dir}/events.parquet"),
+    )
+
+
+def watch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station, status, lag_min, and the last 50 fires' newest with its age: no_data where a station lags more than 30 bins behind, recent within 48 hours."""
+    fires = batch_detections(spark, sf_dir).groupBy("station").agg(F.max("m").alias("newest"), F.count(F.lit(1)).alias("fires"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null and ts is not null")
+    heard = events.groupBy(F.col("event_type").alias("station")).agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("heard"))
+    now = heard.agg(F.max("heard").alias("now"))
+    local = F.from_utc_timestamp(F.timestamp_seconds("now"), "America/Denver")
+    day = F.month(local) * 100 + F.dayofmonth(local)
+    mode = F.when((day >= 1215) | (day <= 321), "suspended").when(F.month(local).between(5, 9) & F.hour(local).between(8, 16), "paused")
+    rows = heard.join(fires, "station", "left").join(F.broadcast(now), F.col("now") >= F.col("heard"))
+    lag = F.floor((F.col("now") - F.col("heard")) / 60)
+    age = (F.col("now") - F.col("newest") * SPARSE_BINS) / 3600
+    return rows.select("station", F.coalesce(mode, F.when(lag > 30, "no_data").otherwise("watching")).alias("status"), lag.alias("lag_min"), F.least(F.col("fires"), F.lit(50)).alias("fires"), F.when(age < 48, F.round(age, 1)).alias("hours_ago"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_minute_rms, stream_presence, stream_upsert)}
+    return {f.__name__: f for f in (stream_minute_rms, stream_presence, stream_upsert, stream_detections, batch_detections, watch_status)}
 
 
 def oracle_sql() -> dict[str, str]:
+    r = SPARSE_RULE
+    fires = f"""WITH RECURSIVE bins AS (SELECT event_type station, cast(floor(epoch_us(ts) / {SPARSE_BINS}e6) AS bigint) m, sqrt(avg(value * value)) v FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT a.station, a.m, min(b.v) low, (SELECT median(o.v) FROM bins o WHERE o.station = a.station AND o.m BETWEEN a.m - {r.back} AND a.m - 1) base, (SELECT count(*) FROM bins o WHERE o.station = a.station AND o.m BETWEEN a.m - {r.back} AND a.m - 1) held
+        FROM bins a JOIN bins b ON a.station = b.station AND b.m BETWEEN a.m AND a.m + {r.sustain - 1} GROUP BY a.station, a.m HAVING count(*) = {r.sustain}),
+      ok AS (SELECT * FROM c WHERE held >= {r.known} AND base < {r.quiet} AND low >= greatest({r.least}, {r.ratio} * base)),
+      fire AS (SELECT station, min(m) m FROM ok GROUP BY station UNION ALL SELECT f.station, (SELECT min(m) FROM ok WHERE ok.station = f.station AND ok.m >= f.m + {r.rest}) FROM fire f WHERE f.m IS NOT NULL)
+      SELECT station, m, round(low, 6) least_next, round(base, 6) base FROM fire JOIN ok USING (station, m)"""
+    status = f"""WITH f AS ({fires}), n AS (SELECT station, max(m) newest, count(*) k FROM f GROUP BY station), h AS (SELECT event_type station, cast(floor(max(epoch_us(ts)) / 1e6) AS bigint) heard FROM events WHERE event_type IS NOT NULL GROUP BY 1),
+      t AS (SELECT max(heard) now, timezone('America/Denver', to_timestamp(max(heard))) lts FROM h)
+      SELECT station, CASE WHEN month(lts) * 100 + day(lts) >= 1215 OR month(lts) * 100 + day(lts) <= 321 THEN 'suspended' WHEN month(lts) BETWEEN 5 AND 9 AND hour(lts) BETWEEN 8 AND 16 THEN 'paused' WHEN (now - heard) // 60 > 30 THEN 'no_data' ELSE 'watching' END status,
+        (now - heard) // 60 lag_min, least(k, 50) fires, CASE WHEN (now - newest * {SPARSE_BINS}) / 3600e0 < 48 THEN round((now - newest * {SPARSE_BINS}) / 3600e0, 1) END hours_ago FROM h LEFT JOIN n USING (station), t"""
     return {
+        "stream_detections": fires,
+        "batch_detections": fires,
+        "watch_status": status,
         "stream_minute_rms": "SELECT cast(floor(epoch_us(ts) / 60000000) AS bigint) m, round(sqrt(avg(value * value)), 6) rms, count(*) n FROM events WHERE ts IS NOT NULL GROUP BY 1",
         "stream_presence": "SELECT event_type AS key, cast(floor(epoch_us(ts) / 300000000) AS bigint) * 300 - 300 * k AS start, count(*) n FROM events, range(9) t(k) WHERE ts IS NOT NULL GROUP BY 1, 2",
         "stream_upsert": "SELECT event_id, event_type, value FROM events",
