@@ -75,11 +75,6 @@ CATALOG: dict[str, str] = {
     "regime_counts": CHAIN + " SELECT key, coalesce(prev_minor, false) regime_minor, count(*) n, round(@PCT@(x, 0.25), 6) p25, round(@PCT@(x, 0.75), 6) p75 FROM iv GROUP BY 1, 2",
     "entry_mix": CHAIN
     + " SELECT key, count(*) n, round(100 * avg(CASE WHEN electronic THEN 1e0 ELSE 0e0 END), 1) electronic_pct, round(100 * avg(CASE WHEN minor THEN 1e0 ELSE 0e0 END), 1) minor_pct FROM iv GROUP BY key",
-    "hourly_rate_shrunk": CHAIN
-    + """, h AS (SELECT key, CASE WHEN month(lts) BETWEEN 5 AND 9 THEN 0 ELSE 1 END season, cast(hour(lts) AS int) hr, count(*) n, avg(CASE WHEN electronic THEN 1e0 ELSE 0e0 END) r FROM iv GROUP BY 1, 2, 3),
-      p AS (SELECT key, avg(CASE WHEN electronic THEN 1e0 ELSE 0e0 END) prior FROM iv GROUP BY key)
-      SELECT h.key, season, hr, n, round(least(0.995e0, greatest(0.3e0, (n * r + 200 * prior) / (n + 200))), 6) rate FROM h JOIN p ON h.key = p.key""",
-    "hourly_profile": CHAIN + ", h AS (SELECT key, cast(hour(lts) AS int) hr, count(*) n FROM iv GROUP BY 1, 2) SELECT key, hr, round(least(0.995e0, greatest(0.05e0, (1 + n) * 24 * 0.9e0 / sum(1 + n) OVER (PARTITION BY key))), 6) p FROM h",
     "basin_activity_range": f"""WITH ev AS (@EV@), c AS (SELECT epoch, epoch div {STRETCH} b, count(*) n FROM ev GROUP BY epoch),
       held AS (SELECT epoch, b, n, 0 halo FROM c UNION ALL SELECT epoch, b + 1, n, 1 FROM c WHERE epoch % {STRETCH} > {STRETCH} - 2700),
       s AS (SELECT epoch, halo, sum(n) OVER (PARTITION BY b ORDER BY epoch RANGE BETWEEN 2699 PRECEDING AND CURRENT ROW) seen FROM held)
