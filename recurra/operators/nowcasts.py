@@ -12,33 +12,77 @@ from recurra.functions import dist
 from recurra.plans import catalog
 
 from . import intervals
+from .pieces import kept
 
 #: Reliability of an announcement, mean and sd of its lead in minutes, the longest wait for it.
 RELIABLE, LEAD, LEAD_SD, WAIT = 0.94, 11.9, 4.8, 40.0
+#: How long after an event precursors count, in minutes.
+PRECURSOR_WINDOW = 90.0
+#: Fixed values of a lattice: period where it is not known, its sd, the part of a cycle in which nothing begins, what weight is left there, and how old its last event may be (all in minutes).
+PERIOD, PERIOD_SD, FORBIDDEN, RESIDUAL, FRESH = 19.0, 4.2, (4.5, 13.5), 0.05, 45.0
 #: Which key announces which, in the tables at hand.
 ANNOUNCES = {"signup": "purchase"}
+#: key -> {neighbour: minutes by which its event puts ours off}, and key -> the neighbour whose cycle ours keeps to; both are off unless asked for.
+PRECURSORS = {"view": {"click": 3.0, "error": 2.0}}
+LATTICES = {"view": "signup"}
 
 
-def known(iv: DataFrame, announces: dict[str, str], step: int = 1800) -> DataFrame:
-    """key, t, own, mean, sd, announced and next at each multiple of `step` seconds at which a series had 12 gaps behind it.
+def periods(iv: DataFrame, back: int = 40) -> DataFrame:
+    """key, epoch and period: the median of those of the last gaps that last 8 to 45 minutes; PERIOD where there are under four."""
+    w = Window.partitionBy("key").orderBy("epoch", "id").rowsBetween(2 - back, 0)
+    good = F.when((F.col("x") > 8) & (F.col("x") < 45), F.col("x"))
+    return iv.select("key", "epoch", "id", F.when(F.count(good).over(w) >= 4, F.percentile(good, 0.5).over(w)).otherwise(PERIOD).alias("period"))
 
-    iv: key, id, epoch and x.  Only `next`, the first event after t, looks ahead.
+
+def known(iv: DataFrame, announces: dict[str, str], step: int = 1800, precursors: dict | None = None, lattices: dict | None = None, triggers: tuple[int, ...] = (), least: int = 12) -> DataFrame:
+    """What is known at each multiple of `step` seconds, and `triggers` minutes after each announcement, at which a series had `least` genuine gaps behind it.
+
+    key, t, own (the last event), mean and sd of the last 100 genuine gaps, announced, shift (minutes by precursors), lattice (last event and
+    period of the neighbour's cycle), next and next_valid.  iv: key, id, epoch, x and is_valid.  Only `next` looks ahead: it is the first
+    event after t, and next_valid says whether it closes a genuine gap.
     """
     back = Window.partitionBy("key").orderBy("epoch", "id").rowsBetween(-99, 0)
-    fit = F.struct(F.col("epoch").alias("own"), F.avg(F.log("x")).over(back).alias("mean"), F.stddev_samp(F.log("x")).over(back).alias("sd"), F.count("x").over(back).alias("n"))
-    own = iv.select("key", F.col("epoch").alias("t"), F.lit(0).alias("side"), "id", fit.alias("fit"), F.lit(None).cast("long").alias("ann"))
-    near = None
+    order = Window.partitionBy("key").orderBy("epoch", "id")
+    fits = iv.where("is_valid").select("key", "epoch", "id", F.struct(F.avg(F.log("x")).over(back).alias("mean"), F.stddev_samp(F.log("x")).over(back).alias("sd"), F.row_number().over(order).alias("n")).alias("fit"))
+    blank = {"fit": F.lit(None).cast(fits.schema["fit"].dataType), "own": F.lit(None).cast("long"), "valid": F.lit(None).cast("boolean"), "ann": F.lit(None).cast("long"), "pre": F.lit(None).cast("map<string,bigint>"), "lat": F.lit(None).cast("struct<epoch: bigint, period: double>")}
+
+    def rows(df: DataFrame, key, t, side: int, **values) -> DataFrame:
+        return df.select(key.alias("key"), t.cast("long").alias("t"), F.lit(side).alias("side"), *[values.get(k, v).alias(k) for k, v in blank.items()])
+
+    all_rows = [rows(iv.join(fits, ["key", "epoch", "id"], "left"), F.col("key"), F.col("epoch"), 1, fit=F.col("fit"), own=F.col("epoch"), valid=F.col("is_valid"))]
     for a, b in announces.items():
-        n = iv.where(F.col("key") == a).select(F.lit(b).alias("key"), F.col("epoch").alias("t"), F.lit(0).alias("side"), "id", F.lit(None).cast(own.schema["fit"].dataType).alias("fit"), F.col("epoch").alias("ann"))
-        near = n if near is None else near.unionByName(n)
+        near = iv.where(F.col("key") == a)
+        all_rows.append(rows(near, F.lit(b), F.col("epoch"), 0, ann=F.col("epoch")))
+        if triggers:
+            moved = near.select("epoch", F.explode(F.array(*[F.lit(60 * m) for m in triggers])).alias("m"))
+            all_rows.append(rows(moved, F.lit(b), F.col("epoch") + F.col("m"), 2))
+    for b, each in (precursors or {}).items():
+        for a in each:
+            all_rows.append(rows(iv.where(F.col("key") == a), F.lit(b), F.col("epoch"), 0, pre=F.create_map(F.lit(a), F.col("epoch"))))
+    for b, a in (lattices or {}).items():
+        all_rows.append(rows(periods(iv.where(F.col("key") == a)), F.lit(b), F.col("epoch"), 0, lat=F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("period").alias("period"))))
     ends = iv.groupBy("key").agg(F.min("epoch").alias("a"), F.max("epoch").alias("b"))
     first = F.ceil(F.col("a") / step) * step
     grid = ends.where(first <= F.col("b")).select("key", F.explode(F.sequence(first, F.col("b"), F.lit(step).cast("long"))).alias("t"))
-    grid = grid.select("key", "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(own.schema["fit"].dataType).alias("fit"), F.lit(None).cast("long").alias("ann"))
-    every = own.unionByName(grid) if near is None else own.unionByName(near).unionByName(grid)
-    w = Window.partitionBy("key").orderBy("t", "side", "id")
-    seen = every.select("key", "t", "side", F.last("fit", True).over(w).alias("fit"), F.last("ann", True).over(w).alias("ann"), F.first(F.col("fit.own"), True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    return seen.where((F.col("side") == 1) & (F.col("fit.n") >= 12)).select("key", "t", "fit.own", "fit.mean", F.greatest("fit.sd", F.lit(1e-3)).alias("sd"), F.when(F.col("ann") > F.col("fit.own"), F.col("ann")).alias("announced"), "next")
+    every = rows(grid, F.col("key"), F.col("t"), 2)
+    for r in all_rows:
+        every = every.unionByName(r)
+    # From the newest back, each row sees the first event after it; of one instant, times come before events and those before neighbours'.
+    onward = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    names = sorted({a for each in (precursors or {}).values() for a in each})
+    after = [F.last(F.try_element_at("pre", F.lit(a)), True).over(onward).alias(f"after_{i}") for i, a in enumerate(names)]
+    ahead = every.select("*", F.last("own", True).over(onward).alias("next"), F.last("valid", True).over(onward).alias("next_valid"), *after)
+    upto = Window.partitionBy("key").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    event = F.when(F.col("own").isNotNull(), F.struct("own", *[f"after_{i}" for i in range(len(names))]))
+    seen = ahead.withColumn("event", event).select("key", "t", "side", "next", "next_valid", F.last("fit", True).over(upto).alias("fit"), F.last("event", True).over(upto).alias("event"), F.last("ann", True).over(upto).alias("ann"), F.last("lat", True).over(upto).alias("lat"))
+    shift = F.lit(0.0)
+    for b, each in (precursors or {}).items():
+        for a, minutes in each.items():
+            came = F.col(f"event.after_{names.index(a)}") <= F.least(F.col("event.own") + int(PRECURSOR_WINDOW * 60), F.col("t"))
+            shift = shift + F.when((F.col("key") == b) & came, minutes).otherwise(0.0)
+    out = seen.where((F.col("side") == 2) & (F.col("fit.n") >= least)).dropDuplicates(["key", "t"])
+    fresh = F.when((F.col("t") - F.col("lat.epoch")) / 60 <= FRESH, F.col("lat"))
+    return out.select("key", "t", "event.own", "fit.mean", F.greatest("fit.sd", F.lit(1e-3)).alias("sd"), F.when(F.col("ann") > F.col("event.own"), F.col("ann")).alias("announced"), shift.alias("shift"), fresh.alias("lattice"), "next", "next_valid")
 
 
 def announcement(elapsed: float, rng: np.random.Generator, sims: int) -> tuple[float, np.ndarray]:
@@ -53,13 +97,41 @@ def announcement(elapsed: float, rng: np.random.Generator, sims: int) -> tuple[f
     return w, d.ppf(np.clip(passed + (1 - passed) * rng.random(sims), 1e-12, 1 - 1e-12)) - elapsed
 
 
-def nowcast(mean: float, sd: float, age: float, elapsed: float | None, p_seen: float = 0.9, sims: int = 2000, seed: int = 0):
-    """Minutes left until the next event: samples, weights, the announcement's weight, misses and chance of none; None if no path lasts."""
-    s, w, missed, none = dist.renewal(dist.Dist("lognormal", mean, sd), max(age, 0.0), p_seen, sims, seed)
+def gate(minutes: np.ndarray, period: float) -> np.ndarray:
+    """Weights of times, in minutes since a lattice's last event: less in the part of a cycle where nothing begins, the less sure the further off."""
+    sd = PERIOD_SD * np.sqrt(np.maximum(np.maximum(minutes / period, 0), 1e-9))
+    sure = np.clip(1 - sd / (period / 4), 0, 1)
+    phase = np.mod(minutes, period)
+    inside = (phase > FORBIDDEN[0]) & (phase < FORBIDDEN[1])
+    return 1 - (1 - RESIDUAL) * sure * inside if sure.max(initial=0) > 0.02 else np.ones(len(minutes))
+
+
+class _Shifted:
+    """A distribution that begins later."""
+
+    def __init__(self, d, by: float):
+        self.d, self.by = d, by
+
+    def ppf(self, q):
+        return self.d.ppf(q) + self.by
+
+    def rvs(self, shape, rng):
+        return self.d.rvs(shape, rng) + self.by
+
+
+def nowcast(mean: float, sd: float, age: float, elapsed: float | None, p_seen: float = 0.9, sims: int = 2000, seed: int = 0, shift: float = 0.0, lattice: tuple[float, float] | None = None):
+    """Minutes left until the next event: samples, weights, the announcement's weight, misses and chance of none; None if no path lasts.
+
+    shift: minutes by which precursors put it off; lattice: minutes since the last event of the neighbour's cycle, and its period.
+    """
+    base = dist.Dist("lognormal", mean, sd)
+    s, w, missed, none = dist.renewal(_Shifted(base, shift) if shift else base, max(age, 0.0), p_seen, sims, seed)
     left = s - age
     w = w * (left > 0)
     if w.sum() <= 0:
         return None
+    if lattice is not None:
+        w = w * gate(lattice[0] + left, lattice[1])
     w = w / w.sum()
     share, soon = announcement(elapsed, np.random.default_rng(seed), sims) if elapsed is not None else (0.0, left[:0])
     if share:
@@ -67,11 +139,11 @@ def nowcast(mean: float, sd: float, age: float, elapsed: float | None, p_seen: f
     return left, w, share, missed, none
 
 
-FIELDS = "key string, t long, age_min double, indicator_weight double, regime string, missed double, p_current double, lo90 double, lo50 double, median double, hi50 double, hi90 double, actual double, crps double, median_off double, crps_off double"
+FIELDS = "key string, t long, age_min double, indicator_weight double, regime string, missed double, p_current double, lo90 double, lo50 double, median double, hi50 double, hi90 double, actual double, scored boolean, crps double, lo90_off double, lo50_off double, median_off double, hi50_off double, hi90_off double, crps_off double"
 
 
-def nowcasts(iv: DataFrame, announces: dict[str, str] | None = None, step: int = 1800, p_seen: float = 0.9) -> DataFrame:
-    """Rows of FIELDS; _off: without the announcement.  actual and the scores are null after the last event."""
+def nowcasts(iv: DataFrame, announces: dict[str, str] | None = None, step: int = 1800, p_seen: float = 0.9, **options) -> DataFrame:
+    """Rows of FIELDS; _off: the same time without neighbours.  actual and the scores are null after the last event; scored: whether the next event closes a genuine gap."""
 
     def run(frames):
         for f in frames:
@@ -79,26 +151,35 @@ def nowcasts(iv: DataFrame, announces: dict[str, str] | None = None, step: int =
             for r in f.itertuples(index=False):
                 age = (r.t - r.own) / 60
                 elapsed = None if pd.isna(r.announced) else (r.t - r.announced) / 60
-                got = nowcast(r.mean, r.sd, age, elapsed, p_seen, seed=int(r.t) % (1 << 31))
-                if got is None:
+                lattice = r.lattice if isinstance(r.lattice, dict) else r.lattice.asDict() if r.lattice is not None else None
+                cycle = ((r.t - lattice["epoch"]) / 60, lattice["period"]) if lattice else None
+                seed = int(r.t) % (1 << 31)
+                on = nowcast(r.mean, r.sd, age, elapsed, p_seen, seed=seed, shift=r.shift, lattice=cycle)
+                off = nowcast(r.mean, r.sd, age, None, p_seen, seed=seed) if elapsed is not None or r.shift or cycle else on
+                if on is None or off is None:
                     continue
-                left, w, share, missed, none = got
-                plain, pw = (left, w) if not share else (left[: len(left) // 2], w[: len(left) // 2])
+                left, w, share, missed, none = on
                 actual = None if pd.isna(r.next) else (r.next - r.t) / 60
                 score = lambda x, v: None if actual is None else dist.crps_sample(x, v, actual)  # noqa: E731, B023
-                q = [dist.weighted_quantile(left, w, p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]
-                out.append((r.key, r.t, age, share, "indicator_active" if share >= 0.5 else "base", missed, none, *q, actual, score(left, w), dist.weighted_quantile(plain, pw, 0.5), score(plain, pw)))
+                q = lambda x, v: [dist.weighted_quantile(x, v, p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]
+                regime = "indicator_active" if share >= 0.5 else "lattice_gated" if cycle else "precursor_shifted" if r.shift else "base"
+                out.append((r.key, r.t, age, share, regime, missed, none, *q(left, w), actual, bool(r.next_valid) if not pd.isna(r.next) else None, score(left, w), *q(off[0], off[1]), score(off[0], off[1])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
 
-    rows = known(iv, ANNOUNCES if announces is None else announces, step)
+    rows = known(iv, ANNOUNCES if announces is None else announces, step, **options)
     return rows.repartition("key", F.floor(F.col("t") / 86400)).mapInPandas(run, FIELDS)
 
 
 def backtest(casts: DataFrame) -> DataFrame:
-    """Paired by key and regime: errors, scores and 90 % coverage with and without the announcement."""
+    """Paired by key and regime, and over all regimes (`overall`): errors, scores and coverage with and without neighbours, and what they gain in percent."""
     err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual")))
-    inside = F.avg(F.col("actual").between(F.col("lo90"), F.col("hi90")).cast("double"))
-    return casts.where("actual IS NOT NULL").groupBy("key", "regime").agg(F.count(F.lit(1)).alias("n"), err("median").alias("mae"), err("median_off").alias("mae_off"), F.avg("crps").alias("crps"), F.avg("crps_off").alias("crps_off"), inside.alias("cover90"))
+    inside = lambda a, b: F.avg(F.col("actual").between(F.col(a), F.col(b)).cast("double"))
+    out = casts.where("scored and actual > 0").rollup("key", "regime").agg(
+        F.grouping("key").alias("all_keys"), F.grouping("regime").alias("all"), F.count(F.lit(1)).alias("n"), err("median").alias("mae"), err("median_off").alias("mae_off"), F.avg("crps").alias("crps"), F.avg("crps_off").alias("crps_off"),
+        inside("lo50", "hi50").alias("cover50"), inside("lo50_off", "hi50_off").alias("cover50_off"), inside("lo90", "hi90").alias("cover90"), inside("lo90_off", "hi90_off").alias("cover90_off"),
+    )
+    delta = lambda c: (100 * (F.col(c) - F.col(c + "_off")) / F.nullif(F.col(c + "_off"), F.lit(0.0))).alias(c + "_delta_pct")
+    return out.where("all_keys = 0").withColumn("regime", F.when(F.col("all") == 1, "overall").otherwise(F.col("regime"))).select("*", delta("crps"), delta("mae")).drop("all", "all_keys")
 
 
 def coverage_over_all(iv: DataFrame, least: int = 300, valid_least: int = 50) -> DataFrame:
@@ -131,12 +212,42 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.gaps(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(intervals.labels(_gaps(spark, sf_dir)).select("key", "id", "epoch", "x", "is_valid"))
+
+
 def nowcast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcasts(_gaps(spark, sf_dir))
+    return nowcasts(_judged(spark, sf_dir), triggers=(1, 4, 8))
 
 
 def nowcast_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest(nowcasts(_gaps(spark, sf_dir)))
+    return backtest(nowcasts(_judged(spark, sf_dir), triggers=(1, 4, 8), least=300))
+
+
+def nowcast_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest with both options on: precursors and the lattice."""
+    return backtest(nowcasts(_judged(spark, sf_dir), triggers=(1, 4, 8), least=300, precursors=PRECURSORS, lattices=LATTICES))
+
+
+def nowcast_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known at each time, with both options on."""
+    got = known(_judged(spark, sf_dir), ANNOUNCES, 1800, PRECURSORS, LATTICES, (1, 4, 8), 300)
+    return got.select("key", "t", "own", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "announced", "shift", F.col("lattice.epoch").alias("lattice_epoch"), F.round("lattice.period", 6).alias("period"), "next", F.coalesce("next_valid", F.lit(False)).alias("next_valid"))
+
+
+INPUTS = f""", v AS (SELECT key, id, epoch, x, coalesce((med IS NOT NULL AND x BETWEEN 0.5e0 * med AND 1.75e0 * med) OR (ml >= 3.5e0 * med AND x BETWEEN 0.5e0 * ml AND 1.75e0 * ml), false) ok FROM l),
+  fit AS (SELECT key, epoch, avg(ln(x)) OVER w m, stddev_samp(ln(x)) OVER w s, row_number() OVER (PARTITION BY key ORDER BY epoch, id) n FROM v WHERE ok WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+  lat AS (SELECT epoch, CASE WHEN count(*) FILTER (WHERE x > 8 AND x < 45) OVER w >= 4 THEN median(CASE WHEN x > 8 AND x < 45 THEN x END) OVER w ELSE {PERIOD}e0 END period FROM v WHERE key = 'signup' WINDOW w AS (ORDER BY epoch, id ROWS BETWEEN 38 PRECEDING AND CURRENT ROW)),
+  ends AS (SELECT key, min(epoch) a, max(epoch) b FROM v GROUP BY key),
+  times AS (SELECT key, unnest(range(cast(ceil(a / 1800e0) AS bigint) * 1800, b + 1, 1800)) t FROM ends UNION SELECT 'purchase', epoch + 60 * m FROM v, (VALUES (1), (4), (8)) d(m) WHERE key = 'signup'),
+  q1 AS (SELECT q.key, q.t, o.epoch own FROM times q ASOF JOIN v o ON q.key = o.key AND q.t >= o.epoch),
+  q2 AS (SELECT q1.*, f.m, f.s, f.n FROM q1 ASOF JOIN fit f ON q1.key = f.key AND q1.t >= f.epoch),
+  q3 AS (SELECT q2.*, u.epoch u FROM q2 ASOF LEFT JOIN (SELECT 'purchase' AS key, epoch FROM v WHERE key = 'signup') u ON q2.key = u.key AND q2.t >= u.epoch),
+  q4 AS (SELECT q3.*, p.epoch lat_epoch, p.period FROM q3 ASOF LEFT JOIN (SELECT 'view' AS key, * FROM lat) p ON q3.key = p.key AND q3.t >= p.epoch),
+  q5 AS (SELECT q4.*, x.epoch next, x.ok next_ok FROM q4 ASOF LEFT JOIN v x ON q4.key = x.key AND q4.t < x.epoch)
+  SELECT key, t, own, round(m, 6) mean, round(greatest(s, 1e-3), 6) sd, CASE WHEN u > own THEN u END announced,
+    CASE WHEN key = 'view' AND EXISTS (FROM v o WHERE o.key = 'click' AND o.epoch > own AND o.epoch <= least(own + 5400, t)) THEN 3e0 ELSE 0e0 END + CASE WHEN key = 'view' AND EXISTS (FROM v o WHERE o.key = 'error' AND o.epoch > own AND o.epoch <= least(own + 5400, t)) THEN 2e0 ELSE 0e0 END "shift",
+    CASE WHEN t - lat_epoch <= {FRESH * 60} THEN lat_epoch END lattice_epoch, CASE WHEN t - lat_epoch <= {FRESH * 60} THEN round(period, 6) END period, next, coalesce(next_ok, false) next_valid FROM q5 WHERE n >= 300"""
 
 
 def all_gap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +255,10 @@ def all_gap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (nowcast_grid, nowcast_backtest, all_gap_coverage)}
+    return {f.__name__: f for f in (nowcast_grid, nowcast_backtest, nowcast_options, nowcast_inputs, all_gap_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
     text = catalog.filled(intervals.ORACLE, catalog._DUCK)
-    return {"all_gap_coverage": text[: text.index("  SELECT key, id, round(x, 6) x")] + COVERAGE}
+    text = text[: text.index("  SELECT key, id, round(x, 6) x")]
+    return {"all_gap_coverage": text + COVERAGE, "nowcast_inputs": text + INPUTS}

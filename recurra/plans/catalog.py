@@ -45,6 +45,10 @@ _DUCK["CHAIN"] = f"""WITH ev AS ({_DUCK['EV']}),
   iv AS (SELECT *, (epoch - prev_epoch) / 60e0 x FROM seq WHERE prev_epoch IS NOT NULL AND epoch > prev_epoch)"""
 _SPARK["ZONE"] = _DUCK["ZONE"] = ZONE
 CHAIN = "@CHAIN@"
+#: Series whose minor events are no part of their cycle: left out before gaps are taken; and series whose phase is lost, after so many cycles.
+NOT_CYCLE, PHASE = ("error", "signup"), {"view": 2.5}
+for _engine in (_SPARK, _DUCK):
+    _engine["CYCLES"] = _engine["CHAIN"].replace(_engine["EV"], f"SELECT * FROM ({_engine['EV']}) e WHERE NOT (key IN {NOT_CYCLE} AND minor)")
 MINUTES = """WITH raw AS (@EV@), rms AS (SELECT cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v, count(*) n FROM raw GROUP BY 1)"""
 
 
@@ -67,7 +71,15 @@ _GRID = "grid AS (SELECT DISTINCT key, cast(floor(epoch / 1800e0) AS bigint) * 1
 CATALOG: dict[str, str] = {
     "typed_events": "WITH ev AS (@EV@) SELECT id, key, epoch, dur, user_id, minor, electronic, initial, cast(hour(lts) AS int) hour_local, cast(month(lts) AS int) month_local, cast(year(lts) AS int) year_local FROM ev",
     "dedupe_gaps": CHAIN + " SELECT id, key, epoch FROM singles",
-    "lag_chain": CHAIN + " SELECT id, key, epoch, prev_epoch, prev_dur, coalesce(prev_minor, false) prev_minor, coalesce(prev_electronic, false) prev_electronic, coalesce(prev_initial, false) prev_initial FROM seq",
+    "lag_chain": CHAIN + " SELECT id, key, epoch, prev_epoch, prev_dur, coalesce(prev_minor, false) prev_minor, coalesce(prev_electronic, false) prev_electronic, coalesce(prev_initial, false) prev_initial, coalesce(cast(hour(prev_lts) AS int), 12) prev_hour, coalesce(cast(dayofyear(prev_lts) AS int), 180) prev_day, coalesce(prev_dur >= 150, false) prev_long FROM seq",
+    "cycle_intervals": "@CYCLES@ SELECT key, id, epoch, round(x, 6) x FROM iv",
+    "whole_dedupe": """WITH ev AS (@EV@), u AS (SELECT DISTINCT key, epoch FROM (SELECT key, epoch FROM ev UNION ALL SELECT key, epoch + 30 epoch FROM ev WHERE id % 11 = 0)),
+      s AS (SELECT key, epoch, lag(epoch) OVER (PARTITION BY key ORDER BY epoch) before FROM u) SELECT key, epoch FROM s WHERE before IS NULL OR epoch - before > 60""",
+    "already_scored": CHAIN
+    + """, again AS (SELECT key, id FROM singles WHERE id % 2 = 0 UNION ALL SELECT key, id FROM singles WHERE id % 3 = 0), held AS (SELECT key, id FROM singles WHERE id % 3 = 0)
+      SELECT DISTINCT a.key, a.id FROM again a LEFT ANTI JOIN held h ON a.key = h.key AND a.id = h.id""",
+    "source_classes": """WITH ev AS (@EV@), c AS (SELECT id, key, CASE WHEN user_id % 5 = 0 AND upper(concat('by ', key)) LIKE '%CLICK%' THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM ev)
+      SELECT coalesce(source, 'dropped') source, count(*) n FROM c GROUP BY 1""",
     "raw_intervals": CHAIN + " SELECT id, key, epoch, round(x, 6) interval_min, round(lag(x) OVER (PARTITION BY key ORDER BY epoch, id), 6) prev_interval_min FROM iv",
     "interval_stats": CHAIN
     + " SELECT key, count(*) n, round(@PCT@(x, 0.5), 6) median, round(avg(x), 6) mean, round(stddev_samp(x), 6) sd, round(@PCT@(x, 0.05), 6) p05, round(@PCT@(x, 0.95), 6) p95, cast(min(year(lts)) AS int) first_year, cast(max(year(lts)) AS int) last_year FROM iv GROUP BY key",
@@ -120,10 +132,10 @@ CATALOG: dict[str, str] = {
       SELECT f.m, CASE WHEN first_shift IS NOT NULL THEN 'view' WHEN next_shift IS NOT NULL THEN 'click' END station, round(coalesce(first_shift, next_shift), 6) shift, coalesce(coalesce(first_shift, next_shift) >= 3, false) vetoed
       FROM fires f LEFT JOIN s ON f.m = s.m""",
     "season_gate": "WITH ev AS (@EV@) SELECT id, CASE WHEN month(lts) * 100 + day(lts) >= 1215 OR month(lts) * 100 + day(lts) <= 321 THEN 'suspended' WHEN month(lts) BETWEEN 5 AND 9 AND hour(lts) BETWEEN 8 AND 16 THEN 'paused' ELSE 'watching' END mode FROM ev",
-    "feed_parse": """WITH ev AS (@EV@), f AS (SELECT id, key, CASE WHEN id % 3 = 0 THEN cast(epoch AS string) WHEN id % 3 = 1 THEN '' ELSE 'soon' END raw, cast(id % 4 AS string) nth, user_id FROM ev)
-      SELECT id, key, try_cast(nullif(raw, '') AS bigint) predicted, CASE WHEN nth IN ('', '1') THEN 'next' ELSE concat('(interval x', nth, ')') END detail, CASE WHEN user_id % 5 = 0 THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM f WHERE nth <> '2'""",
+    "feed_parse": """WITH ev AS (@EV@), f AS (SELECT id, key, CASE WHEN id % 3 = 0 THEN cast(epoch AS string) WHEN id % 3 = 1 THEN if(id % 2 = 0, '', 'soon') ELSE concat(date_format(from_utc_timestamp(timestamp_seconds(epoch), 'UTC'), "yyyy-MM-dd'T'HH:mm:ss"), if(id % 2 = 0, 'Z', '-01:00')) END raw, cast(id % 4 AS string) nth, user_id FROM ev)
+      SELECT id, key, coalesce(try_cast(nullif(raw, '') AS bigint), unix_seconds(try_to_timestamp(replace(raw, 'Z', '+00:00')))) predicted, CASE WHEN nth IN ('', '1') THEN 'next' ELSE concat('(interval x', nth, ')') END detail, CASE WHEN user_id % 5 = 0 THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM f WHERE nth <> '2'""",
     "planning_flag": CHAIN
-    + """, s AS (SELECT key, max(epoch) newest, @PCT@(x, 0.5) med FROM iv GROUP BY key) SELECT key, round((n.now_epoch - newest) / 60e0, 6) age_min, round(med, 6) median, CASE WHEN (n.now_epoch - newest) / 60e0 > 1.5e0 * med THEN 'planning' ELSE 'live' END mode
+    + """, s AS (SELECT key, max(epoch) newest, @PCT@(x, 0.5) med FROM iv GROUP BY key) SELECT key, round((n.now_epoch - newest) / 60e0, 6) age_min, round(med, 6) median, CASE WHEN key = 'view' THEN CASE WHEN (n.now_epoch - newest) / 60e0 > 2.5e0 * med THEN 'planning' ELSE 'live' END END mode
       FROM s JOIN (SELECT max(epoch) now_epoch FROM ev) n ON now_epoch >= newest""",
     "changepoint_sums": CHAIN + " SELECT key, id, cast(sum(epoch - prev_epoch) OVER w AS bigint) s1, cast(sum((epoch - prev_epoch) * (epoch - prev_epoch)) OVER w AS bigint) s2 FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 }
@@ -131,6 +143,13 @@ CATALOG: dict[str, str] = {
 
 #: Where the check is written in another form than the query.
 ORACLE: dict[str, str] = {
+    "whole_dedupe": "WITH ev AS (@EV@), u AS (SELECT key, epoch FROM ev UNION SELECT key, epoch + 30 FROM ev WHERE id % 11 = 0) SELECT key, epoch FROM u WHERE NOT EXISTS (FROM u o WHERE o.key = u.key AND o.epoch < u.epoch AND o.epoch >= u.epoch - 60)",
+    "already_scored": CHAIN + " SELECT key, id FROM singles WHERE id % 2 = 0 AND id % 3 <> 0",
+    "source_classes": "WITH ev AS (@EV@) SELECT 'a' source, count(*) n FROM ev WHERE user_id % 5 = 0 AND key = 'click' HAVING n > 0 UNION ALL SELECT 'b', count(*) FROM ev WHERE user_id % 5 = 1 HAVING count(*) > 0 UNION ALL SELECT 'dropped', count(*) FROM ev WHERE NOT coalesce(user_id % 5 = 1 OR (user_id % 5 = 0 AND key = 'click'), false) HAVING count(*) > 0",
+    "feed_parse": """WITH ev AS (@EV@) SELECT id, key, CASE id % 3 WHEN 0 THEN epoch WHEN 1 THEN NULL ELSE epoch + 3600 * (id % 2) END predicted, CASE id % 4 WHEN 1 THEN 'next' ELSE '(interval x' || id % 4 || ')' END detail,
+      CASE user_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END source FROM ev WHERE id % 4 <> 2""",
+    "planning_flag": CHAIN + """, m AS (SELECT key, median(x) med, max(epoch) newest FROM iv GROUP BY key), n AS (SELECT max(epoch) t FROM ev)
+      SELECT key, round((t - newest) / 60e0, 6) age_min, round(med, 6) median, CASE key WHEN 'view' THEN CASE WHEN (t - newest) / 60e0 > 2.5e0 * med THEN 'planning' ELSE 'live' END END mode FROM m, n""",
     "asof_backward": "WITH ev AS (@EV@), " + _GRID + " SELECT g.key, g.t, e.epoch last_epoch FROM grid g ASOF LEFT JOIN ev e ON g.key = e.key AND g.t >= e.epoch",
     "asof_forward": "WITH ev AS (@EV@), " + _GRID + " SELECT g.key, g.t, e.epoch next_epoch, CASE WHEN e.epoch <= g.t + 1800 THEN e.epoch END within_half_hour FROM grid g ASOF LEFT JOIN ev e ON g.key = e.key AND g.t < e.epoch",
     "interval_semi": "WITH ev AS (@EV@), " + _GRID + " SELECT key, t FROM grid g WHERE key = 'click' AND EXISTS (FROM ev e WHERE e.key = 'error' AND e.epoch > g.t AND e.epoch <= g.t + 600)",
@@ -145,7 +164,7 @@ ORACLE: dict[str, str] = {
 
 def filled(out: str, engine: dict[str, str]) -> str:
     """out with an engine's own words put in."""
-    for k in ("CHAIN", "EV", "PCT", "DAY", "ZONE"):
+    for k in ("CYCLES", "CHAIN", "EV", "PCT", "DAY", "ZONE"):
         out = out.replace(f"@{k}@", engine[k])
     return out
 

@@ -102,10 +102,13 @@ class Detector:
 FIRES = "station string, m long, least_next double, base double"
 
 
-def detections(minutes: DataFrame, rule: Detector = Detector()) -> DataFrame:
-    """Fires of a stream of (station, m, rms), with state of `back` + `sustain` minutes a station; a repeated minute's last value counts."""
+def detections(minutes: DataFrame, rule: Detector = Detector(), idle_ms: int | None = None) -> DataFrame:
+    """Fires of a stream of (station, m, rms), with state of `back` + `sustain` minutes a station; a repeated minute's last value counts.  A station that says nothing for idle_ms is forgotten; for streams that run on, as one that stops when all is read would wait for the timeout for ever."""
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         past_m, past_v, done, fired = state.get if state.exists else ([], [], None, None)
         seen = dict(zip(past_m, past_v))
         for f in frames:
@@ -116,10 +119,40 @@ def detections(minutes: DataFrame, rule: Detector = Detector()) -> DataFrame:
         out, done, fired = rule.scan(m, v, done, fired)
         keep = m >= (m[-1] - rule.back - rule.sustain if len(m) else 0)
         state.update((m[keep].tolist(), v[keep].tolist(), done, fired))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["station", "m", "least_next", "base"])
 
     state = "m array<bigint>, v array<double>, done bigint, fired bigint"
-    return minutes.select("station", "m", "rms").groupBy("station").applyInPandasWithState(step, FIRES, state, "append", GroupStateTimeout.NoTimeout)
+    return minutes.select("station", "m", "rms").groupBy("station").applyInPandasWithState(step, FIRES, state, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def singles(events: DataFrame, gap: int = 60) -> DataFrame:
+    """key, id and epoch of a stream's events without those within `gap` seconds of the one before them, so that a chain of reports leaves its first.
+
+    State is a series' last time.  Events of one batch may come in any order; one that is older than its series' state came too late
+    to begin a chain and is left out.
+    """
+
+    def step(key, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat([f for f in frames]).sort_values(["epoch", "id"])
+        t = rows["epoch"].to_numpy(np.int64)
+        before = np.concatenate(([t[0] - gap - 1 if last is None else last], t[:-1]))
+        before = np.maximum.accumulate(before)
+        state.update((int(max(t.max(), before.max())),))
+        kept = rows[(t - before) > gap]
+        yield pd.DataFrame({"key": key[0], "id": kept["id"], "epoch": kept["epoch"]})
+
+    return events.select("key", "id", "epoch").groupBy("key").applyInPandasWithState(step, "key string, id long, epoch long", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_singles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).where("event_type IS NOT NULL AND ts IS NOT NULL").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
+    path = folder(spark)
+    out = singles(rows)
+    log(out, path).awaitTermination()
+    return logged(spark, path, out.schema).select("key", "id", "epoch")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +219,7 @@ def watch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_minute_rms, stream_presence, stream_upsert, stream_detections, batch_detections, watch_status)}
+    return {f.__name__: f for f in (stream_minute_rms, stream_presence, stream_upsert, stream_singles, stream_detections, batch_detections, watch_status)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -202,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT station, CASE WHEN month(lts) * 100 + day(lts) >= 1215 OR month(lts) * 100 + day(lts) <= 321 THEN 'suspended' WHEN month(lts) BETWEEN 5 AND 9 AND hour(lts) BETWEEN 8 AND 16 THEN 'paused' WHEN (now - heard) // 60 > 30 THEN 'no_data' ELSE 'watching' END status,
         (now - heard) // 60 lag_min, least(k, 50) fires, CASE WHEN (now - newest * {SPARSE_BINS}) / 3600e0 < 48 THEN round((now - newest * {SPARSE_BINS}) / 3600e0, 1) END hours_ago FROM h LEFT JOIN n USING (station), t"""
     return {
+        "stream_singles": "WITH e AS (SELECT event_type AS key, event_id id, cast(floor(epoch_us(ts) / 1000000) AS bigint) epoch FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL) SELECT key, id, epoch FROM e QUALIFY coalesce(epoch - lag(epoch) OVER (PARTITION BY key ORDER BY epoch, id) > 60, true)",
         "stream_detections": fires,
         "batch_detections": fires,
         "watch_status": status,

@@ -13,7 +13,7 @@ from .test_engine import rows
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["all_gap_coverage", "regional_veto"])
+@pytest.mark.parametrize("name", ["all_gap_coverage", "regional_veto", "nowcast_inputs"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from read_parquet('{DATA}/events.parquet')")
@@ -39,8 +39,8 @@ def test_announcement_fades():
 
 
 def test_only_the_past_is_known(spark):
-    gaps = [("purchase", i, 3600 * i, 60.0) for i in range(1, 30)] + [("signup", 100, 3600 * 20 + 1200, 60.0)]
-    iv = spark.createDataFrame(gaps, "key string, id long, epoch long, x double")
+    gaps = [("purchase", i, 3600 * i, 60.0, True) for i in range(1, 30)] + [("signup", 100, 3600 * 20 + 1200, 60.0, True)]
+    iv = spark.createDataFrame(gaps, "key string, id long, epoch long, x double, is_valid boolean")
     got = {r["t"]: r for r in nowcasts.known(iv, nowcasts.ANNOUNCES).where("key = 'purchase'").collect()}
     assert min(got) == 12 * 3600 and all(r["own"] == t // 3600 * 3600 for t, r in got.items())
     assert [t for t, r in got.items() if r["announced"]] == [3600 * 20 + 1800]
@@ -49,3 +49,21 @@ def test_only_the_past_is_known(spark):
     assert {r["regime"] for r in out if r["t"] == 3600 * 20 + 1800} == {"indicator_active"}
     assert all(r["lo90"] <= r["median"] <= r["hi90"] for r in out)
     assert nowcasts.nowcasts(iv.limit(0)).count() == 0
+
+
+def test_triggers_precursors_and_the_lattice(spark):
+    """Extra times after an announcement, a shift while precursors count, the neighbour's period; each against values worked out by hand."""
+    own = [("view", i, 7200 * i, 120.0, i != 20) for i in range(1, 30)]
+    near = [("click", 100, 7200 * 20 + 600, 20.0, True), ("click", 101, 7200 * 21 + 6000, 20.0, True), ("error", 102, 7200 * 20 + 600, 20.0, True)]
+    cycle = [("signup", 200 + i, 1200 * i, 20.0, True) for i in range(1, 130)]
+    iv = spark.createDataFrame(own + near + cycle, "key string, id long, epoch long, x double, is_valid boolean")
+    got = {r["t"]: r for r in nowcasts.known(iv, {"click": "view"}, 1800, nowcasts.PRECURSORS, nowcasts.LATTICES, (1, 4, 8)).where("key = 'view'").collect()}
+    assert all(7200 * 20 + 600 + 60 * m in got for m in (1, 4, 8))
+    assert got[7200 * 20]["shift"] == 0 and got[7200 * 20 + 1800]["shift"] == 5 and got[7200 * 21 + 5400]["shift"] == 0 and got[7200 * 22]["shift"] == 0
+    assert got[7200 * 13 + 1800]["lattice"].period == 20 and got[7200 * 28]["lattice"] is None  # the last of the cycle is too old
+    assert got[7200 * 19 + 1800]["next"] == 7200 * 20 and got[7200 * 19 + 1800]["next_valid"] is False
+    g = nowcasts.gate(np.array([1.0, 9.0, 20.0, 28.0]), 19.0)
+    assert g[0] == 1 and abs(g[1] - (1 - 0.95 * (1 - 4.2 * (9 / 19) ** 0.5 / 4.75))) < 1e-9 and g[2] == 1 and g[1] < g[3] <= 1
+    out = nowcasts.backtest(nowcasts.nowcasts(iv, {"click": "view"}, precursors=nowcasts.PRECURSORS)).where("key = 'view'").collect()
+    n = {r["regime"]: r["n"] for r in out}
+    assert n["overall"] == sum(v for k, v in n.items() if k != "overall") and n["overall"] > 10
