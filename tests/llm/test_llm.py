@@ -357,6 +357,65 @@ def test_difference_cover(docs, none, rows):
     assert difference_cover.dedup(none).count() == 0
 
 
+def test_pipeline_stages_row_by_row(spark):
+    """Every stage, and run() as a whole, against plain Python: what the rules keep, one of each group at five words and 0.8, no string of 200 bytes twice, all rows in the mix, the tokenizers library's ids."""
+    cp = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(500)]
+    say = lambda n: " ".join(rng.choice(vocab, n)) + "."
+    passage, texts = say(60), []
+    for k in range(40):
+        t = say(int(rng.integers(30, 120)))
+        texts += [t] + [t] * (k % 8 == 0) + [t + " " + say(2)] * (k % 10 == 1) + [say(20) + " " + passage + " " + say(20)] * (k % 13 == 0)
+    texts += [None, "", "too few words", "ab ab ab " * 300, "# $ % | " * 80]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    kept = {r.doc_id for r in quality.judged(docs).where("kept").collect()}
+    assert {i for i, t in enumerate(texts) if t and len(t.split()) >= 25 and len(set(t.split())) > 10} == kept  # all prose stays, all junk goes
+    first = cp.STAGES[0][1](spark, docs, None)
+    assert {r.doc_id: r.text for r in first.collect()} == {i: texts[i] for i in kept}
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in kept for w in [low(texts[i]).split()]}
+    up = {i: i for i in kept}
+    top = lambda i: i if up[i] == i else top(up[i])
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    one = {i for i in kept if top(i) == i}
+    second = cp.STAGES[1][1](spark, first, None)
+    assert {r.doc_id for r in second.collect()} == one and second.count() == len(one) < len(kept)
+
+    raw = {i: texts[i].encode() for i in one}
+    seen = collections.Counter(x[k : k + 200] for x in raw.values() for k in range(len(x) - 199))
+    left = {}
+    for i, x in raw.items():
+        gone = bytearray(len(x))
+        for k in range(len(x) - 199):
+            if seen[x[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        left[i] = bytes(c for c, g in zip(x, gone) if not g).decode("utf-8", "ignore")
+    third = cp.STAGES[2][1](spark, second, None)
+    assert {r.doc_id: (r.text, r.n_chars) for r in third.collect()} == {i: (t, len(t)) for i, t in left.items()} and any(left[i] != texts[i] for i in one)
+
+    fourth = cp.STAGES[3][1](spark, third, None)
+    assert sorted(map(tuple, fourth.collect())) == sorted(map(tuple, third.collect()))
+    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    t.no_padding(), t.no_truncation()
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in left.items()}
+    want = {i: (len(n), hashlib.sha256(" ".join(map(str, n)).encode()).hexdigest(), hashlib.sha256(t.decode(n, skip_special_tokens=False).encode()).hexdigest()) for i, n in ids.items()}
+    got = fourth
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.STAGES[4][1](spark, got, None).collect()} == want
+    cp_docs, cp.documents = cp.documents, lambda s, d: docs
+    try:
+        assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, "").collect()} == want
+    finally:
+        cp.documents = cp_docs
+
+
 def test_pipeline(spark):
     cp = pytest.importorskip("corpus_pipeline")
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
