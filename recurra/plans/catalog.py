@@ -120,7 +120,7 @@ CATALOG: dict[str, str] = {
     "day_counts": "WITH ev AS (@EV@) SELECT @DAY@ AS day_local, count(*) n FROM ev GROUP BY 1",
     "gap_histogram": CHAIN + ", b AS (SELECT key, least(59, cast(floor(x / 2e0) AS int)) bin FROM iv) SELECT key, bin, count(*) n FROM b GROUP BY 1, 2",
     "minute_rms": MINUTES + " SELECT m, round(v, 6) rms, n FROM rms",
-    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2")
+    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2").replace("/ 60e0", "/ 600e0")
     + """, w AS (SELECT station, m, v, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM rms
       WINDOW f AS (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY station ORDER BY m RANGE BETWEEN 360 PRECEDING AND 1 PRECEDING))
       SELECT station, m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE n_next = 3 AND n_base >= 60 AND least_next >= 1.2e0 * base""",
@@ -156,7 +156,7 @@ ORACLE: dict[str, str] = {
     "basin_activity_range": "WITH ev AS (@EV@), c AS (SELECT epoch, count(*) n FROM ev GROUP BY epoch), r AS (SELECT epoch, sum(n) OVER (ORDER BY epoch) upto FROM c), l AS (SELECT r.epoch, r.upto - coalesce(o.upto, 0) seen FROM r ASOF LEFT JOIN r o ON r.epoch - 2700 >= o.epoch) SELECT id, cast(seen AS bigint) seen FROM ev JOIN l USING (epoch)",
     "recent_gaps": "WITH ev AS (@EV@), t AS (SELECT DISTINCT key, epoch FROM ev WHERE NOT minor QUALIFY dense_rank() OVER (PARTITION BY key ORDER BY epoch DESC) <= 9), g AS (SELECT key, (epoch - (SELECT max(o.epoch) FROM t o WHERE o.key = t.key AND o.epoch < t.epoch)) / 60e0 x FROM t) SELECT key, count(x) n, round(min(x), 6) least, round(median(x), 6) median, round(max(x), 6) most FROM g GROUP BY key",
     "latest_two": "WITH ev AS (@EV@), l AS (SELECT key, list({'id': id, 'epoch': epoch} ORDER BY epoch DESC, id DESC)[1:2] l FROM ev GROUP BY key) SELECT key, l[i].id id, l[i].epoch epoch, i n FROM l, range(1, 3) t(i) WHERE i <= len(l)",
-    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2")
+    "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2").replace("/ 60e0", "/ 600e0")
     + """ SELECT a.station, a.m, round(min(b.v), 6) least_next, round((SELECT median(c.v) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1), 6) base FROM rms a JOIN rms b ON b.station = a.station AND b.m BETWEEN a.m AND a.m + 2
       GROUP BY a.station, a.m HAVING count(*) = 3 AND (SELECT count(*) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1) >= 60 AND min(b.v) >= 1.2e0 * (SELECT median(c.v) FROM rms c WHERE c.station = a.station AND c.m BETWEEN a.m - 360 AND a.m - 1)""",
 }
