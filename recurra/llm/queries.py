@@ -87,8 +87,10 @@ _OP6 = f"""WITH RECURSIVE w AS ({_WORDS.format(_LOWER)}),
   pairs AS (SELECT a.doc_id u, b.doc_id v, count(*) shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
   links AS (SELECT u, v FROM pairs JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
   sym AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-  reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, v FROM reach r JOIN sym ON r.seen = u)
-  SELECT reach.doc_id, cast(coalesce(any_value(n), 0) AS bigint) n_shingles, min(seen) component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id"""
+  reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, v FROM reach r JOIN sym ON r.seen = u),
+  deg AS (SELECT u doc_id, count(*) d FROM sym GROUP BY u)
+  SELECT reach.doc_id, cast(coalesce(any_value(n), 0) AS bigint) n_shingles, min(seen) component_id, cast(coalesce(any_value(d), 0) AS bigint) n_links
+  FROM reach LEFT JOIN n USING (doc_id) LEFT JOIN deg USING (doc_id) GROUP BY reach.doc_id"""
 
 #: Strings of 200 bytes, as hexadecimal digits, that start twice or more.
 _OP10 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM documents),

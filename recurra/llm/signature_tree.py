@@ -4,14 +4,15 @@ A document's set holds its distinct shingles.  Documents with equal sets form a
 Classes that share a shingle of their prefixes (any pair that is similar enough must) are brought together; shingles are
 ordered from rare to frequent by the number of chunks of documents that hold them, so that a document with enough shingles of
 its own is left out and a passage which many share brings nobody together.  Each group so found goes into a signature tree: a leaf holds one set, a node the OR of its leaves' token bitmaps and the range of their sizes.
-A dual traversal of the tree with itself drops pairs of nodes that cannot overlap enough, or whose leaves all hang
-together already, and compares the sets of the rest exactly.  Groups above `block` sets are cut into blocks, every
-pair of which is traversed, and what they link is joined by connected components.
+A dual traversal of the tree with itself drops pairs of nodes that cannot overlap enough and compares the sets of the
+rest exactly, so that every link is counted; where only groups are asked for it also drops pairs whose leaves all hang
+together already.  Groups above `block` sets are cut into blocks, every pair of which is traversed, and what they link is
+joined by connected components.
 
 Sets are compared by 64-bit hashes of shingles, classes by a 64-bit hash of the set: among 10**9 classes an error is
 expected with a chance of 3 %.  Null and empty texts have empty sets and link with nothing; a document with fewer
 words than a shingle has its whole sequence as its one shingle.  A null doc_id counts as larger than all; rows that
-repeat are one class; an empty table gives an empty result; other columns are not carried.
+repeat are one class and link with each other; an empty table gives an empty result; other columns are not carried.
 """
 
 import numpy as np
@@ -79,7 +80,7 @@ class Tree:
 
     def __init__(self, sets: list[np.ndarray]):
         n = len(sets)
-        self.order = sorted(range(n), key=lambda i: (sets[i][0], len(sets[i])))
+        self.order = np.array(sorted(range(n), key=lambda i: (sets[i][0], len(sets[i]))))
         self.sets = [sets[i] for i in self.order]
         bits = np.zeros((n, BITS // 64), U)
         for i, s in enumerate(self.sets):
@@ -96,6 +97,26 @@ class Tree:
         width = FANOUT**level
         return node * width, min(len(self.sets), (node + 1) * width)
 
+    def below(self, level: int, x: int, y: int, rule: Jaccard) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of two nodes that may hold a link, by the overlap their bitmaps allow and their sizes."""
+        bits, lo, hi, over = self.levels[level - 1]
+        i = np.arange(x * FANOUT, min(len(bits), (x + 1) * FANOUT))
+        j = np.arange(y * FANOUT, min(len(bits), (y + 1) * FANOUT))
+        most = np.bitwise_count(bits[i][:, None, :] & bits[j][None, :, :]).sum(axis=2) + np.minimum(over[i][:, None], over[j][None, :])
+        ok = (most >= rule.needed(lo[i][:, None] + lo[j][None, :])) & (100 * hi[i][:, None] >= rule.percent * lo[j][None, :]) & (100 * hi[j][None, :] >= rule.percent * lo[i][:, None])
+        if x == y:
+            ok &= (i[:, None] < j[None, :]) if level == 1 else (i[:, None] <= j[None, :])
+        p, q = np.nonzero(ok)
+        return i[p], j[q]
+
+    def least(self, label: np.ndarray) -> np.ndarray:
+        """For each set, in the order given, the least index of those with its label; label: by leaf."""
+        first = np.full(len(label), len(label))
+        np.minimum.at(first, label, self.order)
+        out = np.empty(len(label), np.int64)
+        out[self.order] = first[label]
+        return out
+
 
 def tree_links(sets: list[np.ndarray], rule: Jaccard) -> np.ndarray:
     """For each set the least index of its component."""
@@ -115,23 +136,53 @@ def tree_links(sets: list[np.ndarray], rule: Jaccard) -> np.ndarray:
                 low, high = sorted((label[x], label[y]))
                 label[label == high] = low
             continue
-        bits, lo, hi, over = tree.levels[level - 1]
-        width = len(bits)
-        i = np.arange(x * FANOUT, min(width, (x + 1) * FANOUT))
-        j = np.arange(y * FANOUT, min(width, (y + 1) * FANOUT))
-        most = np.bitwise_count(bits[i][:, None, :] & bits[j][None, :, :]).sum(axis=2) + np.minimum(over[i][:, None], over[j][None, :])
-        ok = (most >= rule.needed(lo[i][:, None] + lo[j][None, :])) & (100 * hi[i][:, None] >= rule.percent * lo[j][None, :]) & (100 * hi[j][None, :] >= rule.percent * lo[i][:, None])
-        p, q = np.nonzero(ok)
-        pairs = [(level - 1, int(i[s]), int(j[t])) for s, t in zip(p, q) if i[s] <= j[t] and not (level == 1 and i[s] == j[t])]
+        pairs = [(level - 1, i, j) for i, j in zip(*map(np.ndarray.tolist, tree.below(level, x, y, rule)))]
         stack.extend(sorted(pairs, key=lambda z: -(z[2] - z[1]) or 0))  # near ones are popped first: they link most
-    out = np.zeros(n, np.int64)
-    order = np.array(tree.order)
-    first: dict[int, int] = {}
-    for leaf in range(n):
-        first[label[leaf]] = min(first.get(label[leaf], n), order[leaf])
-    for leaf in range(n):
-        out[order[leaf]] = first[label[leaf]]
-    return out
+    return tree.least(label)
+
+
+def tree_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, rule: Jaccard) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the least index of its component, and the copies that all sets linked with it have; sets of one side are compared only if all are of one."""
+    n = len(sets)
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    if not n:
+        return label, links
+    tree = Tree(sets)
+    copies, side = copies[tree.order], side[tree.order]
+    within = (side == side[0]).all()
+    may = np.zeros((n, n), bool)
+    stack = [(len(tree.levels) - 1, 0, 0)] if n > 1 else []
+    while stack:
+        level, x, y = stack.pop()
+        i, j = tree.below(level, x, y, rule)
+        if level > 1:
+            stack.extend((level - 1, p, q) for p, q in zip(i.tolist(), j.tolist()))
+        else:
+            may[i, j] = within | (side[i] != side[j])
+    sizes = np.array([len(t) for t in tree.sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    _, local = np.unique(np.concatenate(tree.sets), return_inverse=True)
+    mine = np.zeros(len(local), np.uint8)  # the shingles of the set at hand
+    for p in range(n):
+        q = np.flatnonzero(may[p])
+        if not len(q):
+            continue
+        own = local[starts[p] : starts[p + 1]]
+        mine[own] = 1
+        if 4 * len(q) > n - p:
+            both = np.add.reduceat(mine[local[starts[p] :]], starts[p:-1] - starts[p], dtype=np.int64)[q - p]
+        else:
+            both = np.array([mine[local[starts[k] : starts[k + 1]]].sum(dtype=np.int64) for k in q])
+        mine[own] = 0
+        q = q[100 * both >= rule.percent * (sizes[p] + sizes[q] - both)]
+        links[p] += copies[q].sum()
+        links[q] += copies[p]
+        of = np.unique(label[np.append(q, p)])
+        if len(of) > 1:
+            label[np.isin(label, of)] = of[0]
+    out = np.empty(n, np.int64)
+    out[tree.order] = links
+    return tree.least(label), out
 
 
 def _degrees(table: pa.Table) -> pa.Table:
@@ -238,8 +289,8 @@ def candidate_edges(rows: DataFrame, rule: Jaccard, parts: int) -> DataFrame:
     return rows.select("key", "prefix", "n").mapInArrow(send, BLOBS).groupBy("part").applyInArrow(tidy(meet), "u long, v long")
 
 
-def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes: int) -> DataFrame:
-    """The rows of classed, each with component_id (the least doc_id of its component) and component (the key of one of its classes); both null if n is 0."""
+def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes: int, count: bool = False) -> DataFrame:
+    """The rows of classed, each with component_id (the least doc_id of its component) and component (the key of one of its classes), both null if n is 0; with count also links (the other rows it links with)."""
     rule = Jaccard(percent)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = checkpointed(classed(docs, words, rule, chunk_bytes))
@@ -248,29 +299,37 @@ def grouped(docs: DataFrame, words: int, percent: int, block: int, chunk_bytes:
     parts = max(16, (some.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) >> 22)
     edges = components(candidate_edges(some, rule, parts)).withColumnRenamed("u", "key")
     sizes = edges.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    group = checkpointed(edges.join(sizes, "component").join(classes, "key").select("key", "component", "blocks", "rep"))
+    group = checkpointed(edges.join(sizes, "component").join(classes, "key").select("key", "component", "blocks", "rep", "copies"))
     # Each class goes to the task of its group, or of every pair of its block with another.
     mine = F.pmod("key", F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = some.select("key", "doc_id", "tokens").join(group, "key").where("doc_id <=> rep").select("key", "component", "rep", "blocks", "tokens")
+    sets = some.select("key", "doc_id", "tokens").join(group, "key").where("doc_id <=> rep").select("key", "component", "rep", "blocks", "copies", "tokens")
     tasks = sets.withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("key", "ascending")])
-        of = tree_links([unpack(t.as_py()) for t in table["tokens"]], rule)
-        hit = np.flatnonzero(of != np.arange(len(of)))
+        keys = table["key"].to_numpy()
+        table = table.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))  # rows of one id may hold one class
+        sets = [unpack(t.as_py()) for t in table["tokens"]]
+        if count:
+            of, links = tree_counts(sets, table["copies"].to_numpy(), table["mine"].to_numpy(), rule)
+        else:
+            of, links = tree_links(sets, rule), np.zeros(len(sets), np.int64)
+        hit = np.flatnonzero((of != np.arange(len(of))) | (links > 0))
         at = pa.array(of[hit])
-        return pa.table({"key": table["key"].take(pa.array(hit)), "to": table["key"].take(at), "to_rep": table["rep"].take(at), "blocks": table["blocks"].take(pa.array(hit))})
+        return pa.table({"key": table["key"].take(pa.array(hit)), "to": table["key"].take(at), "to_rep": table["rep"].take(at), "blocks": table["blocks"].take(pa.array(hit)), "links": pa.array(links[hit])})
 
-    links = checkpointed(tasks.select("key", "component", "rep", "blocks", "tokens", "i", "j").groupBy("component", "i", "j").applyInArrow(tidy(link), f"key long, to long, to_rep {kind}, blocks int"))
-    labels = links.where("blocks = 1").select("key", F.col("to_rep").alias("least"), F.col("to").alias("component"))
+    links = checkpointed(tasks.select("key", "component", "rep", "blocks", "copies", "tokens", "mine", "i", "j").groupBy("component", "i", "j").applyInArrow(tidy(link), f"key long, to long, to_rep {kind}, blocks int, links long"))
+    labels = links.where("blocks = 1").select("key", F.col("to_rep").alias("least"), F.col("to").alias("component"), "links")
     wide = links.where("blocks > 1")
     if not wide.isEmpty():
         joined = components(wide.select(F.col("key").alias("u"), F.col("to").alias("v"))).join(group.select(F.col("key").alias("u"), "rep"), "u")
         least = joined.groupBy("component").agg(F.min("rep").alias("least"))
-        labels = labels.unionByName(joined.join(least, "component").select(F.col("u").alias("key"), "least", "component"))
+        sums = wide.groupBy(F.col("key").alias("u")).agg(F.sum("links").alias("links"))
+        labels = labels.unionByName(joined.join(least, "component").join(sums, "u", "left").select(F.col("u").alias("key"), "least", "component", "links"))
     # without a label the class is a component of its own; where all ids of one are null, so is component_id
-    named = classes.join(labels, "key", "left").select("key", "copies", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "key").alias("component"))
+    more = [(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")] if count else []
+    named = classes.join(labels, "key", "left").select("key", "copies", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "key").alias("component"), *more)
     return with_classes(rows, checkpointed(named))
 
 
@@ -285,9 +344,9 @@ def with_classes(rows: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
-    rows = grouped(docs, words, percent, block, chunk_bytes)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included) and n_links (other rows that it links with, copies among them) of every row."""
+    rows = grouped(docs, words, percent, block, chunk_bytes, count=True)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:

@@ -205,18 +205,44 @@ def test_signature_tree(docs, none, rows, block):
             i = up[i]
         return i
 
+    links, times = collections.Counter(), collections.Counter(r[0] for r in rows)
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 up[y] = x
+                links[a] += times[b] - (a == b)
     got = signature_tree.join(docs, block=block).collect()
     assert len(got) == len(rows)
-    assert {tuple(r) for r in got} == {(i, len(s), top(i)) for i, s in sets.items()}
+    assert {tuple(r) for r in got} == {(i, len(s), top(i), links[i]) for i, s in sets.items()}
     assert signature_tree.join(none).count() == 0
 
 
+@pytest.mark.parametrize("n, apart", [(1, 1), (90, 1), (300, 3), (300, 300)])
+def test_tree_counts_every_link(n, apart):
+    """Against all pairs, in one block and across two, on sets in groups of near copies that differ by more and less than the bound."""
+    rng = np.random.default_rng(n)
+    rule = signature_tree.Jaccard(85)
+    base = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(apart)]
+    sets = [np.unique(np.append(base[i % apart][: 40 - int(rng.integers(0, 8))], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64))) for i in range(n)]
+    copies, sides = rng.integers(1, 5, n), rng.integers(0, 2, n)
+    for side in (np.zeros(n, int), sides):
+        label, links = list(range(n)), [0] * n
+        for a in range(n):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if (side[a] != side[b] or not side.any()) and 100 * len(x & y) >= 85 * len(x | y):
+                    links[a] += copies[b]
+                    links[b] += copies[a]
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if v == high else v for v in label]
+        of, got = signature_tree.tree_counts(sets, copies, side, rule)
+        assert of.tolist() == label and got.tolist() == links
+        if not side.any():
+            assert signature_tree.tree_links(sets, rule).tolist() == label
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     one, two, three, four = map(say, range(4))
