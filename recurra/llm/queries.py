@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
+from . import binpack, bpe, difference_cover, fim, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,8 +63,13 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover.dedup(documents(spark, sf_dir), 200, digests=True)
 
 
+def op11_rope_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover, op11_rope_fim)}
 
 
 #: Words of whole texts, as lists.
@@ -104,7 +109,16 @@ _OP10 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM docu
   SELECT doc_id, cast(len(x) // 2 AS bigint) n_bytes, cast(coalesce(gone, 0) AS bigint) n_removed, cast(coalesce(n, 0) AS bigint) n_spans,
   sha256(unhex(coalesce(kept, '') || substr(x, cast(2 * coalesce(e, 0) + 1 AS bigint)))) kept_sha256 FROM h LEFT JOIN cut USING (doc_id)"""
 
+#: Lists of units, cut by the numbers in the hash.
+_OP11 = """WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') u, sha256('42:' || coalesce(cast(doc_id AS varchar), '')) h FROM documents),
+  k AS (SELECT doc_id, t, u, len(u) n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) AS bigint)) r FROM d),
+  c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) a, greatest(r[1] % (n + 1), r[2] % (n + 1)) b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END form FROM k),
+  p AS (SELECT *, array_to_string(u[1:a], '') x, array_to_string(u[a + 1:b], '') y, array_to_string(u[b + 1:n], '') z FROM c)
+  SELECT doc_id, cast(n AS bigint) n, form, CASE WHEN form <> 'plain' THEN cast(length(x) AS bigint) END prefix_chars, CASE WHEN form <> 'plain' THEN cast(length(y) AS bigint) END middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) output_sha256, sha256(t) restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole result it can give, written from the contracts and not from the operators."""
-    return {"op4_relative_lz": _OP4, "op6_signature_tree": _OP6, "op10_difference_cover": _OP10}
+    return {"op4_relative_lz": _OP4, "op6_signature_tree": _OP6, "op10_difference_cover": _OP10, "op11_rope_fim": _OP11}
