@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, fim, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
+from . import binpack, bpe, difference_cover, divergence, fim, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,8 +68,12 @@ def op11_rope_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_group_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover, op11_rope_fim)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover, op11_rope_fim, op13_group_tiles)}
 
 
 #: Words of whole texts, as lists.
@@ -118,7 +122,21 @@ _OP11 = """WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(co
   SELECT doc_id, cast(n AS bigint) n, form, CASE WHEN form <> 'plain' THEN cast(length(x) AS bigint) END prefix_chars, CASE WHEN form <> 'plain' THEN cast(length(y) AS bigint) END middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) output_sha256, sha256(t) restored_sha256 FROM p"""
 
+#: Shares of every kept term in every group, and all pairs of a language's groups.
+_OP13 = """WITH d AS (SELECT row_number() OVER () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') u FROM documents),
+  t AS (SELECT id, lang, source, unnest(u) term FROM d),
+  kept AS (SELECT lang, term, count(*) whole FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+  l AS (SELECT lang, count(*) v, sum(whole) n FROM kept GROUP BY lang),
+  c AS (SELECT lang, source, term, count(*) n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+  g AS (SELECT d.lang, d.source, any_value(coalesce(v, 0)) v, any_value(coalesce(l.n, 0)) whole, any_value(coalesce(s.n, 0)) total FROM d LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+  p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (total + 2 * v) p, 1 + 1000000000 * (kept.whole + 2) // (g.whole + 2 * v) q
+    FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+  f AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  r AS (SELECT a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) AS bigint) AS "value" FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, cast((p - q) * (p - q) // (p + q) AS bigint) FROM p WHERE n > 0 AND p > q)
+  SELECT *, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY "value" DESC, item) AS int) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole result it can give, written from the contracts and not from the operators."""
-    return {"op4_relative_lz": _OP4, "op6_signature_tree": _OP6, "op10_difference_cover": _OP10, "op11_rope_fim": _OP11}
+    return {"op4_relative_lz": _OP4, "op6_signature_tree": _OP6, "op10_difference_cover": _OP10, "op11_rope_fim": _OP11, "op13_group_tiles": _OP13}
