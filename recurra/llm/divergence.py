@@ -201,10 +201,10 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, block: int = 16, slab
     def best(table: pa.Table) -> pa.Table:
         lang, out = table["lang"][0].as_py(), []
         own = table.to_pylist()
-        chunk = next(r for r in own if r["source"] is None)
+        chunk = next((r for r in own if r["source"] is None), {"terms": [], "vector": None})
         names, whole = np.array(chunk["terms"], object), _unpacked(chunk["vector"])[1]
-        for r in own:
-            if r["source"] is not None and len(names):
+        for r in own if len(names) else []:
+            if r["source"] is not None:
                 at, n = _unpacked(r["vector"])
                 p, q = shares(n, r["total"], r["kept"]), shares(whole[at], r["whole"], r["kept"])
                 more = p > q

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, difference_cover, divergence, fim, gru, langid, mixing, multiset_hash, quality, relative_lz, signature_tree
+from . import binpack, bpe, difference_cover, divergence, fim, gru, langid, mixing, multiset_hash, pii, quality, relative_lz, signature_tree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,12 +68,19 @@ def op11_rope_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of each kind are those of the base spans."""
+    rows = pii.find(documents(spark, sf_dir))
+    count = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed(pii.together()).alias("spans"))
+
+
 def op13_group_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover, op11_rope_fim, op13_group_tiles)}
+    return {f.__name__: f for f in (op1_vector_packing, op2_pfair_mix, op3_weak_supervision, op4_relative_lz, op5_trie_bpe, op6_signature_tree, op7_hyperdimensional, op8_gated_recurrent, op9_multiset_hash, op10_difference_cover, op11_rope_fim, op12_crf_pii, op13_group_tiles)}
 
 
 #: Words of whole texts, as lists.
