@@ -1,67 +1,55 @@
-"""Fitted models and renewal forecasts: each gap of a series (each decision) is fitted apart from the gaps strictly before it.
+"""Scores of the fitted models, and renewal forecasts, at every gap of every series.
 
-Every gap after the first WARM of its series is a decision.  Series are cut into pieces, and each piece gets the HISTORY gaps before
-it, so work spreads over pieces rather than series and no task holds a whole one.
+Every gap after the first WARM of its series is a decision, made from the gaps strictly before it.  The gaps of a piece of a series are
+fitted and scored together (models.by_piece, functions/batch.py).
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.functions import dist
+from recurra.functions import batch, dist
 
 from .intervals import gaps
+from .models import LEVELS, by_piece
 
-HISTORY = 2000
 WARM = 60
-MODELS = {"lognormal": lambda x: dist.lognormal(x[-100:]), "weibull": lambda x: dist.weibull(x[-100:]), "best_parametric": dist.best_parametric, "adaptive_lognormal": dist.adaptive_lognormal, "tail_mixture": dist.widened}
-
-
-def decided(iv: DataFrame, answer, fields: str, piece: int = 250) -> DataFrame:
-    """The rows that answer(key, id, x, past) gives for every decision; past: the last HISTORY gaps before it, oldest first."""
-    w = Window.partitionBy("key").orderBy("epoch", "id")
-    rows = iv.withColumn("rn", F.row_number().over(w)).select("key", "id", "x", "rn", F.explode(F.sequence(F.floor(F.col("rn") / piece), F.floor((F.col("rn") + HISTORY) / piece))).alias("piece"))
-    names = [f.split()[0] for f in fields.split(", ")]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rn")
-        x, out = p["x"].to_numpy(float), []
-        for at in np.flatnonzero((p["rn"] // piece == p["piece"]) & (p["rn"] > WARM)):
-            out += answer(p["key"].iloc[at], int(p["id"].iloc[at]), float(x[at]), x[max(0, at - HISTORY) : at])
-        return pd.DataFrame(out, columns=names)
-
-    tasks = 4 * iv.sparkSession.sparkContext.defaultParallelism  # given, as the rows are few and the work on each is much
-    return rows.repartition(tasks, "key", "piece").groupBy("key", "piece").applyInPandas(run, fields)
+MODELS = {"lognormal": batch.lognormal, "weibull": batch.weibull, "best_parametric": batch.best_parametric, "adaptive_lognormal": lambda x, at: batch.adaptive_lognormal(x, at)[0], "tail_mixture": batch.widened}
 
 
 def predictions(iv: DataFrame) -> DataFrame:
     """model, key, id, x, median, the 50 and 90 % intervals, crps and pit of every decision; models that cannot be fitted give no row."""
 
-    def answer(key, i, x, past):
+    def answer(key, ids, x, branch, at):
         out = []
         for name, fit in MODELS.items():
-            if (d := fit(past)) is not None:
-                q = d.ppf(np.array([0.05, 0.25, 0.5, 0.75, 0.95]))
-                out.append((name, key, i, x, *map(float, q), dist.crps(d, x), float(d.cdf(x))))
-        return out
+            many = fit(x, at)
+            own = np.flatnonzero(many.known)
+            many, y = many.take(own), x[at[own]]
+            q = many.ppf([*LEVELS.values()])
+            out.append(pd.DataFrame({"model": name, "key": key, "id": ids[at[own]], "x": y, "crps": batch.crps(many, y), "pit": many.cdf(y)} | {c: q[:, k] for k, c in enumerate(LEVELS)}))
+        return pd.concat(out)
 
-    return decided(iv, answer, "model string, key string, id long, x double, lo90 double, lo50 double, median double, hi50 double, hi90 double, crps double, pit double")
+    return by_piece(iv, answer, "model string, key string, id long, x double, lo90 double, lo50 double, median double, hi50 double, hi90 double, crps double, pit double", least=WARM)
 
 
-def renewals(iv: DataFrame, ages=(0.5, 1.5, 3.0), p_seen: float = 0.9) -> DataFrame:
-    """Next-event forecasts after silences of some multiples of the median: expected misses, chance of none, and quantiles."""
+def renewals(iv: DataFrame, ages=(0.5, 1.5, 3.0), p_seen: float = 0.9, sims: int = 4000) -> DataFrame:
+    """Next-event forecasts after silences of some multiples of the median: expected misses, chance of none, and quantiles of the minutes left.
 
-    def answer(key, i, x, past):
-        out = []
-        d = dist.widened(past)
-        for a in ages if d is not None else ():
-            age = a * float(d.ppf(0.5))
-            s, w, missed, none = dist.renewal(d, age, p_seen, seed=i)
-            out.append((key, i, a, missed, none, *(dist.weighted_quantile(s, w, q) - age for q in (0.05, 0.5, 0.95))))
-        return out
+    Paths are drawn once for all ages of a decision, from the same random numbers for every decision.
+    """
+
+    def answer(key, ids, x, branch, at):
+        many, out = batch.widened(x, at), []
+        middle = many.ppf([0.5])[:, 0]
+        draws = batch.Draws(sims, int(max(ages)) + 6)
+        for k in np.flatnonzero(many.known):
+            for a, (missed, none, q) in zip(ages, draws.renewals(many, k, [a * middle[k] for a in ages], p_seen)):
+                out.append((key, ids[at[k]], a, missed, none, *q))
+        return pd.DataFrame(out, columns=["key", "id", "ages", "missed", "p_current", "lo90", "median", "hi90"])
 
-    return decided(iv, answer, "key string, id long, ages double, missed double, p_current double, lo90 double, median double, hi90 double")
+    return by_piece(iv, answer, "key string, id long, ages double, missed double, p_current double, lo90 double, median double, hi90 double", least=WARM, piece=500)
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +63,12 @@ def crps_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pit_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of decisions whose pit is at most each of 101 levels, by model: pits are counted by level, and the counts added up."""
     p = predictions(_gaps(spark, sf_dir))
-    levels = p.select("model", "pit", F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: k / 100)).alias("level"))
-    return levels.groupBy("model", "level").agg(F.avg((F.col("pit") <= F.col("level")).cast("double")).alias("share"))
+    counts = p.groupBy("model", F.ceil(F.col("pit") * 100).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("model").agg(F.collect_list(F.struct("k", "n")).alias("held"), F.sum("n").alias("total"))  # at most 101 for a model
+    upto = F.expr("aggregate(filter(held, c -> c.k <= level), 0L, (s, c) -> s + c.n)")
+    return held.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(100)))).select("model", (F.col("level") / 100).alias("level"), (upto / F.col("total")).alias("share"))
 
 
 def renewal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:

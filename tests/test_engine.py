@@ -8,12 +8,12 @@ import pandas as pd
 import pytest
 
 from recurra.functions import dist
-from recurra.operators import forecasts, intervals, trailing
+from recurra.operators import forecasts, intervals, models, trailing
 from recurra.plans import catalog, scoring
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = catalog.queries() | scoring.queries() | trailing.queries() | intervals.queries()
-ORACLE = catalog.oracle_sql() | scoring.oracle_sql() | trailing.oracle_sql() | intervals.oracle_sql()
+QUERIES = catalog.queries() | scoring.queries() | trailing.queries() | intervals.queries() | models.queries()
+ORACLE = catalog.oracle_sql() | scoring.oracle_sql() | trailing.oracle_sql() | intervals.oracle_sql() | models.oracle_sql()
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
@@ -21,7 +21,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
     return sorted(str([cell(v) for v in r]) for r in frame[sorted(frame)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["still_open", "beyond_horizon", "comparisons_page", "cap_open_per_series", "basin_activity_range", "recent_gaps", "duration_split_intervals", "sparse_labels", "typed_events", "dedupe_gaps", "raw_intervals", "interval_stats", "asof_backward", "asof_forward", "interval_semi", "lognormal_intervals", "minor_conditional_intervals", "prediction_match", "score_rows", "scoreboard", "minute_rms", "feed_parse", "interval_labels", "second_mode"])
+@pytest.mark.parametrize("name", ["still_open", "beyond_horizon", "comparisons_page", "cap_open_per_series", "basin_activity_range", "recent_gaps", "duration_split_intervals", "sparse_labels", "typed_events", "dedupe_gaps", "raw_intervals", "interval_stats", "asof_backward", "asof_forward", "interval_semi", "lognormal_intervals", "minor_conditional_intervals", "prediction_match", "score_rows", "scoreboard", "minute_rms", "feed_parse", "interval_labels", "second_mode", *models.FITS])
 def test_oracle(spark, name):
     query = QUERIES[name]
     con = duckdb.connect()
@@ -88,7 +88,10 @@ def test_every_gap_is_forecast(spark):
     sizes = {"a": 150, "b": 2600, "c": 61, "d": 60}
     rows = [(k, 10_000 * j + i, 60 * (i // 2), float(rng.lognormal(4, 0.3)), False) for j, (k, n) in enumerate(sizes.items()) for i in range(n)]
     iv = spark.createDataFrame(rows, "key string, id long, epoch long, x double, regime boolean").repartition(3)
-    got = {(r.key, r.id): (r.x, r.n, r.s) for r in forecasts.decided(iv, lambda key, i, x, past: [(key, i, x, len(past), float(past.sum()))], "key string, id long, x double, n long, s double").collect()}
+    def past(key, ids, x, branch, at):
+        return pd.DataFrame([(key, ids[i], x[i], len(p := x[max(0, i - 2000) : i]), float(p.sum())) for i in at], columns=["key", "id", "x", "n", "s"])
+
+    got = {(r.key, r.id): (r.x, r.n, r.s) for r in models.by_piece(iv, past, "key string, id long, x double, n long, s double", least=60, piece=700).collect()}
     want = {}
     for k, n in sizes.items():
         x = [r[3] for r in rows if r[0] == k]
