@@ -15,7 +15,7 @@ from recurra.plans import catalog
 from .intervals import gaps
 from .pieces import numbered, reached
 
-HISTORY, PIECE = 2000, 2000
+HISTORY, PIECE = 2000, 1000
 LEVELS = {"lo90": 0.05, "lo50": 0.25, "median": 0.5, "hi50": 0.75, "hi90": 0.95}
 
 
@@ -34,7 +34,7 @@ def by_piece(iv: DataFrame, answer, fields: str, branch: str = "false", least: i
             return pd.DataFrame(columns=names)
         return answer(p["key"].iloc[0], p["id"].to_numpy(), p["x"].to_numpy(float), p["branch"].to_numpy(bool), at)[names]
 
-    tasks = 2 * iv.sparkSession.sparkContext.defaultParallelism  # given, as the rows are few and the work on each is much
+    tasks = 4 * iv.sparkSession.sparkContext.defaultParallelism  # given, as the rows are few and the work on each is much
     return rows.repartition(tasks, "key", "piece").groupBy("key", "piece").applyInPandas(run, fields)
 
 

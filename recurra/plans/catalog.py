@@ -3,8 +3,9 @@
 The point process is `ev`: one row an event with id, key, epoch (seconds), dur, minor, electronic, initial and user_id.
 Ties on time are broken by id everywhere.  "Now" is always the newest event, never the clock.
 
-Chains and as-of look-ups work in stretches of STRETCH seconds of a series: what they need of the time before or after a stretch
-is one row of a small table with a row for each stretch, so no task holds a series.
+Chains, running sums and as-of look-ups work in stretches of STRETCH seconds of a series: what they need of the time before or after a
+stretch is one row of a small table with a row for each stretch.  Windows of some minutes get the rows of that many minutes around
+their stretch, windows of some rows work in pieces of PIECE rows with those before.  So no task holds a series.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ _DUCK["CHAIN"] = f"""WITH ev AS ({_DUCK['EV']}),
           FROM singles WINDOW w AS (PARTITION BY key ORDER BY epoch, id)),
   iv AS (SELECT *, (epoch - prev_epoch) / 60e0 x FROM seq WHERE prev_epoch IS NOT NULL AND epoch > prev_epoch)"""
 _SPARK["ZONE"] = _DUCK["ZONE"] = ZONE
+_SPARK["STRETCH"] = str(STRETCH)
 CHAIN = "@CHAIN@"
 #: Series whose minor events are no part of their cycle: left out before gaps are taken; and series whose phase is lost, after so many cycles.
 NOT_CYCLE, PHASE = ("error", "signup"), {"view": 2.5}
@@ -52,14 +54,43 @@ for _engine in (_SPARK, _DUCK):
 MINUTES = """WITH raw AS (@EV@), rms AS (SELECT cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v, count(*) n FROM raw GROUP BY 1)"""
 
 
-def _windowed(window: int, log: bool) -> str:
+PIECE = 20_000
+
+
+def pieces(window: int, of: str = "iv") -> str:
+    """CTE `pieces` (Spark): the rows of a series numbered (rn) by stretches of time and cut into pieces of PIECE rows, each with the `window` rows before it.
+
+    A piece's own rows have rn div PIECE = piece; windows of up to that many rows before are whole for them.
+    """
+    return f""", cut_{of} AS (SELECT *, floor(epoch / {STRETCH}) stretch FROM {of}),
+  held_{of} AS (SELECT key, stretch, (sum(n) OVER (PARTITION BY key ORDER BY stretch)) - n earlier FROM (SELECT key, stretch, count(*) n FROM cut_{of} GROUP BY key, stretch)),
+  placed AS (SELECT i.*, earlier + row_number() OVER (PARTITION BY i.key, i.stretch ORDER BY epoch, id) - 1 rn FROM cut_{of} i JOIN held_{of} h ON i.key = h.key AND i.stretch = h.stretch),
+  pieces AS (SELECT *, explode(sequence(rn div {PIECE}, (rn + {window}) div {PIECE})) piece FROM placed)"""
+
+
+_Z50, _Z90 = "0.674489750196082e0", "1.644853626951473e0"
+#: Two models' forecasts of each gap from those before it, and those gaps that both have forecast.
+_TWO = (
+    CHAIN
+    + pieces(100)
+    + f""", fit AS (SELECT key, id, x, rn, piece, avg(x) OVER near m, greatest(stddev_samp(x) OVER near, 1e-3) s, count(*) OVER near n, avg(ln(x)) OVER far lm, stddev_samp(ln(x)) OVER far ls, count(*) OVER far ln FROM pieces
+    WINDOW near AS (PARTITION BY key, piece ORDER BY rn ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), far AS (PARTITION BY key, piece ORDER BY rn ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
+  made AS (SELECT key, id, x, filter(array(
+    CASE WHEN n >= 8 THEN struct('rolling_normal' AS model, m AS mid, m - {_Z50} * s AS lo50, m + {_Z50} * s AS hi50, m - {_Z90} * s AS lo90, m + {_Z90} * s AS hi90) END,
+    CASE WHEN ln >= 12 THEN struct('lognormal' AS model, exp(lm) AS mid, exp(lm - {_Z50} * ls) AS lo50, exp(lm + {_Z50} * ls) AS hi50, exp(lm - {_Z90} * ls) AS lo90, exp(lm + {_Z90} * ls) AS hi90) END), f -> f IS NOT NULL) each
+    FROM fit WHERE rn div {PIECE} = piece),
+  common AS (SELECT key, id, x, inline(each) FROM made WHERE size(each) = 2)"""
+)
+
+
+def _duck_windowed(window: int, log: bool) -> str:
     v = "ln(x)" if log else "x"
     w = f"PARTITION BY key ORDER BY epoch, id ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING"
     return CHAIN + f", fit AS (SELECT key, id, epoch, x, avg({v}) OVER w mean, stddev_samp({v}) OVER w sd, count(*) OVER w n FROM iv WINDOW w AS ({w})) "
 
 
-_TWO = (
-    _windowed(30, False)
+_DUCK_TWO = (
+    _duck_windowed(30, False)
     + ", lfit AS (SELECT key, id, x, avg(ln(x)) OVER w mean, stddev_samp(ln(x)) OVER w sd, count(*) OVER w n FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),"
     " pred AS (SELECT 'rolling_normal' model, key, id, x, mean mid, mean - 0.674489750196082e0 * greatest(sd, 1e-3) lo50, mean + 0.674489750196082e0 * greatest(sd, 1e-3) hi50, mean - 1.644853626951473e0 * greatest(sd, 1e-3) lo90,"
     " mean + 1.644853626951473e0 * greatest(sd, 1e-3) hi90 FROM fit WHERE n >= 8 UNION ALL SELECT 'lognormal', key, id, x, exp(mean), exp(mean - 0.674489750196082e0 * sd), exp(mean + 0.674489750196082e0 * sd), exp(mean - 1.644853626951473e0 * sd),"
@@ -74,21 +105,24 @@ CATALOG: dict[str, str] = {
     "lag_chain": CHAIN + " SELECT id, key, epoch, prev_epoch, prev_dur, coalesce(prev_minor, false) prev_minor, coalesce(prev_electronic, false) prev_electronic, coalesce(prev_initial, false) prev_initial, coalesce(cast(hour(prev_lts) AS int), 12) prev_hour, coalesce(cast(dayofyear(prev_lts) AS int), 180) prev_day, coalesce(prev_dur >= 150, false) prev_long FROM seq",
     "cycle_intervals": "@CYCLES@ SELECT key, id, epoch, round(x, 6) x FROM iv",
     "whole_dedupe": """WITH ev AS (@EV@), u AS (SELECT DISTINCT key, epoch FROM (SELECT key, epoch FROM ev UNION ALL SELECT key, epoch + 30 epoch FROM ev WHERE id % 11 = 0)),
-      s AS (SELECT key, epoch, lag(epoch) OVER (PARTITION BY key ORDER BY epoch) before FROM u) SELECT key, epoch FROM s WHERE before IS NULL OR epoch - before > 60""",
+      c AS (SELECT key, epoch, floor(epoch / @STRETCH@) d FROM u), l AS (SELECT key, d, lag(top) OVER (PARTITION BY key ORDER BY d) carried FROM (SELECT key, d, max(epoch) top FROM c GROUP BY key, d)),
+      s AS (SELECT c.key, epoch, coalesce(lag(epoch) OVER (PARTITION BY c.key, c.d ORDER BY epoch), carried) before FROM c JOIN l ON c.key = l.key AND c.d = l.d) SELECT key, epoch FROM s WHERE before IS NULL OR epoch - before > 60""",
     "already_scored": CHAIN
     + """, again AS (SELECT key, id FROM singles WHERE id % 2 = 0 UNION ALL SELECT key, id FROM singles WHERE id % 3 = 0), held AS (SELECT key, id FROM singles WHERE id % 3 = 0)
       SELECT DISTINCT a.key, a.id FROM again a LEFT ANTI JOIN held h ON a.key = h.key AND a.id = h.id""",
     "source_classes": """WITH ev AS (@EV@), c AS (SELECT id, key, CASE WHEN user_id % 5 = 0 AND upper(concat('by ', key)) LIKE '%CLICK%' THEN 'a' WHEN user_id % 5 = 1 THEN 'b' END source FROM ev)
       SELECT coalesce(source, 'dropped') source, count(*) n FROM c GROUP BY 1""",
-    "raw_intervals": CHAIN + " SELECT id, key, epoch, round(x, 6) interval_min, round(lag(x) OVER (PARTITION BY key ORDER BY epoch, id), 6) prev_interval_min FROM iv",
+    "raw_intervals": CHAIN
+    + f""", c AS (SELECT *, floor(epoch / {STRETCH}) d FROM iv), l AS (SELECT key, d, lag(top) OVER (PARTITION BY key ORDER BY d) carried FROM (SELECT key, d, max(struct(epoch, id, x)) top FROM c GROUP BY key, d))
+      SELECT id, c.key, epoch, round(x, 6) interval_min, round(coalesce(lag(x) OVER (PARTITION BY c.key, c.d ORDER BY epoch, id), carried.x), 6) prev_interval_min FROM c JOIN l ON c.key = l.key AND c.d = l.d""",
     "interval_stats": CHAIN
     + " SELECT key, count(*) n, round(@PCT@(x, 0.5), 6) median, round(avg(x), 6) mean, round(stddev_samp(x), 6) sd, round(@PCT@(x, 0.05), 6) p05, round(@PCT@(x, 0.95), 6) p95, cast(min(year(lts)) AS int) first_year, cast(max(year(lts)) AS int) last_year FROM iv GROUP BY key",
     "trailing_stats": CHAIN + " SELECT key, count(*) n, round(@PCT@(x, 0.5), 6) median, round(avg(x), 6) mean FROM iv WHERE epoch >= (SELECT max(epoch) FROM ev) - 604800 GROUP BY key",
     "regime_counts": CHAIN + " SELECT key, coalesce(prev_minor, false) regime_minor, count(*) n, round(@PCT@(x, 0.25), 6) p25, round(@PCT@(x, 0.75), 6) p75 FROM iv GROUP BY 1, 2",
     "entry_mix": CHAIN
     + " SELECT key, count(*) n, round(100 * avg(CASE WHEN electronic THEN 1e0 ELSE 0e0 END), 1) electronic_pct, round(100 * avg(CASE WHEN minor THEN 1e0 ELSE 0e0 END), 1) minor_pct FROM iv GROUP BY key",
-    "basin_activity_range": f"""WITH ev AS (@EV@), c AS (SELECT epoch, epoch div {STRETCH} b, count(*) n FROM ev GROUP BY epoch),
-      held AS (SELECT epoch, b, n, 0 halo FROM c UNION ALL SELECT epoch, b + 1, n, 1 FROM c WHERE epoch % {STRETCH} > {STRETCH} - 2700),
+    "basin_activity_range": f"""WITH ev AS (@EV@), c AS (SELECT epoch, floor(epoch / {STRETCH}) b, count(*) n FROM ev GROUP BY epoch),
+      held AS (SELECT epoch, b, n, 0 halo FROM c UNION ALL SELECT epoch, b + 1, n, 1 FROM c WHERE pmod(epoch, {STRETCH}) > {STRETCH} - 2700),
       s AS (SELECT epoch, halo, sum(n) OVER (PARTITION BY b ORDER BY epoch RANGE BETWEEN 2699 PRECEDING AND CURRENT ROW) seen FROM held)
       SELECT id, cast(seen AS bigint) seen FROM ev JOIN s ON ev.epoch = s.epoch AND halo = 0""",
     "latest_two": "WITH ev AS (@EV@), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY epoch DESC, id DESC) n FROM ev) SELECT key, id, epoch, cast(n AS bigint) n FROM r WHERE n <= 2",
@@ -107,27 +141,30 @@ CATALOG: dict[str, str] = {
       n AS (SELECT a.key, t, coalesce(e, carried) next_epoch FROM a JOIN c ON a.key = c.key AND a.b = c.b WHERE side = 0)
       SELECT key, t, next_epoch, CASE WHEN next_epoch <= t + 1800 THEN next_epoch END within_half_hour FROM n""",
     "interval_semi": "WITH ev AS (@EV@), " + _GRID + """, u AS (SELECT key, t, 0 side, 0 hit FROM grid UNION ALL SELECT 'click', epoch, 1, 1 FROM ev WHERE key = 'error'),
-      a AS (SELECT key, t, side, sum(hit) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 600 FOLLOWING) hits FROM u) SELECT key, t FROM a WHERE side = 0 AND hits > 0""",
+      held AS (SELECT *, floor(t / @STRETCH@) d FROM u UNION ALL SELECT *, floor(t / @STRETCH@) - 1 FROM u WHERE side = 1 AND pmod(t, @STRETCH@) <= 600),
+      a AS (SELECT key, t, side, sum(hit) OVER (PARTITION BY key, d ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 600 FOLLOWING) hits FROM held) SELECT key, t FROM a WHERE side = 0 AND hits > 0""",
     "live_signals": """WITH ev AS (@EV@), rules AS (SELECT 'error' key, 'purchase' target, 3600 lookback UNION ALL SELECT 'signup', 'view', 7200 UNION ALL SELECT 'click', 'purchase', 60),
       latest AS (SELECT key, max(epoch) newest FROM ev GROUP BY key) SELECT r.key, r.target, l.newest, n.now_epoch - l.newest age_s FROM rules r JOIN latest l ON r.key = l.key JOIN (SELECT max(epoch) now_epoch FROM ev) n ON n.now_epoch - l.newest <= r.lookback""",
-    "common_eval_set": _TWO + " SELECT p.model, p.key, count(*) n FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2",
+    "common_eval_set": _TWO + " SELECT model, key, count(*) n FROM common GROUP BY 1, 2",
     "coverage_by_model": _TWO
-    + """ SELECT p.model, p.key, count(*) n, round(avg(abs(x - mid)), 6) mae, round(avg(CASE WHEN x BETWEEN lo50 AND hi50 THEN 1e0 ELSE 0e0 END), 6) cover50,
-      round(avg(CASE WHEN x BETWEEN lo90 AND hi90 THEN 1e0 ELSE 0e0 END), 6) cover90, round(avg(mid), 6) mean_median FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2""",
+    + """ SELECT model, key, count(*) n, round(avg(abs(x - mid)), 6) mae, round(avg(CASE WHEN x BETWEEN lo50 AND hi50 THEN 1e0 ELSE 0e0 END), 6) cover50,
+      round(avg(CASE WHEN x BETWEEN lo90 AND hi90 THEN 1e0 ELSE 0e0 END), 6) cover90, round(avg(mid), 6) mean_median FROM common GROUP BY 1, 2""",
     "model_rank": _TWO
-    + """, m AS (SELECT p.model, p.key, avg(abs(x - mid)) mae FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2)
+    + """, m AS (SELECT model, key, avg(abs(x - mid)) mae FROM common GROUP BY 1, 2)
       SELECT a.key, a.model, cast(rank() OVER (PARTITION BY a.key ORDER BY round(a.mae, 9)) AS bigint) place, round(100 * (b.mae - a.mae) / b.mae, 3) gain_pct FROM m a JOIN m b ON a.key = b.key AND b.model = 'rolling_normal'""",
     "day_counts": "WITH ev AS (@EV@) SELECT @DAY@ AS day_local, count(*) n FROM ev GROUP BY 1",
     "gap_histogram": CHAIN + ", b AS (SELECT key, least(59, cast(floor(x / 2e0) AS int)) bin FROM iv) SELECT key, bin, count(*) n FROM b GROUP BY 1, 2",
     "minute_rms": MINUTES + " SELECT m, round(v, 6) rms, n FROM rms",
     "fire_candidates": MINUTES.replace("SELECT cast", "SELECT key station, cast").replace("GROUP BY 1", "GROUP BY 1, 2").replace("/ 60e0", "/ 600e0")
-    + """, w AS (SELECT station, m, v, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM rms
-      WINDOW f AS (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY station ORDER BY m RANGE BETWEEN 360 PRECEDING AND 1 PRECEDING))
-      SELECT station, m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE n_next = 3 AND n_base >= 60 AND least_next >= 1.2e0 * base""",
+    + """, held AS (SELECT *, floor(m / 1440) d, 0 halo FROM rms UNION ALL SELECT *, floor(m / 1440) + 1, 1 FROM rms WHERE pmod(m, 1440) >= 1080 UNION ALL SELECT *, floor(m / 1440) - 1, 1 FROM rms WHERE pmod(m, 1440) < 2),
+      w AS (SELECT station, m, halo, min(v) OVER f least_next, count(*) OVER f n_next, @PCT@(v, 0.5) OVER b base, count(*) OVER b n_base FROM held
+      WINDOW f AS (PARTITION BY station, d ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY station, d ORDER BY m RANGE BETWEEN 360 PRECEDING AND 1 PRECEDING))
+      SELECT station, m, round(least_next, 6) least_next, round(base, 6) base FROM w WHERE halo = 0 AND n_next = 3 AND n_base >= 60 AND least_next >= 1.2e0 * base""",
     "regional_veto": """WITH ev AS (@EV@), st AS (SELECT key station, cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v FROM ev WHERE key IN ('view', 'click') GROUP BY 1, 2),
       fires AS (SELECT DISTINCT cast(floor(epoch / 3600e0) AS bigint) * 60 m FROM ev),
       u AS (SELECT station, m, v, 0 fire FROM st UNION ALL SELECT 'view', m, cast(NULL AS double), 1 FROM fires UNION ALL SELECT 'click', m, cast(NULL AS double), 1 FROM fires),
-      w AS (SELECT station, m, fire, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN 180 PRECEDING AND 11 PRECEDING) base, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) now FROM u),
+      held AS (SELECT *, floor(m / 1440) d, 0 halo FROM u UNION ALL SELECT *, floor(m / 1440) + 1, 1 FROM u WHERE fire = 0 AND pmod(m, 1440) >= 1260 UNION ALL SELECT *, floor(m / 1440) - 1, 1 FROM u WHERE fire = 0 AND pmod(m, 1440) < 14),
+      w AS (SELECT station, m, fire * (1 - halo) fire, @PCT@(v, 0.5) OVER (PARTITION BY station, d ORDER BY m RANGE BETWEEN 180 PRECEDING AND 11 PRECEDING) base, @PCT@(v, 0.5) OVER (PARTITION BY station, d ORDER BY m RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) now FROM held),
       s AS (SELECT m, max(CASE WHEN station = 'view' THEN now / greatest(base, 1e0) END) first_shift, max(CASE WHEN station = 'click' THEN now / greatest(base, 1e0) END) next_shift FROM w WHERE fire = 1 AND base IS NOT NULL AND now IS NOT NULL GROUP BY m)
       SELECT f.m, CASE WHEN first_shift IS NOT NULL THEN 'view' WHEN next_shift IS NOT NULL THEN 'click' END station, round(coalesce(first_shift, next_shift), 6) shift, coalesce(coalesce(first_shift, next_shift) >= 3, false) vetoed
       FROM fires f LEFT JOIN s ON f.m = s.m""",
@@ -137,12 +174,31 @@ CATALOG: dict[str, str] = {
     "planning_flag": CHAIN
     + """, s AS (SELECT key, max(epoch) newest, @PCT@(x, 0.5) med FROM iv GROUP BY key) SELECT key, round((n.now_epoch - newest) / 60e0, 6) age_min, round(med, 6) median, CASE WHEN key = 'view' THEN CASE WHEN (n.now_epoch - newest) / 60e0 > 2.5e0 * med THEN 'planning' ELSE 'live' END END mode
       FROM s JOIN (SELECT max(epoch) now_epoch FROM ev) n ON now_epoch >= newest""",
-    "changepoint_sums": CHAIN + " SELECT key, id, cast(sum(epoch - prev_epoch) OVER w AS bigint) s1, cast(sum((epoch - prev_epoch) * (epoch - prev_epoch)) OVER w AS bigint) s2 FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "changepoint_sums": CHAIN
+    + f""", c AS (SELECT key, id, epoch, floor(epoch / {STRETCH}) d, epoch - prev_epoch g, (epoch - prev_epoch) * (epoch - prev_epoch) h FROM iv),
+      u AS (SELECT key, d, (sum(g) OVER w) - g before_g, (sum(h) OVER w) - h before_h FROM (SELECT key, d, sum(g) g, sum(h) h FROM c GROUP BY key, d) WINDOW w AS (PARTITION BY key ORDER BY d))
+      SELECT c.key, id, before_g + (sum(g) OVER w) s1, before_h + (sum(h) OVER w) s2 FROM c JOIN u ON c.key = u.key AND c.d = u.d WINDOW w AS (PARTITION BY c.key, c.d ORDER BY epoch, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
 
 
 #: Where the check is written in another form than the query.
 ORACLE: dict[str, str] = {
+    "common_eval_set": _DUCK_TWO + " SELECT p.model, p.key, count(*) n FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2",
+    "coverage_by_model": _DUCK_TWO
+    + """ SELECT p.model, p.key, count(*) n, round(avg(abs(x - mid)), 6) mae, round(avg(CASE WHEN x BETWEEN lo50 AND hi50 THEN 1e0 ELSE 0e0 END), 6) cover50,
+      round(avg(CASE WHEN x BETWEEN lo90 AND hi90 THEN 1e0 ELSE 0e0 END), 6) cover90, round(avg(mid), 6) mean_median FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2""",
+    "model_rank": _DUCK_TWO
+    + """, m AS (SELECT p.model, p.key, avg(abs(x - mid)) mae FROM pred p JOIN common c ON p.id = c.id GROUP BY 1, 2)
+      SELECT a.key, a.model, cast(rank() OVER (PARTITION BY a.key ORDER BY round(a.mae, 9)) AS bigint) place, round(100 * (b.mae - a.mae) / b.mae, 3) gain_pct FROM m a JOIN m b ON a.key = b.key AND b.model = 'rolling_normal'""",
+    "raw_intervals": CHAIN + " SELECT id, key, epoch, round(x, 6) interval_min, round(lag(x) OVER (PARTITION BY key ORDER BY epoch, id), 6) prev_interval_min FROM iv",
+    "changepoint_sums": CHAIN + " SELECT key, id, cast(sum(epoch - prev_epoch) OVER w AS bigint) s1, cast(sum((epoch - prev_epoch) * (epoch - prev_epoch)) OVER w AS bigint) s2 FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "regional_veto": """WITH ev AS (@EV@), st AS (SELECT key station, cast(floor(epoch / 60e0) AS bigint) m, sqrt(avg(dur * dur)) v FROM ev WHERE key IN ('view', 'click') GROUP BY 1, 2),
+      fires AS (SELECT DISTINCT cast(floor(epoch / 3600e0) AS bigint) * 60 m FROM ev),
+      u AS (SELECT station, m, v, 0 fire FROM st UNION ALL SELECT 'view', m, cast(NULL AS double), 1 FROM fires UNION ALL SELECT 'click', m, cast(NULL AS double), 1 FROM fires),
+      w AS (SELECT station, m, fire, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN 180 PRECEDING AND 11 PRECEDING) base, @PCT@(v, 0.5) OVER (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) now FROM u),
+      s AS (SELECT m, max(CASE WHEN station = 'view' THEN now / greatest(base, 1e0) END) first_shift, max(CASE WHEN station = 'click' THEN now / greatest(base, 1e0) END) next_shift FROM w WHERE fire = 1 AND base IS NOT NULL AND now IS NOT NULL GROUP BY m)
+      SELECT f.m, CASE WHEN first_shift IS NOT NULL THEN 'view' WHEN next_shift IS NOT NULL THEN 'click' END station, round(coalesce(first_shift, next_shift), 6) shift, coalesce(coalesce(first_shift, next_shift) >= 3, false) vetoed
+      FROM fires f LEFT JOIN s ON f.m = s.m""",
     "whole_dedupe": "WITH ev AS (@EV@), u AS (SELECT key, epoch FROM ev UNION SELECT key, epoch + 30 FROM ev WHERE id % 11 = 0) SELECT key, epoch FROM u WHERE NOT EXISTS (FROM u o WHERE o.key = u.key AND o.epoch < u.epoch AND o.epoch >= u.epoch - 60)",
     "already_scored": CHAIN + " SELECT key, id FROM singles WHERE id % 2 = 0 AND id % 3 <> 0",
     "source_classes": "WITH ev AS (@EV@) SELECT 'a' source, count(*) n FROM ev WHERE user_id % 5 = 0 AND key = 'click' HAVING n > 0 UNION ALL SELECT 'b', count(*) FROM ev WHERE user_id % 5 = 1 HAVING count(*) > 0 UNION ALL SELECT 'dropped', count(*) FROM ev WHERE NOT coalesce(user_id % 5 = 1 OR (user_id % 5 = 0 AND key = 'click'), false) HAVING count(*) > 0",
@@ -164,8 +220,8 @@ ORACLE: dict[str, str] = {
 
 def filled(out: str, engine: dict[str, str]) -> str:
     """out with an engine's own words put in."""
-    for k in ("CYCLES", "CHAIN", "EV", "PCT", "DAY", "ZONE"):
-        out = out.replace(f"@{k}@", engine[k])
+    for k in ("CYCLES", "CHAIN", "EV", "PCT", "DAY", "ZONE", "STRETCH"):
+        out = out.replace(f"@{k}@", engine.get(k, ""))
     return out
 
 

@@ -26,17 +26,21 @@ def tenths(seconds: str, div: str) -> str:
 
 #: Forecasts as the sources make them; `hist` is the running mean and spread of 30 gaps.
 MADE = """,
-  hist AS (SELECT key, id, epoch, prev_epoch, avg(x) OVER w m, stddev_samp(x) OVER w s, count(x) OVER w n FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+  @HIST@,
   made AS (SELECT 'mean' source, key, id, epoch issued, epoch + cast(floor(m * 60 + 0.123456e0) AS bigint) predicted, epoch + cast(floor((m - s) * 60 + 0.123456e0) AS bigint) opens, epoch + cast(floor((m + s) * 60 + 0.123456e0) AS bigint) closes,
            epoch + cast(floor((m - 0.5e0 * s) * 60 + 0.123456e0) AS bigint) inner_opens, epoch + cast(floor((m + 0.5e0 * s) * 60 + 0.123456e0) AS bigint) inner_closes FROM hist WHERE n >= 8
            UNION ALL SELECT 'last', key, id, epoch, epoch + cast(epoch - prev_epoch AS bigint), cast(NULL AS bigint), cast(NULL AS bigint), cast(NULL AS bigint), cast(NULL AS bigint) FROM hist WHERE n >= 8 AND id % 3 <> 0
            UNION ALL SELECT 'rare', key, id, epoch, epoch + 3600, epoch + 1800, epoch + 5400, cast(NULL AS bigint), cast(NULL AS bigint) FROM @NEWEST@),
   happened AS (SELECT key, id event_id, epoch FROM singles WHERE id % 2 = 0)"""
+_WINDOWED = "avg(x) OVER w m, stddev_samp(x) OVER w s, count(x) OVER w n"
+_HIST_DUCK = f"hist AS (SELECT key, id, epoch, prev_epoch, {_WINDOWED} FROM iv WINDOW w AS (PARTITION BY key ORDER BY epoch, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"
+_HIST_SPARK = catalog.pieces(29).removeprefix(",") + f""",
+  hist AS (SELECT key, id, epoch, prev_epoch, m, s, n FROM (SELECT *, {_WINDOWED} FROM pieces WINDOW w AS (PARTITION BY key, piece ORDER BY rn ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE rn div {catalog.PIECE} = piece)"""
 _FIELDS = "id, predicted, opens, closes, inner_opens, inner_closes"
 
 _SPARK = (
     "@CHAIN@"
-    + MADE.replace("@NEWEST@", "(SELECT key, top.epoch, top.id FROM (SELECT key, max(struct(epoch, id)) top FROM singles GROUP BY key))")
+    + MADE.replace("@HIST@", _HIST_SPARK).replace("@NEWEST@", "(SELECT key, top.epoch, top.id FROM (SELECT key, max(struct(epoch, id)) top FROM singles GROUP BY key))")
     + f""",
   stretches AS (SELECT key, epoch div {catalog.STRETCH} b, min(struct(epoch, event_id)) f FROM happened GROUP BY 1, 2 UNION ALL SELECT DISTINCT key, issued div {catalog.STRETCH}, cast(NULL AS struct<epoch: bigint, event_id: bigint>) FROM made),
   onward AS (SELECT key, b, min(f) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) f FROM (SELECT key, b, min(f) f FROM stretches GROUP BY key, b)),
@@ -49,7 +53,7 @@ _SPARK = (
 )
 _DUCK = (
     "@CHAIN@"
-    + MADE.replace("@NEWEST@", "(SELECT * FROM singles s WHERE NOT EXISTS (FROM singles o WHERE o.key = s.key AND (o.epoch > s.epoch OR (o.epoch = s.epoch AND o.id > s.id))))")
+    + MADE.replace("@HIST@", _HIST_DUCK).replace("@NEWEST@", "(SELECT * FROM singles s WHERE NOT EXISTS (FROM singles o WHERE o.key = s.key AND (o.epoch > s.epoch OR (o.epoch = s.epoch AND o.id > s.id))))")
     + f""",
   taken AS (SELECT f.*, h.epoch actual, h.event_id FROM made f ASOF LEFT JOIN happened h ON f.key = h.key AND f.issued < h.epoch),
   matched AS (SELECT source, key, actual, event_id, issued, {_FIELDS}, (SELECT count(*) FROM taken u WHERE u.source = t.source AND u.key = t.key AND u.actual = t.actual) - 1 superseded FROM taken t
@@ -70,10 +74,10 @@ def _scored(div: str) -> str:
     {t('(closes - opens)')} width, superseded FROM matched WHERE NOT ({_late(div)}))"""
 
 
-#: What is shown of a source's scores for one series.
-_SUMMARY = """count(s.source) n, round(avg(abs_err), 6) mae_min, round(@MED@(err), 6) median_signed_error_min, round(avg(CASE WHEN in_window THEN 1e0 WHEN NOT in_window THEN 0e0 END), 6) in_window_rate,
+#: What is shown of a source's scores for one series; means of tenths may lie halfway between two roundings, hence 1e-9.
+_SUMMARY = """count(s.source) n, round(avg(abs_err) + 1e-9, 6) mae_min, round(@MED@(err), 6) median_signed_error_min, round(avg(CASE WHEN in_window THEN 1e0 WHEN NOT in_window THEN 0e0 END) + 1e-9, 6) in_window_rate,
   cast(sum(CASE WHEN in_window THEN 1 WHEN NOT in_window THEN 0 END) AS bigint) n_in_window, nullif(count(in_window), 0) n_windowed, round(@MED@(width), 6) median_window_width_min,
-  round(@MED@((predicted - opens) / 60e0), 6) median_window_lo_min, round(@MED@((closes - predicted) / 60e0), 6) median_window_hi_min, round(avg(CASE WHEN in_inner THEN 1e0 WHEN NOT in_inner THEN 0e0 END), 6) in_50_rate,
+  round(@MED@((predicted - opens) / 60e0), 6) median_window_lo_min, round(@MED@((closes - predicted) / 60e0), 6) median_window_hi_min, round(avg(CASE WHEN in_inner THEN 1e0 WHEN NOT in_inner THEN 0e0 END) + 1e-9, 6) in_50_rate,
   cast(sum(CASE WHEN in_inner THEN 1 WHEN NOT in_inner THEN 0 END) AS bigint) n_in_50, nullif(count(in_inner), 0) n_inner, round(@MED@((inner_closes - inner_opens) / 60e0), 6) median_window_50_width_min"""
 
 _BOARD_SPARK = f""",
@@ -82,14 +86,14 @@ _BOARD_SPARK = f""",
   open AS (SELECT source, key, true has_open FROM taken WHERE e IS NULL GROUP BY source, key),
   shown AS (SELECT key, explode(array({', '.join(repr(s) for s in SOURCES)})) source FROM (SELECT DISTINCT key FROM singles)),
   sums AS (SELECT d.key, d.source, {_SUMMARY.replace('@MED@', 'median')} FROM shown d LEFT JOIN since s ON d.key = s.key AND d.source = s.source GROUP BY d.key, d.source)
-  SELECT sums.*, CASE WHEN n > 0 THEN 'scored' WHEN has_open THEN 'awaiting' ELSE 'none' END state, round(CASE WHEN n > 0 THEN n / (n_events * 1e0) END, 6) coverage, coalesce(n_events, 0) n_events
+  SELECT sums.*, CASE WHEN n > 0 THEN 'scored' WHEN has_open THEN 'awaiting' ELSE 'none' END state, round(CASE WHEN n > 0 THEN n / (n_events * 1e0) END + 1e-9, 6) coverage, coalesce(n_events, 0) n_events
   FROM sums LEFT JOIN events ON sums.key = events.key LEFT JOIN open ON sums.key = open.key AND sums.source = open.source""".replace("SELECT sums.*, CASE", "SELECT sums.*, CASE")
 _BOARD_DUCK = f""",
   since AS (SELECT * FROM scored WHERE actual >= (SELECT max(epoch) FROM ev) - {DAYS} * 86400),
   shown AS (SELECT key, unnest({list(SOURCES)}) source FROM (SELECT DISTINCT key FROM singles)),
   sums AS (SELECT d.key, d.source, {_SUMMARY.replace('@MED@', 'median')} FROM shown d LEFT JOIN since s USING (key, source) GROUP BY d.key, d.source)
   SELECT sums.*, CASE WHEN n > 0 THEN 'scored' WHEN EXISTS (FROM taken t WHERE t.key = sums.key AND t.source = sums.source AND t.actual IS NULL) THEN 'awaiting' ELSE 'none' END state,
-    round(CASE WHEN n > 0 THEN n / (SELECT count(DISTINCT event_id) * 1e0 FROM since e WHERE e.key = sums.key) END, 6) coverage, (SELECT count(DISTINCT event_id) FROM since e WHERE e.key = sums.key) n_events FROM sums"""
+    round(CASE WHEN n > 0 THEN n / (SELECT count(DISTINCT event_id) * 1e0 FROM since e WHERE e.key = sums.key) END + 1e-9, 6) coverage, (SELECT count(DISTINCT event_id) FROM since e WHERE e.key = sums.key) n_events FROM sums"""
 
 PAGE, OFFSET = 20, 20
 _PAGE_SPARK = f""",
