@@ -12,7 +12,7 @@ from recurra.functions import dist
 from recurra.plans import catalog
 
 from . import intervals
-from .pieces import kept
+from .pieces import carried, framed, kept, numbered
 
 #: Reliability of an announcement, mean and sd of its lead in minutes, the longest wait for it.
 RELIABLE, LEAD, LEAD_SD, WAIT = 0.94, 11.9, 4.8, 40.0
@@ -29,9 +29,9 @@ LATTICES = {"view": "signup"}
 
 def periods(iv: DataFrame, back: int = 40) -> DataFrame:
     """key, epoch and period: the median of those of the last gaps that last 8 to 45 minutes; PERIOD where there are under four."""
-    w = Window.partitionBy("key").orderBy("epoch", "id").rowsBetween(2 - back, 0)
     good = F.when((F.col("x") > 8) & (F.col("x") < 45), F.col("x"))
-    return iv.select("key", "epoch", "id", F.when(F.count(good).over(w) >= 4, F.percentile(good, 0.5).over(w)).otherwise(PERIOD).alias("period"))
+    period = lambda w: {"period": F.when(F.count(good).over(w) >= 4, F.percentile(good, 0.5).over(w)).otherwise(PERIOD)}
+    return framed(iv.select("key", "epoch", "id", "x"), "key", back - 2, period).select("key", "epoch", "id", "period")
 
 
 def known(iv: DataFrame, announces: dict[str, str], step: int = 1800, precursors: dict | None = None, lattices: dict | None = None, triggers: tuple[int, ...] = (), least: int = 12) -> DataFrame:
@@ -41,9 +41,8 @@ def known(iv: DataFrame, announces: dict[str, str], step: int = 1800, precursors
     period of the neighbour's cycle), next and next_valid.  iv: key, id, epoch, x and is_valid.  Only `next` looks ahead: it is the first
     event after t, and next_valid says whether it closes a genuine gap.
     """
-    back = Window.partitionBy("key").orderBy("epoch", "id").rowsBetween(-99, 0)
-    order = Window.partitionBy("key").orderBy("epoch", "id")
-    fits = iv.where("is_valid").select("key", "epoch", "id", F.struct(F.avg(F.log("x")).over(back).alias("mean"), F.stddev_samp(F.log("x")).over(back).alias("sd"), F.row_number().over(order).alias("n")).alias("fit"))
+    moments = lambda w: {"mean": F.avg(F.log("x")).over(w), "sd": F.stddev_samp(F.log("x")).over(w)}
+    fits = framed(iv.where("is_valid").select("key", "epoch", "id", "x"), "key", 99, moments).select("key", "epoch", "id", F.struct("mean", "sd", (F.col("rn") + 1).alias("n")).alias("fit"))
     blank = {"fit": F.lit(None).cast(fits.schema["fit"].dataType), "own": F.lit(None).cast("long"), "valid": F.lit(None).cast("boolean"), "ann": F.lit(None).cast("long"), "pre": F.lit(None).cast("map<string,bigint>"), "lat": F.lit(None).cast("struct<epoch: bigint, period: double>")}
 
     def rows(df: DataFrame, key, t, side: int, **values) -> DataFrame:
@@ -67,14 +66,14 @@ def known(iv: DataFrame, announces: dict[str, str], step: int = 1800, precursors
     every = rows(grid, F.col("key"), F.col("t"), 2)
     for r in all_rows:
         every = every.unionByName(r)
+    every = kept(every)
     # From the newest back, each row sees the first event after it; of one instant, times come before events and those before neighbours'.
-    onward = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
     names = sorted({a for each in (precursors or {}).values() for a in each})
-    after = [F.last(F.try_element_at("pre", F.lit(a)), True).over(onward).alias(f"after_{i}") for i, a in enumerate(names)]
-    ahead = every.select("*", F.last("own", True).over(onward).alias("next"), F.last("valid", True).over(onward).alias("next_valid"), *after)
-    upto = Window.partitionBy("key").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    event = F.when(F.col("own").isNotNull(), F.struct("own", *[f"after_{i}" for i in range(len(names))]))
-    seen = ahead.withColumn("event", event).select("key", "t", "side", "next", "next_valid", F.last("fit", True).over(upto).alias("fit"), F.last("event", True).over(upto).alias("event"), F.last("ann", True).over(upto).alias("ann"), F.last("lat", True).over(upto).alias("lat"))
+    after = {f"after_{i}": F.try_element_at("pre", F.lit(a)) for i, a in enumerate(names)}
+    ahead = carried(every, "key", "t", "side", {"next": F.col("own"), "next_valid": F.col("valid"), **after}, ahead=True, itself=False)
+    event = F.when(F.col("own").isNotNull(), F.struct("own", *after))
+    told = ahead.select("key", "t", "side", "next", "next_valid", F.col("fit").alias("f"), event.alias("e"), F.col("ann").alias("a"), F.col("lat").alias("l"))
+    seen = carried(told, "key", "t", "side", {"fit": F.col("f"), "event": F.col("e"), "ann": F.col("a"), "lat": F.col("l")})
     shift = F.lit(0.0)
     for b, each in (precursors or {}).items():
         for a, minutes in each.items():
@@ -185,12 +184,10 @@ def backtest(casts: DataFrame) -> DataFrame:
 def coverage_over_all(iv: DataFrame, least: int = 300, valid_least: int = 50) -> DataFrame:
     """Coverage of a lognormal of the last 100 valid gaps over all gaps, valid or not: key, n, filtered_pct, cover50 and cover90."""
     all_gaps = iv.join(intervals.labels(iv).select("key", "id", "is_valid"), ["key", "id"])
-    order = Window.partitionBy("key").orderBy("epoch", "id")
-    kept = Window.partitionBy("key", "is_valid").orderBy("epoch", "id")
-    last = kept.rowsBetween(-99, 0)
-    fit = F.when(F.col("is_valid"), F.struct(F.avg(F.log("x")).over(last).alias("m"), F.stddev_samp(F.log("x")).over(last).alias("s"), F.row_number().over(kept).alias("n")))
-    rows = all_gaps.withColumn("fit", fit).withColumn("rn", F.row_number().over(order)).withColumn("fit", F.last("fit", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.where((F.col("rn") > least) & (F.col("fit.n") >= valid_least) & (F.col("x") > 0))
+    moments = lambda w: {"m": F.avg(F.log("x")).over(w), "s": F.stddev_samp(F.log("x")).over(w)}
+    fits = framed(all_gaps.where("is_valid").select("key", "epoch", "id", "x"), "key", 99, moments).select("key", "id", F.struct("m", "s", (F.col("rn") + 1).alias("n")).alias("own"))
+    rows = numbered(all_gaps.join(fits, ["key", "id"], "left"), "key")
+    rows = carried(rows, "key", "epoch", "id", {"fit": F.col("own")}, itself=False).where((F.col("rn") >= least) & (F.col("fit.n") >= valid_least) & (F.col("x") > 0))
 
     def inside(z: float) -> Column:
         s = F.greatest(F.col("fit.s"), F.lit(1e-3)) * z
