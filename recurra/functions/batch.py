@@ -97,6 +97,20 @@ class Many:
         return x
 
 
+class Normals(Many):
+    """A normal distribution for each row: mean and sd."""
+
+    def take(self, rows) -> "Normals":
+        return Normals(self.a[rows], self.b[rows])
+
+    def cdf(self, t: np.ndarray) -> np.ndarray:
+        wide = (lambda x: x[:, None]) if t.ndim == 2 else (lambda x: x)
+        return phi((t - wide(self.a)) / wide(self.b))
+
+    def ppf(self, q) -> np.ndarray:
+        return self.a[:, None] + self.b[:, None] * dist.inverse_phi(np.asarray(q, float))[None]
+
+
 def crps(many: Many, y: np.ndarray, points: int = 512) -> np.ndarray:
     """Continuous ranked probability score of each row by the trapezoid rule, on the grid that dist.crps takes."""
     out = np.full(len(y), np.nan)
@@ -134,6 +148,31 @@ def _bell(sums: Sums, first: np.ndarray, last: np.ndarray, least: int = 12) -> t
         return np.where(n >= least, mean, np.nan), np.where(n >= least, np.maximum(np.sqrt(squares / (n - 1)), 1e-6), np.nan)
 
 
+def normal(x: np.ndarray, at: np.ndarray, window: int = 30, least: int = 8) -> Normals:
+    a, b = _bell(Sums(x), np.maximum(at - window, 0), at, least)
+    return Normals(a, np.maximum(b, 1e-3))
+
+
+def branched(x: np.ndarray, kind: np.ndarray, at: np.ndarray, window: int = 400, least: int = 60, least_branch: int = 25, least_known: int = 0) -> Many:
+    """A lognormal of the window's gaps that began as this one does, or of all where there are too few; kind: 0, 1, or -1 for not known."""
+    y, first = np.log(x), np.maximum(at - window, 0)
+    n, (a, b) = at - first, _bell(Sums(y), first, at)
+    middle, known = float(y.mean()) if len(y) else 0.0, np.zeros(len(at), np.int64)
+    out_a, out_b = a.copy(), b.copy()
+    for g in (0, 1):
+        own = kind == g
+        run = lambda v, own=own: np.concatenate(([0.0], np.cumsum(np.where(own, v, 0.0))))
+        k, s, q = (c[at] - c[first] for c in (run(np.ones(len(y))), run(y - middle), run((y - middle) ** 2)))
+        known += k.astype(np.int64)
+        with np.errstate(all="ignore"):
+            mean, sd = middle + s / k, np.maximum(np.sqrt(np.maximum(q - s * s / k, 0) / (k - 1)), 1e-6)
+        use = (kind[at] == g) & (k >= max(least_branch, 12))
+        out_a, out_b = np.where(use, mean, out_a), np.where(use, sd, out_b)
+    plain = known < least_known
+    out_a, out_b = np.where(plain, a, out_a), np.where(plain, b, out_b)
+    return Many(np.where(n >= least, out_a, np.nan), np.where(n >= least, out_b, np.nan))
+
+
 def lognormal(x: np.ndarray, at: np.ndarray, window: int = 100) -> Many:
     return Many(*_bell(Sums(np.log(x)), np.maximum(at - window, 0), at))
 

@@ -108,7 +108,7 @@ _NEWTON = """y AS (SELECT key, id, tag, list_avg(h) m, list_transform(h, lambda
   wb AS (SELECT n.key, n.id, n.tag, c shape, m * pow(list_avg(list_transform(n.y, lambda v: exp(c * v))), 1 / c) scale FROM newton n JOIN y ON n.key = y.key AND n.id = y.id AND n.tag = y.tag WHERE k = 14)"""
 
 
-def _recursive(text: str) -> str:
+def recursive(text: str) -> str:
     return text.replace("WITH ev", "WITH RECURSIVE ev", 1)
 
 
@@ -163,4 +163,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _recursive(catalog.filled(text, catalog._DUCK)) if "newton" in text else catalog.filled(text, catalog._DUCK) for name, text in _SQL.items()}
+    return {name: recursive(catalog.filled(text, catalog._DUCK)) if "newton" in text else catalog.filled(text, catalog._DUCK) for name, text in _SQL.items()}

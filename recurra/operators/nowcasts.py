@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import dist
+from recurra.functions.sqlmath import phi
 from recurra.plans import catalog
 
 from . import intervals
@@ -247,15 +248,29 @@ INPUTS = f""", v AS (SELECT key, id, epoch, x, coalesce((med IS NOT NULL AND x B
     CASE WHEN t - lat_epoch <= {FRESH * 60} THEN lat_epoch END lattice_epoch, CASE WHEN t - lat_epoch <= {FRESH * 60} THEN round(period, 6) END period, next, coalesce(next_ok, false) next_valid FROM q5 WHERE n >= 300"""
 
 
+#: Of columns elapsed (minutes since an announcement) and z (how far beyond its mean lead, in deviations): the chance that its event is still to come; too far out in the tail it is 0.
+_WEIGHT = f"(CASE WHEN left_p * 2000 < 20 OR {RELIABLE}e0 * left_p / ({RELIABLE}e0 * left_p + {1 - RELIABLE:.2f}e0) <= 0.01e0 THEN 0e0 ELSE {RELIABLE}e0 * left_p / ({RELIABLE}e0 * left_p + {1 - RELIABLE:.2f}e0) END)"
+
+
+def indicator_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, t, elapsed (minutes since the neighbour announced), weight and whether it makes the forecast's regime, at every time with an announcement under way."""
+    got = known(_judged(spark, sf_dir), ANNOUNCES, 1800, triggers=(1, 4, 8), least=300).withColumn("elapsed", (F.col("t") - F.col("announced")) / 60)
+    got = got.where(F.col("elapsed").between(0, WAIT)).withColumn("z", (F.lit(LEAD) - F.col("elapsed")) / LEAD_SD)
+    got = got.withColumn("left_p", F.expr(phi("z"))).withColumn("weight", F.expr(_WEIGHT))
+    return got.select("key", "t", F.round("elapsed", 6).alias("elapsed"), F.round("weight", 6).alias("weight"), (F.col("weight") >= 0.5).alias("active"))
+
+
 def all_gap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_over_all(_gaps(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (nowcast_grid, nowcast_backtest, nowcast_options, nowcast_inputs, all_gap_coverage)}
+    return {f.__name__: f for f in (nowcast_grid, nowcast_backtest, nowcast_options, nowcast_inputs, indicator_weights, all_gap_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
     text = catalog.filled(intervals.ORACLE, catalog._DUCK)
     text = text[: text.index("  SELECT key, id, round(x, 6) x")]
-    return {"all_gap_coverage": text + COVERAGE, "nowcast_inputs": text + INPUTS}
+    weights = f"""SELECT key, t, round(elapsed, 6) elapsed, round({_WEIGHT}, 6) weight, {_WEIGHT} >= 0.5e0 active FROM (SELECT *, {phi('z')} left_p FROM (SELECT key, t, (t - announced) / 60e0 elapsed, ({LEAD}e0 - (t - announced) / 60e0) / {LEAD_SD}e0 z
+      FROM ({text + INPUTS}) WHERE t - announced BETWEEN 0 AND {int(WAIT * 60)}))"""
+    return {"all_gap_coverage": text + COVERAGE, "nowcast_inputs": text + INPUTS, "indicator_weights": weights}

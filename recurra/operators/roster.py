@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recurra.functions import dist
+from recurra.functions import batch, dist
 
 from .intervals import gaps, labels
 from .pieces import kept, numbered
@@ -89,6 +89,39 @@ MODELS: dict[str, tuple[Callable, Callable[[Series, str], bool] | None]] = {
 }
 
 
+def _flag(p: pd.DataFrame, name: str) -> np.ndarray:
+    return p[name].map(bool).to_numpy(bool).astype(np.int64)
+
+
+def _durations(p: pd.DataFrame) -> np.ndarray:
+    d = p["prev_dur"].to_numpy(float)
+    return np.where(np.isfinite(d) & (d > 0), (d < 150).astype(np.int64), -1)
+
+
+def _covariates(p: pd.DataFrame, at: np.ndarray) -> batch.Many:
+    model, x, z = dist.Regression(), p["x"].to_numpy(float), _columns(p)
+    fits = [model.predict(x[max(0, k - model.window) : k], z[max(0, k - model.window) : k], z[k]) for k in at.tolist()]
+    return batch.Many([d.a if d else np.nan for d in fits], [d.b if d else np.nan for d in fits], np.ones(len(at), bool))
+
+
+#: The models above for many gaps at once: of a piece's gaps (with what is known of them) and the places to be forecast.
+TOGETHER: dict[str, tuple[Callable, Callable]] = {
+    name: (MODELS[name][0], f)
+    for name, f in {
+        "rolling_normal": lambda p, at: batch.normal(p["x"].to_numpy(float), at),
+        "lognormal": lambda p, at: batch.lognormal(p["x"].to_numpy(float), at),
+        "weibull": lambda p, at: batch.weibull(p["x"].to_numpy(float), at),
+        "best_parametric": lambda p, at: batch.best_parametric(p["x"].to_numpy(float), at),
+        "adaptive_lognormal": lambda p, at: batch.adaptive_lognormal(p["x"].to_numpy(float), at)[0],
+        "weibull_aft": _covariates,
+        "duration_lognormal": lambda p, at: batch.branched(p["x"].to_numpy(float), _durations(p), at, least=24, least_branch=12, least_known=24),
+        "minor_conditional": lambda p, at: batch.branched(p["x"].to_numpy(float), _flag(p, "prev_minor"), at),
+        "entry_conditional": lambda p, at: batch.branched(p["x"].to_numpy(float), _flag(p, "prev_electronic"), at),
+        "series_conditional": lambda p, at: batch.series_conditional(p["x"].to_numpy(float), _flag(p, "prev_initial"), at),
+    }.items()
+}
+
+
 def register(name: str, make: Callable, only: Callable[[Series, str], bool] | None = None) -> None:
     """Add a model: make() gives fit(history, row); only(series, key) says whom it is for.  Tasks get the models there are when a query is built."""
     MODELS[name] = make, only
@@ -141,21 +174,18 @@ def walk_forward(iv: DataFrame, days: int, now: int, least: int = 300, most: int
         key, first = p["key"].iloc[0], int(p["rn"].iloc[0])
         at = _evaluated(int(p["n"].iloc[0]), int(p["start"].iloc[0]), most)
         at = at[(at >= p["first"].iloc[0]) & (at <= p["last"].iloc[0])]
-        out = []
+        out, x = [], p["x"].to_numpy(float)
         for name, (make, only) in models.items():
             if only is not None and not only(series, key):
                 continue
-            fit = make()
-            for i in at.tolist():
-                k = i - first
-                row = p.iloc[k]
-                d = fit(p.iloc[max(0, k - HISTORY) : k], row)
-                if d is None:
-                    continue
-                q = d.ppf(np.array([0.05, 0.25, 0.5, 0.75, 0.95]))
-                score = dist.crps(d, row["x"])
-                if np.isfinite(score):
-                    out.append((name, key, i, row["x"], *map(float, q), score, float(d.cdf(row["x"]))))
+            if name in TOGETHER and TOGETHER[name][0] is make:
+                many = TOGETHER[name][1](p, at - first)
+                own = np.flatnonzero(many.known)
+                many, y = many.take(own), x[at[own] - first]
+                rows = zip(at[own].tolist(), y, many.ppf([0.05, 0.25, 0.5, 0.75, 0.95]), batch.crps(many, y), many.cdf(y))
+            else:
+                rows = _one_by_one(make(), p, at, first)
+            out += [(name, key, i, y, *map(float, q), float(score), float(pit)) for i, y, q, score, pit in rows if np.isfinite(score)]
         return pd.DataFrame(out, columns=FIELDS_NAMES)
 
     columns = ["key", "rn", "x", *KNOWN, "piece", "first", "last", "n", "start"]
@@ -163,6 +193,16 @@ def walk_forward(iv: DataFrame, days: int, now: int, least: int = 300, most: int
     return held.select(*columns).repartition(tasks, "key", "piece").groupBy("key", "piece").applyInPandas(run, FIELDS)
 
 
+def _one_by_one(fit: Callable, p: pd.DataFrame, at: np.ndarray, first: int):
+    """Place, gap, quantiles, crps and pit of the forecasts of a model of one's own."""
+    for i in at.tolist():
+        k = i - first
+        row = p.iloc[k]
+        d = fit(p.iloc[max(0, k - HISTORY) : k], row)
+        if d is not None:
+            yield i, row["x"], d.ppf(np.array([0.05, 0.25, 0.5, 0.75, 0.95])), dist.crps(d, row["x"]), d.cdf(row["x"])
+
+
 FIELDS = "model string, key string, idx long, x double, lo90 double, lo50 double, median double, hi50 double, hi90 double, crps double, pit double"
 FIELDS_NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
@@ -196,6 +236,20 @@ def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(backtest_records(spark, sf_dir))
 
 
+def thinned(rows: DataFrame, start: int, most: int) -> DataFrame:
+    """Of numbered rows (rn from 0, by key) those from `start` on: all, or `most` of them at even distances, the first and the last among them."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > start)
+    span = F.col("size") - 1 - start
+    at = F.when(span < most, F.sequence(F.lit(start).cast("long"), F.col("size") - 1)).otherwise(F.expr(f"array_distinct(transform(sequence(0L, {most - 1}L), i -> {start} + (i * (size - 1 - {start})) div {most - 1}))"))
+    return rows.join(sizes.select("key", F.explode(at).alias("rn")), ["key", "rn"])
+
+
+def evaluated_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that a backtest of 500 forecasts of each series makes, at even distances from the 300th gap on."""
+    rows = numbered(gaps(spark, spark.read.parquet(f"{sf_dir}/events.parquet")).select("key", "id", "epoch", "x"), "key")
+    return thinned(rows, 300, 500).select("key", "id", "rn", F.round("x", 6).alias("x"))
+
+
 def validity_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key and p_seen: the share of a series' last 400 gaps that are genuine, as the chance that an event is seen."""
     iv = gaps(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -216,7 +270,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (walk_forward_scores, validity_share, scored_events)}
+    return {f.__name__: f for f in (walk_forward_scores, evaluated_gaps, validity_share, scored_events)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -226,7 +280,11 @@ def oracle_sql() -> dict[str, str]:
 
     text = catalog.filled(ORACLE, catalog._DUCK)
     text = text[: text.index("  SELECT key, id, round(x, 6) x")] + ", v AS (SELECT key, id, epoch, x, coalesce(x BETWEEN 0.5e0 * med AND 1.75e0 * med, false) OR coalesce(ml >= 3.5e0 * med AND x BETWEEN 0.5e0 * ml AND 1.75e0 * ml, false) ok FROM l)"
+    even = """@CHAIN@, g AS (SELECT key, id, x, row_number() OVER (PARTITION BY key ORDER BY epoch, id) - 1 rn, count(*) OVER (PARTITION BY key) n FROM iv),
+      picked AS (SELECT DISTINCT key, 300 + (i * (n - 301)) // 499 rn FROM (SELECT DISTINCT key, n FROM g WHERE n - 301 >= 500), range(500) t(i))
+      SELECT key, id, rn, round(x, 6) x FROM g WHERE rn >= 300 AND (n - 301 < 500 OR EXISTS (FROM picked p WHERE p.key = g.key AND p.rn = g.rn))"""
     return {
+        "evaluated_gaps": catalog.filled(even, catalog._DUCK),
         "validity_share": text + ", newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY epoch DESC, id DESC) <= 400) SELECT key, round(CASE WHEN count(*) < 20 THEN 0.9e0 ELSE greatest(0.3e0, least(0.995e0, avg(ok::int))) END, 6) p_seen FROM newest GROUP BY key",
         "scored_events": text + " SELECT key, id, epoch FROM v WHERE ok",
     }

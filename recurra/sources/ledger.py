@@ -9,6 +9,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recurra.operators.pieces import carried
+
 OPEN = "source string, key string, forecast_id string, issued long, predicted long, opens long, closes long, inner_opens long, inner_closes long, detail string"
 SCORED = "source string, key string, event_id long, actual long, issued long, predicted long, opens long, closes long, inner_opens long, inner_closes long, signed_error_min double, abs_error_min double, lead_minutes double, in_window boolean, in_inner boolean, window_width_min double, superseded long"
 EXPIRY, RETENTION, LEAST_HORIZON = 48 * 3600, 180 * 86400, 6 * 3600
@@ -24,11 +26,11 @@ def added(held: DataFrame, new: DataFrame) -> DataFrame:
 def takers(held: DataFrame, events: DataFrame) -> DataFrame:
     """held with event_id and actual of the first event (key, event_id, epoch) after each was issued; null where there is none yet."""
     rows = held.select("key", F.col("issued").alias("t"), F.lit(1).alias("side"), F.struct(*held.columns).alias("f"), F.lit(None).cast("struct<epoch:bigint,event_id:bigint>").alias("e"))
-    marks = events.select("key", F.col("epoch").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"), F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("event_id").cast("long").alias("event_id")).alias("e"))
-    # from the newest back; an event of the same second as a forecast came before it
-    back = Window.partitionBy("key").orderBy(F.desc("t"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.unionByName(marks).withColumn("e", F.min("e").over(back.orderBy(F.desc("t"), F.desc("side"))))
-    return seen.where("side = 1").select("f.*", F.col("e.event_id").alias("event_id"), F.col("e.epoch").alias("actual"))
+    first = events.groupBy("key", "epoch").agg(F.min("event_id").cast("long").alias("event_id"))
+    marks = first.select("key", F.col("epoch").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"), F.struct(F.col("epoch").cast("long").alias("epoch"), "event_id").alias("e"))
+    # an event of the same second as a forecast came before it
+    seen = carried(rows.unionByName(marks), "key", "t", "side", {"next": F.col("e")}, ahead=True, itself=False)
+    return seen.where("side = 1").select("f.*", F.col("next.event_id").alias("event_id"), F.col("next.epoch").alias("actual"))
 
 
 def applied(held: DataFrame, events: DataFrame, scored: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:

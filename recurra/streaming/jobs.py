@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from recurra.operators.pieces import carried
+
 
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
@@ -190,17 +192,25 @@ def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fires by windows and a fold over each station's candidates, of which each rules out those within the rest after it."""
+    """The same fires by windows over stretches of bins with those around them, and a fold over each run of candidates.
+
+    A candidate that comes the rest or more after the one before it fires whatever came earlier, so runs begin there, and no task holds a station.
+    """
     r = SPARSE_RULE
-    return spark.sql(
+    block = 5 * r.back
+    found = spark.sql(
         f"""WITH bins AS (SELECT event_type station, unix_seconds(cast(ts AS timestamp)) div {SPARSE_BINS} m, sqrt(avg(value * value)) v FROM {{events}} WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
-        w AS (SELECT station, m, min(v) OVER f low, count(*) OVER f n, percentile(v, 0.5) OVER b base, count(*) OVER b held FROM bins
-          WINDOW f AS (PARTITION BY station ORDER BY m RANGE BETWEEN CURRENT ROW AND {r.sustain - 1} FOLLOWING), b AS (PARTITION BY station ORDER BY m RANGE BETWEEN {r.back} PRECEDING AND 1 PRECEDING)),
-        c AS (SELECT station, array_sort(collect_list(struct(m, low, base))) a FROM w WHERE n = {r.sustain} AND held >= {r.known} AND base < {r.quiet} AND low >= greatest({r.least}, {r.ratio} * base) GROUP BY station),
-        k AS (SELECT station, aggregate(a, cast(array() AS array<struct<m: bigint, low: double, base: double>>), (s, e) -> if(size(s) = 0 OR e.m >= s[size(s) - 1].m + {r.rest}, concat(s, array(e)), s)) s FROM c)
-        SELECT station, x.m, round(x.low, 6) least_next, round(x.base, 6) base FROM (SELECT station, explode(s) x FROM k)""",
+        held AS (SELECT *, floor(m / {block}) d, 0 halo FROM bins UNION ALL SELECT *, floor(m / {block}) + 1, 1 FROM bins WHERE pmod(m, {block}) >= {block - r.back} UNION ALL SELECT *, floor(m / {block}) - 1, 1 FROM bins WHERE pmod(m, {block}) < {r.sustain - 1}),
+        w AS (SELECT station, m, halo, min(v) OVER f low, count(*) OVER f n, percentile(v, 0.5) OVER b base, count(*) OVER b known FROM held
+          WINDOW f AS (PARTITION BY station, d ORDER BY m RANGE BETWEEN CURRENT ROW AND {r.sustain - 1} FOLLOWING), b AS (PARTITION BY station, d ORDER BY m RANGE BETWEEN {r.back} PRECEDING AND 1 PRECEDING))
+        SELECT station, m, m * {SPARSE_BINS} t, low, base FROM w WHERE halo = 0 AND n = {r.sustain} AND known >= {r.known} AND base < {r.quiet} AND low >= greatest({r.least}, {r.ratio} * base)""",
         events=spark.read.parquet(f"{sf_dir}/events.parquet"),
     )
+    before = carried(found, "station", "t", "m", {"before": F.col("m")}, itself=False)
+    runs = carried(before, "station", "t", "m", {"run": F.when(F.col("before").isNull() | (F.col("m") - F.col("before") >= r.rest), F.col("m"))})
+    each = runs.groupBy("station", "run").agg(F.array_sort(F.collect_list(F.struct("m", "low", "base"))).alias("a"))
+    kept = F.expr(f"aggregate(a, cast(array() AS array<struct<m: bigint, low: double, base: double>>), (s, e) -> if(size(s) = 0 OR e.m >= s[size(s) - 1].m + {r.rest}, concat(s, array(e)), s))")
+    return each.select("station", F.explode(kept).alias("x")).select("station", "x.m", F.round("x.low", 6).alias("least_next"), F.round("x.base", 6).alias("base"))
 
 
 def watch_status(spark: SparkSession, sf_dir: str) -> DataFrame:

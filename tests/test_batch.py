@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from recurra.functions import batch, dist
-from recurra.operators import forecasts, models
+from recurra.operators import forecasts, models, roster, samples
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,52 @@ def test_reliability_counts_every_level(spark):
     got = forecasts.pit_reliability(spark, "/root/testdata/sf0.001").toPandas()
     assert set(got.groupby("model").size()) == {101} and got["share"].between(0, 1).all()
     assert got.sort_values(["model", "level"]).groupby("model")["share"].apply(lambda s: s.is_monotonic_increasing and s.iloc[-1] == 1).all()
+
+
+def test_roster_together_is_one_by_one():
+    """Every model of the roster, for all places of a piece and for one after the other."""
+    rng = np.random.default_rng(8)
+    n = 700
+    flags = {c: rng.random(n) < 0.4 for c in ("prev_minor", "prev_electronic", "prev_initial")}
+    x = np.where(flags["prev_initial"], rng.lognormal(4, 0.2, n), rng.lognormal(2, 0.3, n))
+    dur = np.where(rng.random(n) < 0.7, rng.uniform(50, 250, n), np.where(rng.random(n) < 0.5, np.nan, 0.0))
+    p = pd.DataFrame({"x": x, "prev_x": np.append(np.nan, x[:-1]), "prev_dur": dur, **flags, "prev_hour": rng.integers(0, 24, n), "prev_day": rng.integers(1, 366, n)})
+    at = np.array([0, 7, 8, 12, 24, 30, 59, 60, 61, 80, 81, 199, 200, 201, 250, 400, 455, 699])
+    for name, (make, together) in roster.TOGETHER.items():
+        many, one = together(p, at), make()
+        q, scores = many.ppf([0.05, 0.5, 0.95]), batch.crps(many, x[at])
+        for k, i in enumerate(at.tolist()):
+            d = one(p.iloc[:i], p.iloc[i])
+            assert (d is not None) == many.known[k], (name, i)
+            if d is not None:
+                assert np.allclose(d.ppf(np.array([0.05, 0.5, 0.95])), q[k], rtol=1e-8), (name, i)
+                assert abs(dist.crps(d, x[i]) - scores[k]) < 1e-6 * max(1, scores[k]), (name, i)
+
+
+def test_weighted_samples(spark):
+    """Quantiles, shares and scores of weighted samples against numpy; ties, zero and null weights, and no samples."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.lognormal(2, 1.5, 400), 1) + 0.1
+    w = rng.random(400)
+    rows = [("a", float(v), float(u)) for v, u in zip(x, w)] + [("a", 3.0, None), ("a", 1e6, 0.0), ("a", 0.001, -1.0), ("one", 5.0, 2.0), ("none", 1.0, 0.0)]
+    d = spark.createDataFrame(rows, "key string, x double, w double").repartition(3)
+    levels = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {(r.key, r.level): r.value for r in samples.quantiles(d, levels).collect()}
+    values = np.unique(x)
+    shares = np.array([w[x <= v].sum() for v in values]) / w.sum()
+    assert {k for k, _ in got} == {"a", "one"}
+    for q in levels[1:4]:
+        assert got["a", q] == pytest.approx(float(np.interp(q, shares, values)))
+        assert got["one", q] == 5.0
+    y = spark.createDataFrame([("a", 9.0), ("one", 4.0), ("none", 1.0)], "key string, y double")
+    found = {r.key: (r.share, r.crps) for r in samples.scores(d, y).collect()}
+    assert found["a"] == (pytest.approx(w[x <= 9].sum() / w.sum()), pytest.approx(dist.crps_sample(x, w, 9.0)))
+    assert found["one"] == (0.0, pytest.approx(1.0)) and "none" not in found
+    assert samples.quantiles(d.limit(0), levels).count() == 0
+
+
+def test_thinned_is_even(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("long", 5000), ("short", 320), ("few", 300)) for i in range(n)], "key string, rn long")
+    got = roster.thinned(rows, 300, 500).toPandas().groupby("key")["rn"].apply(sorted)
+    assert got["long"] == np.unique(300 + np.arange(500) * 4699 // 499).tolist() and got["long"][-1] == 4999
+    assert got["short"] == list(range(300, 320)) and "few" not in got
