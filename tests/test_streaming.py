@@ -110,3 +110,33 @@ def test_chains_collapse_across_batches(spark, tmp_path):
     jobs.log(jobs.singles(rows), str(tmp_path / "out")).awaitTermination()
     got = jobs.logged(spark, str(tmp_path / "out"), jobs.singles(rows).schema).collect()
     assert sorted(r["id"] for r in got) == [1, 3, 5, 7]
+
+
+def test_batch_detections_against_the_rule(spark, tmp_path):
+    """Many fires, runs of candidates nearer than the rest, over several blocks of bins, against plain Python."""
+    import datetime as dt
+
+
+    rng = np.random.default_rng(3)
+    r, rows, want = jobs.SPARSE_RULE, [], []
+    begin = dt.datetime(2024, 1, 1)
+    for station in ("a", "b"):
+        v = rng.uniform(180, 220, 4000)
+        for at in rng.integers(200, 3900, 60):
+            v[at : at + int(rng.integers(2, 40))] = rng.uniform(300, 900)
+        there = rng.random(4000) < 0.97
+        rows += [(len(rows) + i, station, float(v[i]), begin + dt.timedelta(seconds=jobs.SPARSE_BINS * i), 1, "{}") for i in np.flatnonzero(there).tolist()]
+        first = int(begin.replace(tzinfo=dt.UTC).timestamp()) // jobs.SPARSE_BINS
+        last = None
+        for m in range(4000):
+            own = [v[k] for k in range(m, min(m + r.sustain, 4000)) if there[k]]
+            past = [v[k] for k in range(max(0, m - r.back), m) if there[k]]
+            if not there[m] or len(own) < r.sustain or len(past) < r.known or (last is not None and m < last + r.rest):
+                continue
+            base, low = float(np.median(past)), min(own)
+            if base < r.quiet and low >= max(r.least, r.ratio * base):
+                want.append((station, first + m, round(low, 4), round(base, 4)))
+                last = m
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, ts timestamp_ntz, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((x.station, x.m, round(x.least_next, 4), round(x.base, 4)) for x in jobs.batch_detections(spark, str(tmp_path)).collect())
+    assert len(want) > 60 and got == sorted(want)
