@@ -205,7 +205,10 @@ def _trimmed(kind: str, data: bytes, a: int, b: int) -> tuple[int, int]:
 
 
 def added_spans(model: crf.Model, buf: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Kind, start and end in bytes of the model's spans that fit their kind and overlap no base span and no earlier of these."""
+    """Kind, start and end in bytes of the model's spans that fit their kind and overlap no base span and no earlier of these.
+
+    A run of words that does not fit as a whole may be several side by side; phone numbers, which nothing checks, are not looked for so.
+    """
     w, labels = model.label(buf, offsets)
     some = np.flatnonzero(labels)
     if not len(some):
@@ -221,14 +224,30 @@ def added_spans(model: crf.Model, buf: np.ndarray, offsets: np.ndarray, base: li
             runs.append([kind, k, k, doc])
     starts, out, last = [x[1] for x in sorted(base, key=lambda x: x[1])], [], 0
     ends = np.maximum.accumulate([x[2] for x in sorted(base, key=lambda x: x[1])]) if base else np.zeros(0, np.int64)
-    for kind, first, final, _ in runs:
+
+    def span(kind: int, first: int, final: int) -> tuple[int, int] | None:
+        """The words' span, if it fits its kind and overlaps no other."""
         a, b = int(w.starts[first]), int(w.ends[final])
-        if b - a <= LONGEST:
-            a, b = _trimmed(KINDS[kind], data, a, b)
-            before = int(np.searchsorted(starts, b, side="left"))
-            if a >= last and b > a and (not before or ends[before - 1] <= a) and fits(KINDS[kind], data[a:b].decode()):
-                out.append((kind, a, b))
-                last = b
+        if b - a > LONGEST:
+            return None
+        a, b = _trimmed(KINDS[kind], data, a, b)
+        before = int(np.searchsorted(starts, b, side="left"))
+        return (a, b) if a >= last and b > a and (not before or ends[before - 1] <= a) and fits(KINDS[kind], data[a:b].decode()) else None
+
+    for kind, first, final, _ in runs:
+        if (found := span(kind, first, final)) is not None:
+            out.append((kind, *found))
+            last = found[1]
+        elif KINDS[kind] != "phone":  # several side by side: from the left, the longest that has the kind's check
+            at = first
+            while at <= final:
+                end = min(final, int(np.searchsorted(w.ends, w.starts[at] + LONGEST, side="right")) - 1)
+                while end >= at and (found := span(kind, at, end)) is None:
+                    end -= 1
+                if end >= at:
+                    out.append((kind, *found))
+                    last = found[1]
+                at = max(end, at) + 1
     return out
 
 

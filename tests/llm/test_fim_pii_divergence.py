@@ -172,16 +172,19 @@ def test_pii(spark, model):
         8: "",
         9: "größe é a@b.co é",
         10: "plain words " * 20_000 + "x@y.zz",
+        11: "a.22@mail7.example.com 4532015112830366 4532015112830366 4532015112830366",
+        12: "order 12 4532015112830366 done",
     }
     d = spark.createDataFrame([(i, t, "k", "s") for i, t in texts.items()] + [(None, texts[6], "k", "s"), (6, texts[6], "k", "s")], "doc_id long, text string, base string, size string").repartition(3)
     rows = pii.find(d, model, size=1 << 10).collect()
-    assert len(rows) == 12
+    assert len(rows) == 14
     for r in rows:
         assert [(x.kind, x.start, x.end) for x in r.base] == expected_base(r.text)
     added = {r.doc_id: [(x.kind, r.text[x.start : x.end]) for x in r.added] for r in rows}
     assert added[1] == [("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")]
     assert added[2] == [("email", "bob.42 at mail8 dot example dot com"), ("email", "anne [at] host [dot] org")]
     assert added[3] == [("ip", "10[.]0[.]0[.]254"), ("phone", "(555) 010-1234")]
+    assert added[11] == [("card", "4532015112830366")] * 3 and added[12] == [("card", "4532015112830366")]
     assert all(not added[k] for k in (4, 5, 6, 7, 8, 9, 10, None))
     clean = {r.doc_id: r.redacted for r in pii.redact(d.where("doc_id in (1, 6, 7, 9)").dropDuplicates(["doc_id"]), model).collect()}
     assert clean == {1: "thion to [PHONE] [CARD] and onrend of", 6: "[EMAIL] [IP], [CARD] [PHONE]", 7: "", 9: "größe é [EMAIL] é"}
