@@ -184,7 +184,7 @@ def backtest(casts: DataFrame) -> DataFrame:
 
 def coverage_over_all(iv: DataFrame, least: int = 300, valid_least: int = 50) -> DataFrame:
     """Coverage of a lognormal of the last 100 valid gaps over all gaps, valid or not: key, n, filtered_pct, cover50 and cover90."""
-    all_gaps = iv.join(intervals.labels(iv).select("key", "id", "is_valid"), ["key", "id"])
+    all_gaps = kept(intervals.labels(iv).select("key", "id", "epoch", "x", "is_valid"))
     moments = lambda w: {"m": F.avg(F.log("x")).over(w), "s": F.stddev_samp(F.log("x")).over(w)}
     fits = framed(all_gaps.where("is_valid").select("key", "epoch", "id", "x"), "key", 99, moments).select("key", "id", F.struct("m", "s", (F.col("rn") + 1).alias("n")).alias("own"))
     rows = numbered(all_gaps.join(fits, ["key", "id"], "left"), "key")
